@@ -1,4 +1,78 @@
-"""Registered streaming queries (filled in by tillscope.streaming modules)."""
+"""Registered streaming queries: each runs its stream to completion
+(``availableNow``) into the shared folder and returns the final result read
+back as a batch DataFrame."""
+
+from __future__ import annotations
+
+from tillscope.plans.oracle import ORACLE_SQL, PURCHASES, SHOP, not_test, w
+from tillscope.session import scratch_path
+from tillscope.sources.fixtures import activity_from, shop_orders_from
+from tillscope.sources.order_feed import order_feed_pages
+from tillscope.sources.sinks import write_json
+from tillscope.sources.tables import read_table
+from tillscope.streaming.live_stream import live_visitor_counts, live_visitors_stream
+from tillscope.streaming.orders_stream import order_feed_stream, orders_stream_dedupe
+from tillscope.streaming.runtime import read_latest, run_append, run_versioned
+from tillscope.streaming.sales_stream import hourly_sales_stream
+from tillscope.streaming.sources import table_stream
 
 STREAM_QUERIES: dict = {}
 STREAM_ORACLE_SQL: dict = {}
+
+
+def _live(spark, sf_dir):
+    s = live_visitors_stream(activity_from(table_stream(spark, sf_dir, "events")))
+    path = run_versioned(s, "s1-live")
+    return read_latest(spark, path, ["window_start", "window_end", "person_id", "email"])
+
+
+def q_live_visitors_stream(spark, sf_dir):
+    return _live(spark, sf_dir)
+
+
+def q_live_visitor_counts_stream(spark, sf_dir):
+    return live_visitor_counts(_live(spark, sf_dir))
+
+
+def q_orders_stream_dedupe(spark, sf_dir):
+    pages = order_feed_pages(shop_orders_from(read_table(spark, sf_dir, "events")))
+    landed = write_json(pages, scratch_path(spark, "s2-pages"), partition_by=None)
+    s = orders_stream_dedupe(order_feed_stream(spark, landed))
+    out = run_append(s.drop("source"), "s2-orders")
+    return spark.read.parquet(out)
+
+
+def q_hourly_sales_stream(spark, sf_dir):
+    s = hourly_sales_stream(shop_orders_from(table_stream(spark, sf_dir, "events")))
+    path = run_versioned(s, "s3-sales")
+    return read_latest(spark, path, ["local_date", "hour"])
+
+
+STREAM_QUERIES.update(
+    {
+        "live_visitors_stream": q_live_visitors_stream,
+        "live_visitor_counts_stream": q_live_visitor_counts_stream,
+        "orders_stream_dedupe": q_orders_stream_dedupe,
+        "hourly_sales_stream": q_hourly_sales_stream,
+    }
+)
+
+STREAM_ORACLE_SQL["live_visitors_stream"] = ORACLE_SQL["live_visitors_sliding"]
+STREAM_ORACLE_SQL["live_visitor_counts_stream"] = w(
+    f"""
+aw AS (SELECT a.*, date_trunc('minute', ts) - k * INTERVAL 1 MINUTE AS window_start
+       FROM activity a, range(5) r(k)
+       WHERE {SHOP} AND email IS NOT NULL AND email <> '')""".strip()
+) + """
+SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, count(DISTINCT (person_id, email)) AS visitors
+FROM aw GROUP BY 1, 2"""
+STREAM_ORACLE_SQL["orders_stream_dedupe"] = w() + "SELECT * FROM shop_orders"
+STREAM_ORACLE_SQL["hourly_sales_stream"] = w() + f"""
+SELECT CAST(timezone('Australia/Sydney', timezone('UTC', created)) AS DATE) AS local_date,
+       CAST(hour(timezone('Australia/Sydney', timezone('UTC', created))) AS INTEGER) AS hour,
+       CAST(sum(total) AS DECIMAL(18,2)) AS gross, count(*) AS orders
+FROM shop_orders
+WHERE payment_status IS NOT DISTINCT FROM 'FULLY_CHARGED' AND {not_test('email')}
+GROUP BY 1, 2"""
+
+__all__ = ["PURCHASES", "STREAM_ORACLE_SQL", "STREAM_QUERIES"]
