@@ -91,7 +91,11 @@ def date_spine_of(*dated: DataFrame, col: str = "local_date", name: str = "local
     allc = parts[0]
     for p in parts[1:]:
         allc = allc.unionByName(p)
-    bounds = allc.agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
-    return bounds.where(F.col("_lo").isNotNull()).select(
-        F.explode(F.sequence(F.col("_lo"), F.col("_hi"))).alias(name)
-    )
+    bounds = allc.agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi")).where(F.col("_lo").isNotNull())
+    # Size guard: a stray far-future date must fail the job, not build a
+    # spine that grows without bound.
+    span = F.datediff("_hi", "_lo")
+    checked = F.when(
+        span > MAX_SPINE_DAYS, F.raise_error(F.lit(f"date spine longer than {MAX_SPINE_DAYS} days"))
+    ).otherwise(F.col("_hi"))
+    return bounds.select(F.explode(F.sequence(F.col("_lo"), checked.cast("date"))).alias(name))

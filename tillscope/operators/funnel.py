@@ -25,10 +25,13 @@ def session_stage_rollup(
 ) -> DataFrame:
     """Per (activity day, e-mail key, session) last time of each stage.
 
-    ``login_keys`` (act_date, email_key) restricts the e-mails per day with a
-    semi-join (the reference's ``email IN (...)`` list); None keeps all.
-    One pass of conditional aggregates: ``max(ts) FILTER (event = s)`` for the
-    seven stages, error/exception counts, and last activity.
+    ``login_keys`` (act_date, email_key) restricts the e-mails per day (the
+    reference's ``email IN (...)`` list); None keeps all. One pass of
+    conditional aggregates: ``max(ts) FILTER (event = s)`` for the seven
+    stages, error/exception counts and last activity. The aggregate runs
+    before the semi-join: its map-side partial step collapses each session's
+    events (a hot e-mail included) before anything is shuffled, so only
+    session rows reach the join.
     """
     a = activity.where(
         F.col("event").isin(*FUNNEL_EVENTS)
@@ -42,15 +45,16 @@ def session_stage_rollup(
         "event",
         "ts",
     )
-    if login_keys is not None:
-        a = a.join(login_keys.select("act_date", "email_key").distinct(), ["act_date", "email_key"], "left_semi")
     aggs = [F.max(F.when(F.col("event") == s, F.col("ts"))).alias(f"t_{s}") for s in STAGES]
     aggs += [
         F.count_if(F.col("event") == "payment_error").alias("payment_error_count"),
         F.count_if(F.col("event") == EXCEPTION_EVENT).alias("exception_count"),
         F.max("ts").alias("last_activity"),
     ]
-    return a.groupBy("act_date", "email_key", "session_id").agg(*aggs)
+    rolled = a.groupBy("act_date", "email_key", "session_id").agg(*aggs)
+    if login_keys is None:
+        return rolled
+    return rolled.join(login_keys.select("act_date", "email_key").distinct(), ["act_date", "email_key"], "left_semi")
 
 
 def login_funnel(

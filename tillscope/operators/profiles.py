@@ -117,14 +117,17 @@ def session_replays(activity: DataFrame, requests: DataFrame, cfg: AuditConfig =
     """
     req = requests.select("local_date", normalize_email("email").alias("email_key")).distinct()
     base = F.to_date(F.col("ts") - F.expr("INTERVAL 12 HOURS"))
-    a = activity.where(F.col("session_id").isNotNull() & F.col("email").isNotNull()).select(
-        normalize_email("email").alias("email_key"),
-        "session_id",
-        "ts",
-        F.explode(F.array(base, F.date_add(base, 1))).alias("local_date"),
+    # First event per (e-mail, session, shifted day): combined map-side, so
+    # only session-day rows are expanded, shuffled and joined.
+    firsts = (
+        activity.where(F.col("session_id").isNotNull() & F.col("email").isNotNull())
+        .groupBy(normalize_email("email").alias("email_key"), "session_id", base.alias("_base"))
+        .agg(F.min("ts").alias("_first"))
     )
-    a = a.join(req, ["local_date", "email_key"], "left_semi")
-    g = a.groupBy("local_date", "email_key", "session_id").agg(F.min("ts").alias("start_time"))
+    cand = firsts.select(
+        "email_key", "session_id", "_first", F.explode(F.array("_base", F.date_add("_base", 1))).alias("local_date")
+    ).join(req, ["local_date", "email_key"], "left_semi")
+    g = cand.groupBy("local_date", "email_key", "session_id").agg(F.min("_first").alias("start_time"))
     return g.select(
         "local_date",
         F.col("email_key").alias("email"),

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillscope.sources.landing import conformed_events
 from tillscope.sources.tables import read_table
 
 
@@ -29,7 +30,9 @@ def _plain_email(id_col: str) -> Column:
 
 
 def events_k(events: DataFrame) -> DataFrame:
-    return events.withColumn("k", _k())
+    """Events with the ``k`` property as a column (parsed here unless the
+    conformed copy already carries it)."""
+    return events if "k" in events.columns else events.withColumn("k", _k())
 
 
 def logins_from(events: DataFrame) -> DataFrame:
@@ -154,11 +157,14 @@ def contacts_from(customer: DataFrame) -> DataFrame:
 class Fixtures:
     """Lazily derived audit inputs for one scale-factor folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, conformed: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.conformed = conformed
 
     def _t(self, name: str) -> DataFrame:
+        if name == "events" and self.conformed:
+            return conformed_events(self.spark, self.sf_dir)
         return read_table(self.spark, self.sf_dir, name)
 
     @property
