@@ -36,6 +36,18 @@ FUNNEL_EVENTS = (
 )
 # Masked e-mail marker used by the login tables.
 MASK_TOKEN = "[at]"
+# Display labels of the funnel stages.
+STAGE_LABELS = {
+    "cart_added": "Cart Added",
+    "checkout_initiated": "Checkout",
+    "payment_page_visit": "Payment Page",
+    "payment_initiated": "Payment Init",
+    "payment_error": "Payment Error",
+    "payment_success": "Payment Success",
+    "purchase_completed": "Purchased",
+}
+# Non-conversion percentage above which a day is flagged.
+HIGH_NON_CONVERSION = 70
 # ---------------------------------------------------------------------------
 
 

@@ -2,12 +2,14 @@
 
 from tillscope.functions.emails import is_test_account, mask_email, normalize_email, unmask_email
 from tillscope.functions.labels import (
+    display_time,
     furthest_stage,
     funnel_outcome,
     high_non_conversion,
     money_text,
     paid_label,
     shop_filter,
+    stage_label,
     status_text,
 )
 from tillscope.functions.timez import (
@@ -22,6 +24,7 @@ from tillscope.functions.timez import (
 __all__ = [
     "date_spine",
     "date_spine_of",
+    "display_time",
     "furthest_stage",
     "funnel_outcome",
     "high_non_conversion",
@@ -33,6 +36,7 @@ __all__ = [
     "normalize_email",
     "paid_label",
     "shop_filter",
+    "stage_label",
     "status_text",
     "to_local",
     "unmask_email",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tillscope.config import PAID_STATUS, STAGE_LADDER, AuditConfig
+from tillscope.config import HIGH_NON_CONVERSION, PAID_STATUS, STAGE_LABELS, STAGE_LADDER, AuditConfig
 
 
 def _col(c: Column | str) -> Column:
@@ -44,7 +44,23 @@ def money_text(amount: Column | str, currency: Column | str = "currency") -> Col
     return F.format_string("%s $%.2f", _col(currency), _col(amount).cast("double"))
 
 
-def high_non_conversion(pct: Column | str = "non_conversion_percent", threshold: int = 70) -> Column:
+def stage_label(stage: Column | str = "furthest_stage") -> Column:
+    """Display label of a funnel stage; 'none' when there is no stage."""
+    expr = None
+    for key, label in STAGE_LABELS.items():
+        cond = _col(stage) == F.lit(key)
+        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
+    return expr.otherwise(F.lit("none"))
+
+
+def display_time(ts_utc: Column | str, tz: str) -> Column:
+    """en-AU short display of a UTC instant in ``tz`` (``29 Jan, 14:30:00``),
+    'N/A' when missing."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(tz), _col(ts_utc))
+    return F.coalesce(F.date_format(local, "dd MMM, HH:mm:ss"), F.lit("N/A"))
+
+
+def high_non_conversion(pct: Column | str = "non_conversion_percent", threshold: int = HIGH_NON_CONVERSION) -> Column:
     return _col(pct) > F.lit(threshold)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from tillscope.config import DEFAULT_CONFIG, AuditConfig
 from tillscope.functions.emails import normalize_email
+from tillscope.functions.timez import utc_window_filter
 from tillscope.operators.dedupe import latest_per
 
 HISTORY_FIELDS = ("number", "date", "total", "currency", "payment_status", "status")
@@ -141,3 +142,23 @@ def replay_window(d: dt.date) -> tuple[dt.datetime, dt.datetime]:
     """UTC window the replay lookup covers for local day ``d``."""
     start = dt.datetime(d.year, d.month, d.day, 12) - dt.timedelta(days=1)
     return start, start + dt.timedelta(days=2)
+
+
+def session_replays_for_day(
+    activity: DataFrame, emails: DataFrame, d: dt.date, cfg: AuditConfig = DEFAULT_CONFIG
+) -> DataFrame:
+    """A23 in its single-day form: the 48-hour UTC window of ``d`` as a
+    pushed half-open range, then first event per (e-mail, session)."""
+    start, end = replay_window(dt.date.fromisoformat(d) if isinstance(d, str) else d)
+    req = emails.select(normalize_email("email").alias("email_key")).distinct()
+    a = activity.where(
+        utc_window_filter("ts", start, end) & F.col("session_id").isNotNull() & F.col("email").isNotNull()
+    ).withColumn("email_key", normalize_email("email"))
+    g = a.join(req, "email_key", "left_semi").groupBy("email_key", "session_id").agg(F.min("ts").alias("start_time"))
+    return g.select(
+        F.lit(start.date() + dt.timedelta(days=1)).alias("local_date"),
+        F.col("email_key").alias("email"),
+        "session_id",
+        "start_time",
+        F.concat(F.lit(cfg.replay_base), F.col("session_id")).alias("url"),
+    )

@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.config import PAID_STATUS
-from tillscope.functions.labels import funnel_outcome, high_non_conversion, money_text, paid_label, status_text
+from tillscope.config import DEFAULT_CONFIG, PAID_STATUS, AuditConfig
+from tillscope.functions.labels import (
+    display_time,
+    funnel_outcome,
+    high_non_conversion,
+    money_text,
+    paid_label,
+    stage_label,
+    status_text,
+)
 
 
 def audit_search(df: DataFrame, text: str) -> DataFrame:
@@ -114,16 +122,61 @@ def export_projection(df: DataFrame, view: str) -> DataFrame:
     return df.select("local_date", *cols)
 
 
-def purchase_labels(p: DataFrame) -> DataFrame:
-    """Display labels for purchases: PAID/UNPAID, status text, money text."""
+def purchase_labels(p: DataFrame, cfg: AuditConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Display labels for purchases: PAID/UNPAID, status text, money
+    text and the local display time."""
     return p.select(
         "*",
         paid_label().alias("paid_label"),
         status_text().alias("status_text"),
         money_text("total").alias("total_text"),
+        display_time("purchase_time", cfg.tz).alias("time_text"),
     )
 
 
+def funnel_labels(funnel: DataFrame, cfg: AuditConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Stage label, outcome and display times of funnel rows."""
+    return funnel.select(
+        "local_date",
+        "email",
+        stage_label().alias("stage_label"),
+        funnel_outcome().alias("outcome"),
+        display_time("login_time", cfg.tz).alias("login_time_text"),
+        display_time("last_activity", cfg.tz).alias("last_activity_text"),
+    )
+
+
+def weekday_labels(rows: DataFrame) -> DataFrame:
+    """Weekday-comparison cells: ``CUR $0.00`` and ``N order(s)``, or an
+    em dash when the day has no paid order."""
+    has = F.col("order_count") > 0
+    orders = F.concat(
+        F.col("order_count").cast("string"),
+        F.lit(" order"),
+        F.when(F.col("order_count") != 1, F.lit("s")).otherwise(F.lit("")),
+    )
+    return rows.select(
+        "ref_date",
+        "local_date",
+        "day_label",
+        F.when(has, money_text("gross_sales")).otherwise(F.lit("—")).alias("gross_text"),
+        F.when(has, orders).otherwise(F.lit("—")).alias("orders_text"),
+    )
+
+
+def history_labels(history: DataFrame, cfg: AuditConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Customer order history cells (``#number``, time, money, Paid/Unpaid, status)."""
+    return history.select(
+        "email",
+        "order_rank",
+        F.concat(F.lit("#"), F.col("number")).alias("number_text"),
+        display_time("date", cfg.tz).alias("date_text"),
+        F.format_string("%s %.2f", F.col("currency"), F.col("total").cast("double")).alias("total_text"),
+        F.when(F.col("payment_status").eqNullSafe(F.lit(PAID_STATUS)), "Paid").otherwise("Unpaid").alias("paid_text"),
+        status_text().alias("status_text"),
+    ).where(F.col("order_rank").isNotNull())
+
+
 def intent_labels(daily: DataFrame) -> DataFrame:
     """High non-conversion flag (> 70 %)."""
     return daily.withColumn("high_non_conversion", high_non_conversion())
@@ -134,6 +187,9 @@ __all__ = [
     "audit_search",
     "audit_sort",
     "export_projection",
+    "funnel_labels",
+    "history_labels",
     "intent_labels",
     "purchase_labels",
+    "weekday_labels",
 ]

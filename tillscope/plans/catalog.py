@@ -18,6 +18,8 @@ from tillscope.functions.timez import date_spine_of
 from tillscope.operators import funnel as fn
 from tillscope.operators import intent, live, logins, profiles, purchases, recovery, report
 from tillscope.operators.dedupe import dedupe_by
+from tillscope.session import scratch_path
+from tillscope.sources import sinks
 from tillscope.sources.fixtures import Fixtures
 from tillscope.sources.order_feed import flatten_order_feed, order_feed_pages
 
@@ -267,11 +269,43 @@ def q_purchase_labels(spark, sf_dir):
     return report.purchase_labels(_purchases(_fx(spark, sf_dir)))
 
 
+@register("funnel_labels")
+def q_funnel_labels(spark, sf_dir):
+    return report.funnel_labels(_funnel(_fx(spark, sf_dir)), CFG)
+
+
+@register("weekday_labels")
+def q_weekday_labels(spark, sf_dir):
+    p = _purchases(_fx(spark, sf_dir))
+    return report.weekday_labels(purchases.weekday_comparison(p, date_spine_of(p), WEEKDAY_CUTOFF_HOUR, 5, CFG))
+
+
+@register("history_labels")
+def q_history_labels(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return report.history_labels(profiles.customer_order_history(fx.customers, fx.shop_orders, 10), CFG)
+
+
 @register("intent_labels")
 def q_intent_labels(spark, sf_dir):
     return report.intent_labels(_daily_intent(_fx(spark, sf_dir)))
 
 
+# --- B7/B8: sinks (write to the shared folder, read back with the schema) ---
+@register("sink_json_purchases")
+def q_sink_json_purchases(spark, sf_dir):
+    p = _purchases(_fx(spark, sf_dir))
+    path = sinks.write_json(p, scratch_path(spark, "purchases-json"))
+    return sinks.read_json(spark, path, p.schema).select(*p.columns)
+
+
+@register("sink_csv_purchases")
+def q_sink_csv_purchases(spark, sf_dir):
+    e = report.export_projection(_purchases(_fx(spark, sf_dir)), "purchases")
+    path = sinks.write_csv(e, scratch_path(spark, "purchases-csv"))
+    return sinks.read_csv(spark, path, e.schema).select(*e.columns)
+
+
 # --- B: sources -------------------------------------------------------------
 @register("order_feed_flatten")
 def q_order_feed_flatten(spark, sf_dir):

@@ -498,12 +498,49 @@ SELECT local_date, strftime(local_date, '%Y-%m-%d') AS "Date", total_logins AS "
        did_not_buy AS "Did Not Buy", non_conversion_percent AS "Non-Conversion %",
        logins_with_unfulfilled_orders AS "Unfulfilled Lookups"
 FROM daily"""
+def display(ts: str) -> str:
+    return f"coalesce(strftime({loc(ts)}, '%d %b, %H:%M:%S'), 'N/A')"
+
+
 ORACLE_SQL["purchase_labels"] = w(PURCHASES.strip()) + f"""
 SELECT *, CASE WHEN {PAID} THEN 'PAID' ELSE 'UNPAID' END AS paid_label,
        replace(status, '_', ' ') AS status_text,
-       printf('%s $%.2f', currency, CAST(total AS DOUBLE)) AS total_text
+       printf('%s $%.2f', currency, CAST(total AS DOUBLE)) AS total_text,
+       {display('purchase_time')} AS time_text
 FROM p"""
+ORACLE_SQL["funnel_labels"] = w(FUNNEL.strip()) + f"""
+SELECT local_date, email,
+       CASE furthest_stage WHEN 'cart_added' THEN 'Cart Added' WHEN 'checkout_initiated' THEN 'Checkout'
+            WHEN 'payment_page_visit' THEN 'Payment Page' WHEN 'payment_initiated' THEN 'Payment Init'
+            WHEN 'payment_error' THEN 'Payment Error' WHEN 'payment_success' THEN 'Payment Success'
+            WHEN 'purchase_completed' THEN 'Purchased' ELSE 'none' END AS stage_label,
+       CASE WHEN purchase_completed OR payment_success THEN 'success' WHEN payment_error THEN 'error'
+            ELSE 'none' END AS outcome,
+       {display('login_time')} AS login_time_text,
+       {display('last_activity')} AS last_activity_text
+FROM funnel"""
+ORACLE_SQL["history_labels"] = (
+    ORACLE_SQL["customer_order_history"].replace(
+        "SELECT cu.email, coalesce(nullif(trim(concat_ws(' ', first_name, last_name)), ''), 'Anonymous') AS name,\n"
+        "       order_rank, number, date, total, currency, payment_status, status\nFROM cu LEFT JOIN top USING (email_key)",
+        f"""SELECT cu.email, order_rank, '#' || number AS number_text, {display('date')} AS date_text,
+       printf('%s %.2f', currency, CAST(total AS DOUBLE)) AS total_text,
+       CASE WHEN payment_status IS NOT DISTINCT FROM 'FULLY_CHARGED' THEN 'Paid' ELSE 'Unpaid' END AS paid_text,
+       replace(status, '_', ' ') AS status_text
+FROM cu JOIN top USING (email_key)""",
+    )
+)
 ORACLE_SQL["intent_labels"] = w(INTENT.strip()) + "SELECT *, non_conversion_percent > 70 AS high_non_conversion FROM daily"
 
+ORACLE_SQL["weekday_labels"] = ORACLE_SQL["weekday_comparison"].replace(
+    "SELECT ref_date, pairs.local_date,",
+    "SELECT ref_date, local_date, day_label, CASE WHEN order_count > 0 THEN printf('%s $%.2f', currency, "
+    "CAST(gross_sales AS DOUBLE)) ELSE '—' END AS gross_text, CASE WHEN order_count > 0 THEN "
+    "CAST(order_count AS VARCHAR) || ' order' || CASE WHEN order_count <> 1 THEN 's' ELSE '' END ELSE '—' END "
+    "AS orders_text FROM (SELECT ref_date, pairs.local_date,",
+) + ")"
+ORACLE_SQL["sink_json_purchases"] = ORACLE_SQL["purchases"]
+ORACLE_SQL["sink_csv_purchases"] = ORACLE_SQL["export_purchases"]
+
 ORACLE_SQL["order_feed_flatten"] = w() + "SELECT * FROM shop_orders"
 ORACLE_SQL["treatment_plan_peek"] = w() + "SELECT * FROM treatment_plans ORDER BY created_at DESC, email LIMIT 5"

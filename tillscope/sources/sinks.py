@@ -7,11 +7,18 @@ executor only re-runs its tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+# Timestamps are written with microseconds (the text formats' defaults keep
+# only milliseconds, which would not round-trip).
+TS_OPTIONS = {
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+}
 
 
 def write_json(df: DataFrame, path: str, partition_by: str | None = "local_date", mode: str = "overwrite") -> str:
-    w = df.write.mode(mode)
+    w = df.write.mode(mode).options(**TS_OPTIONS)
     if partition_by and partition_by in df.columns:
         w = w.partitionBy(partition_by)
     w.json(path)
@@ -20,7 +27,7 @@ def write_json(df: DataFrame, path: str, partition_by: str | None = "local_date"
 
 def write_csv(df: DataFrame, path: str, partition_by: str | None = "local_date", mode: str = "overwrite") -> str:
     """CSV with header; Spark quotes fields that need it (commas, quotes)."""
-    w = df.write.mode(mode).option("header", True)
+    w = df.write.mode(mode).options(**TS_OPTIONS).option("header", True)
     if partition_by and partition_by in df.columns:
         w = w.partitionBy(partition_by)
     w.csv(path)
@@ -33,3 +40,12 @@ def write_parquet(df: DataFrame, path: str, partition_by: str | None = None, mod
         w = w.partitionBy(partition_by)
     w.parquet(path)
     return path
+
+
+def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Read a JSON sink back with its schema (partition column from folders)."""
+    return spark.read.schema(schema).options(**TS_OPTIONS).json(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).options(**TS_OPTIONS).option("header", True).csv(path)
