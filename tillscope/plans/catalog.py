@@ -170,6 +170,12 @@ def q_live_visitors(spark, sf_dir):
     return live.live_visitors(act, as_of, LIVE_MINUTES, CFG)
 
 
+@register("live_visitor_count")
+def q_live_visitor_count(spark, sf_dir):
+    act = _fx(spark, sf_dir).activity
+    return live.live_count(live.live_visitors(act, act.select(F.max("ts")).scalar(), LIVE_MINUTES, CFG))
+
+
 @register("live_visitors_sliding")
 def q_live_visitors_sliding(spark, sf_dir):
     return live.live_visitors_sliding(_fx(spark, sf_dir).activity, 5, 1, CFG)

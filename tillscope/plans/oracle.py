@@ -395,6 +395,13 @@ WHERE ts >= (SELECT max(ts) FROM activity) - INTERVAL 60 MINUTE
   AND {SHOP} AND email IS NOT NULL AND email <> ''
 GROUP BY 1, 2"""
 
+ORACLE_SQL["live_visitor_count"] = w() + f"""
+SELECT count(*) AS count FROM (
+  SELECT DISTINCT person_id, email FROM activity
+  WHERE ts >= (SELECT max(ts) FROM activity) - INTERVAL 60 MINUTE
+    AND ts <= (SELECT max(ts) FROM activity)
+    AND {SHOP} AND email IS NOT NULL AND email <> '')"""
+
 ORACLE_SQL["live_visitors_sliding"] = w(
     f"""
 aw AS (SELECT a.*, date_trunc('minute', ts) - k * INTERVAL 1 MINUTE AS window_start
