@@ -95,18 +95,12 @@ def read_order_feed(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return spark.read.schema(PAGE).json(paths)
 
 
-def order_feed_pages(shop_orders: DataFrame, page_size: int = 100) -> DataFrame:
-    """Build feed pages from a flat order table (used to land test feeds).
-
-    Each order is placed in the fetch of its own UTC day and again in the
-    next day's previous-day fetch, as the two-day fetch does, so every order
-    occurs in two documents. A day's orders are hashed into
+def _fetch_pages(shop_orders: DataFrame, day_shift: int, fetch: str, page_size: int) -> DataFrame:
+    """Pages of one fetch kind: orders of UTC day d land in the fetch for
+    day d + ``day_shift``. A fetch day's orders are hashed into
     ``ceil(n_day / page_size)`` pages, so a page holds about ``page_size``
-    orders however large the day is.
-    """
-    o = shop_orders.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_copy")).withColumn(
-        "_fetch_day", F.date_add(F.to_date("created"), F.col("_copy"))
-    )
+    orders however large the day is."""
+    o = shop_orders.withColumn("_fetch_day", F.date_add(F.to_date("created"), day_shift))
     n_pages = o.groupBy("_fetch_day").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(page_size)).cast("bigint").alias("_n_pages")
     )
@@ -123,7 +117,9 @@ def order_feed_pages(shop_orders: DataFrame, page_size: int = 100) -> DataFrame:
     )
     per_page = o.groupBy("_fetch_day", "_page").agg(F.collect_list(F.struct(node.alias("node"))).alias("edges"))
     return per_page.select(
-        F.concat_ws("-", F.date_format("_fetch_day", "yyyyMMdd"), F.col("_page").cast("string")).alias("page_id"),
+        F.concat_ws(
+            "-", F.lit(fetch), F.date_format("_fetch_day", "yyyyMMdd"), F.col("_page").cast("string")
+        ).alias("page_id"),
         F.struct(
             F.struct(
                 F.struct(F.lit(False).alias("hasNextPage"), F.lit(None).cast("string").alias("endCursor")).alias(
@@ -133,3 +129,15 @@ def order_feed_pages(shop_orders: DataFrame, page_size: int = 100) -> DataFrame:
             ).alias("orders")
         ).alias("data"),
     )
+
+
+def order_feed_pages(shop_orders: DataFrame, page_size: int = 100) -> DataFrame:
+    """Build feed pages from a flat order table (used to land test feeds).
+
+    Mirrors the two-day fetch: every day is fetched for itself and again as
+    the next day's previous-day fetch, and the two fetches are combined with
+    ``unionByName`` — so every order occurs in two documents.
+    """
+    own_day = _fetch_pages(shop_orders, 0, "day", page_size)
+    previous_day = _fetch_pages(shop_orders, 1, "prev", page_size)
+    return own_day.unionByName(previous_day)
