@@ -27,16 +27,21 @@ def abandoned_carts(
     cfg: AuditConfig = DEFAULT_CONFIG,
 ) -> DataFrame:
     """Latest unconverted cart per e-mail and local day, with the
-    e-mail's latest-ever allowance; optional ``allowance > 0`` applied after
-    the lookup and before the per-e-mail pick."""
+    e-mail's latest-ever allowance; optional ``allowance > 0``.
+
+    The allowance depends only on ``lower(email)``, so its filter keeps or
+    drops whole (day, e-mail) groups: picking the latest cart first and
+    joining the allowance afterwards is the same result, and the join then
+    sees one row per (day, e-mail) — no hot e-mail reaches it.
+    """
     c = carts.where(local_day_filter("created_at", d_from, d_to, cfg.tz) & (F.col("is_converted") == F.lit(False)))
-    c = c.withColumn("email_key", F.lower("email")).withColumn("local_date", local_date("created_at", cfg.tz))
-    j = c.join(latest_allowance(logins), "email_key", "left")
+    c = c.withColumn("local_date", local_date("created_at", cfg.tz))
+    best = latest_per(c, ["local_date", "email"], ["created_at", "cart_id"], ["created_at"])
+    best = best.where(~is_test_account("email", cfg.test_account)).withColumn("email_key", F.lower("email"))
+    j = best.join(latest_allowance(logins), "email_key", "left")
     if with_allowance:
         j = j.where(F.col("allowance") > 0)
-    best = latest_per(j, ["local_date", "email"], ["created_at", "cart_id"], ["allowance", "created_at"])
-    best = best.where(~is_test_account("email", cfg.test_account))
-    return best.select(
+    return j.select(
         "local_date",
         "email",
         F.col("allowance").alias("days_allowance_remaining"),
