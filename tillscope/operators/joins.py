@@ -19,15 +19,15 @@ def band_semi_join(
     """Rows of ``left`` having a ``right`` row with the same ``key`` and
     ``left_date - right_date`` in ``[lo_days, hi_days]``.
 
-    The right side is reduced to distinct (date, key), then each row is
-    expanded to the ``hi - lo + 1`` left dates it can satisfy, turning the
-    band condition into an equi-join on (date, key). The expansion factor is
-    the band width (a request parameter), not the data.
+    Each right row is expanded to the ``hi - lo + 1`` left dates it can
+    satisfy and reduced to distinct (date, key), turning the band condition
+    into an equi-join on (date, key). The expansion factor is the band width
+    (a request parameter), not the data; the distinct is combined map-side,
+    so duplicates never cross the shuffle.
     """
     if hi_days < lo_days:
         raise ValueError("empty band")
-    r = right.select(right_date, key).distinct()
-    r = r.select(
+    r = right.select(
         F.explode(F.sequence(F.lit(lo_days), F.lit(hi_days))).alias("_off"), right_date, key
     ).select(F.date_add(right_date, F.col("_off")).alias(left_date), key)
     return left.join(r.distinct(), [left_date, key], how)
