@@ -134,6 +134,27 @@ def purchase_labels(p: DataFrame, cfg: AuditConfig = DEFAULT_CONFIG) -> DataFram
     )
 
 
+def kpi_labels(kpis: DataFrame, cfg: AuditConfig = DEFAULT_CONFIG) -> DataFrame:
+    """A6/A27 cards: trend arrows (up when today >= yesterday), absolute
+    deltas and money text; the AOV trend is NULL when yesterday had no orders.
+
+    Money text is only formatted from exact 2-decimal amounts (the AOV is
+    left numeric): formatting an arbitrary double to 2 places rounds ties
+    differently across engines."""
+    cur = F.lit(cfg.default_currency)
+    return kpis.select(
+        "local_date",
+        F.when(F.col("total_paid") >= F.col("prev_total_paid"), "up").otherwise("down").alias("total_trend"),
+        F.abs("total_delta").alias("total_delta_abs"),
+        F.when(F.col("prev_aov").isNull(), F.lit(None).cast("string"))
+        .when(F.col("aov") >= F.col("prev_aov"), "up")
+        .otherwise("down")
+        .alias("aov_trend"),
+        F.abs("aov_delta").alias("aov_delta_abs"),
+        F.format_string("%s $%.2f", cur, F.col("total_paid").cast("double")).alias("total_paid_text"),
+    )
+
+
 def funnel_labels(funnel: DataFrame, cfg: AuditConfig = DEFAULT_CONFIG) -> DataFrame:
     """Stage label, outcome and display times of funnel rows."""
     return funnel.select(
@@ -188,6 +209,7 @@ __all__ = [
     "audit_sort",
     "export_projection",
     "funnel_labels",
+    "kpi_labels",
     "history_labels",
     "intent_labels",
     "purchase_labels",

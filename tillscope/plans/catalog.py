@@ -106,6 +106,12 @@ def q_purchase_kpis(spark, sf_dir):
     return purchases.purchase_kpis(p, date_spine_of(p))
 
 
+@register("purchase_kpi_labels")
+def q_purchase_kpi_labels(spark, sf_dir):
+    p = _purchases(_fx(spark, sf_dir))
+    return report.kpi_labels(purchases.purchase_kpis(p, date_spine_of(p)), CFG)
+
+
 @register("hourly_sales_history")
 def q_hourly_sales_history(spark, sf_dir):
     p = _purchases(_fx(spark, sf_dir))

@@ -42,7 +42,7 @@ SHOP = (
 MASKED = "concat(CASE WHEN k % 5 = 0 THEN 'User' ELSE 'user' END, CAST(user_id AS VARCHAR), '[at]example.com')"
 
 FIXTURES = f"""
-ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+ev AS (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 logins AS (
   SELECT event_id AS login_id, {MASKED} AS email,
          CASE WHEN k % 11 = 0 THEN NULL ELSE k - 40 END AS allowance, ts AS created_at
@@ -551,3 +551,12 @@ ORACLE_SQL["sink_csv_purchases"] = ORACLE_SQL["export_purchases"]
 
 ORACLE_SQL["order_feed_flatten"] = w() + "SELECT * FROM shop_orders"
 ORACLE_SQL["treatment_plan_peek"] = w() + "SELECT * FROM treatment_plans ORDER BY created_at DESC, email LIMIT 5"
+
+ORACLE_SQL["purchase_kpi_labels"] = f"""
+SELECT local_date,
+       CASE WHEN total_paid >= prev_total_paid THEN 'up' ELSE 'down' END AS total_trend,
+       abs(total_delta) AS total_delta_abs,
+       CASE WHEN prev_aov IS NULL THEN NULL WHEN aov >= prev_aov THEN 'up' ELSE 'down' END AS aov_trend,
+       abs(aov_delta) AS aov_delta_abs,
+       printf('AUD $%.2f', CAST(total_paid AS DOUBLE)) AS total_paid_text
+FROM ({ORACLE_SQL["purchase_kpis"]})"""

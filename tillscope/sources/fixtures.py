@@ -17,7 +17,8 @@ from tillscope.sources.tables import read_table
 
 
 def _k() -> Column:
-    return F.get_json_object(F.col("props"), "$.k").cast("int")
+    # try_cast: junk property text becomes NULL instead of failing the job.
+    return F.get_json_object(F.col("props"), "$.k").try_cast("int")
 
 
 def _masked_email() -> Column:

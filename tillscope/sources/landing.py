@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from tillscope.session import shared_dir
 
 # source fingerprint -> landed path, for this driver process
 _CONFORMED: dict[str, str] = {}
+_LOCK = threading.Lock()
 
 
 def _fs_status(spark: SparkSession, path: str) -> tuple[int, int]:
@@ -51,12 +53,13 @@ def conformed_events(spark: SparkSession, sf_dir: str, root: str | None = None)
     src = os.path.join(sf_dir, "events.parquet")
     size, mtime = _fs_status(spark, src)
     tag = hashlib.sha1(f"{os.path.abspath(src)}|{size}|{mtime}".encode()).hexdigest()[:16]
-    path = os.path.join(root, "events") if root else _CONFORMED.get(tag)
-    if path is None:
-        path = os.path.join(shared_dir(spark), "tillscope", "landed", tag, "events")
-    if not _exists(spark, os.path.join(path, "_SUCCESS")):
-        raw = spark.read.parquet(src)
-        conformed = raw.withColumn("k", F.get_json_object("props", "$.k").cast("int")).drop("props")
-        conformed.sortWithinPartitions("ts").write.mode("overwrite").parquet(path)
-    _CONFORMED[tag] = path
+    with _LOCK:
+        path = os.path.join(root, "events") if root else _CONFORMED.get(tag)
+        if path is None:
+            path = os.path.join(shared_dir(spark), "tillscope", "landed", tag, "events")
+        if not _exists(spark, os.path.join(path, "_SUCCESS")):
+            raw = spark.read.parquet(src)
+            k = F.get_json_object("props", "$.k").try_cast("int")
+            raw.withColumn("k", k).drop("props").sortWithinPartitions("ts").write.mode("overwrite").parquet(path)
+        _CONFORMED[tag] = path
     return spark.read.parquet(path)
