@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tillscope.operators.dedupe import latest_per
 from tillscope.session import scratch_path
@@ -35,26 +36,37 @@ def instant_to_local(ts: Column | str, spark: SparkSession, tz: str) -> Column:
     return F.convert_timezone(F.lit(session_tz), F.lit(tz), c.cast("timestamp_ntz"))
 
 
-def run_versioned(df: DataFrame, name: str, output_mode: str = "update") -> str:
-    """Run ``df`` with ``availableNow`` and append every micro-batch, tagged
-    with its batch id, under a fresh folder of the shared folder. Returns the
-    data path."""
-    spark = df.sparkSession
-    base = scratch_path(spark, name)
+def start_versioned(
+    df: DataFrame,
+    base: str,
+    output_mode: str = "update",
+    processing_time: str | None = None,
+) -> StreamingQuery:
+    """Start ``df`` writing every micro-batch, tagged with its batch id, to
+    ``base/data`` with its checkpoint in ``base/checkpoint``.
+
+    ``processing_time`` (e.g. ``"60 seconds"``, the dashboard's poll interval)
+    starts a continuous query; None processes what is available and stops.
+    Restarting with the same ``base`` resumes from the checkpoint. A batch
+    re-run after a failure appends the same rows again under the same batch
+    id, which ``read_latest`` collapses.
+    """
     out, ckpt = f"{base}/data", f"{base}/checkpoint"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn(BATCH_COL, F.lit(batch_id).cast("bigint")).write.mode("append").parquet(out)
 
-    q = (
-        df.writeStream.outputMode(output_mode)
-        .foreachBatch(write_batch)
-        .option("checkpointLocation", ckpt)
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return out
+    w = df.writeStream.outputMode(output_mode).foreachBatch(write_batch).option("checkpointLocation", ckpt)
+    w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
+    return w.start()
+
+
+def run_versioned(df: DataFrame, name: str, output_mode: str = "update", base: str | None = None) -> str:
+    """Run ``df`` to completion (``availableNow``) into a fresh folder of the
+    shared folder (or ``base``); returns the data path."""
+    base = base or scratch_path(df.sparkSession, name)
+    start_versioned(df, base, output_mode).awaitTermination()
+    return f"{base}/data"
 
 
 def run_append(df: DataFrame, name: str) -> str:
