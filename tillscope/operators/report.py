@@ -134,6 +134,19 @@ def purchase_labels(p: DataFrame, cfg: AuditConfig = DEFAULT_CONFIG) -> DataFram
     )
 
 
+def login_labels(audit: DataFrame) -> DataFrame:
+    """Login-table cells. ``last_order_at``/``tp_date`` are local
+    wall times already, so they are formatted once (no zone shift)."""
+    return audit.select(
+        "local_date",
+        "email",
+        F.coalesce(F.col("order_count"), F.lit(0)).alias("orders_text"),
+        F.coalesce(F.date_format("last_order_at", "dd MMM yyyy"), F.lit("No Orders")).alias("last_order_text"),
+        F.coalesce(F.date_format("tp_date", "dd MMM yyyy"), F.lit("No TP Found")).alias("tp_text"),
+        F.date_format("login_time", "dd MMM, HH:mm:ss").alias("login_time_text"),
+    )
+
+
 def kpi_labels(kpis: DataFrame, cfg: AuditConfig = DEFAULT_CONFIG) -> DataFrame:
     """A6/A27 cards: trend arrows (up when today >= yesterday), absolute
     deltas and money text; the AOV trend is NULL when yesterday had no orders.
@@ -210,6 +223,7 @@ __all__ = [
     "export_projection",
     "funnel_labels",
     "kpi_labels",
+    "login_labels",
     "history_labels",
     "intent_labels",
     "purchase_labels",

@@ -79,6 +79,11 @@ def q_login_purchase_flags(spark, sf_dir):
     return logins.login_purchase_flags(_audit(fx), _purchases(fx))
 
 
+@register("login_labels")
+def q_login_labels(spark, sf_dir):
+    return report.login_labels(_audit(_fx(spark, sf_dir)))
+
+
 @register("login_no_orders")
 def q_login_no_orders(spark, sf_dir):
     return logins.login_no_orders(_audit(_fx(spark, sf_dir)))

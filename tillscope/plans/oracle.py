@@ -281,6 +281,12 @@ ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["login_audit"] = w(login_audit().strip()) + "SELECT * FROM audit"
 ORACLE_SQL["login_audit_allowance"] = w(login_audit(True).strip()) + "SELECT * FROM audit"
 ORACLE_SQL["login_purchase_flags"] = w(login_audit().strip(), PURCHASES.strip(), FLAGS.strip()) + "SELECT * FROM flagged"
+ORACLE_SQL["login_labels"] = w(login_audit().strip()) + """
+SELECT local_date, email, coalesce(order_count, 0) AS orders_text,
+       coalesce(strftime(last_order_at, '%d %b %Y'), 'No Orders') AS last_order_text,
+       coalesce(strftime(tp_date, '%d %b %Y'), 'No TP Found') AS tp_text,
+       strftime(login_time, '%d %b, %H:%M:%S') AS login_time_text
+FROM audit"""
 ORACLE_SQL["login_no_orders"] = (
     w(login_audit().strip()) + "SELECT * FROM audit WHERE last_order_at IS NULL AND allowance > 0"
 )
