@@ -1,7 +1,5 @@
 """Shared Spark-vs-DuckDB comparison used by the tests."""
 
-import os
-
 from tools.oracle_check import duck, duck_types, rows_of, spark_types
 
 
@@ -18,5 +16,3 @@ def compare(spark, sf_dir, name, qfn, sql):
     assert srows == drows, name
     return len(srows)
 
-
-assert os  # keep import for callers that patch paths

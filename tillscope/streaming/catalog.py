@@ -4,7 +4,7 @@ back as a batch DataFrame."""
 
 from __future__ import annotations
 
-from tillscope.plans.oracle import ORACLE_SQL, PURCHASES, SHOP, not_test, w
+from tillscope.plans.oracle import ORACLE_SQL, SHOP, not_test, w
 from tillscope.session import scratch_path
 from tillscope.sources.fixtures import activity_from, shop_orders_from
 from tillscope.sources.order_feed import order_feed_pages
@@ -75,4 +75,4 @@ FROM shop_orders
 WHERE payment_status IS NOT DISTINCT FROM 'FULLY_CHARGED' AND {not_test('email')}
 GROUP BY 1, 2"""
 
-__all__ = ["PURCHASES", "STREAM_ORACLE_SQL", "STREAM_QUERIES"]
+__all__ = ["STREAM_ORACLE_SQL", "STREAM_QUERIES"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tillscope.sources.order_feed import PAGE, flatten_order_feed
 from tillscope.streaming.runtime import utc_instant
