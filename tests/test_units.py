@@ -50,9 +50,14 @@ def test_local_day_filter_matches_converted_date(spark):
 
 
 def test_local_day_filter_pushes_down(spark, fx01):
-    plan = fx01.logins.where(local_day_filter("created_at", "2024-01-29", "2024-01-29", "Australia/Sydney"))
+    from tillscope.functions.timez import where_local_days
+
+    plan = where_local_days(fx01.logins, "created_at", "2024-01-29", "2024-01-29", "Australia/Sydney")
     text = plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "formatted")
     assert "GreaterThanOrEqual(ts,2024-01-28T13:00)" in text and "LessThan(ts,2024-01-29T13:00)" in text
+    # the landed event log is partitioned by UTC date: the range prunes partitions too
+    assert "PartitionFilters: [isnotnull(utc_date" in text
+    assert "(utc_date#" in text and ">= 2024-01-28)" in text and "<= 2024-01-29)" in text
 
 
 def test_normalize_and_test_account(spark):

@@ -15,6 +15,9 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Partition column of landed tables: the UTC date of the event time.
+UTC_DATE = "utc_date"
+
 # Upper bound on a literal date spine. A spine is broadcast, so its size must be
 # bounded by the request, never by the data: 100 years of days.
 MAX_SPINE_DAYS = 36_600
@@ -64,6 +67,24 @@ def local_day_filter(ts: Column | str, d_from, d_to, tz: str) -> Column:
     return cond
 
 
+def where_local_days(df: DataFrame, ts: str, d_from, d_to, tz: str) -> DataFrame:
+    """``df`` restricted to local days [d_from, d_to] of ``ts``.
+
+    Adds the pushable UTC bounds and, when ``df`` carries the ``utc_date``
+    partition column (the UTC date of ``ts``), the matching partition
+    predicate so whole partitions are pruned.
+    """
+    out = df.where(local_day_filter(ts, d_from, d_to, tz))
+    if UTC_DATE in df.columns and (d_from is not None or d_to is not None):
+        c = F.col(UTC_DATE)
+        if d_from is not None:
+            out = out.where(c >= F.lit(utc_start_of_local_day(_as_date(d_from), tz).date()))
+        if d_to is not None:
+            end = utc_start_of_local_day(_as_date(d_to) + dt.timedelta(days=1), tz) - dt.timedelta(microseconds=1)
+            out = out.where(c <= F.lit(end.date()))
+    return out
+
+
 def utc_window_filter(ts: Column | str, start: dt.datetime, end: dt.datetime) -> Column:
     """Half-open UTC range ``start <= ts < end``."""
     c = _col(ts)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillscope.config import DEFAULT_CONFIG, EXCEPTION_EVENT, FUNNEL_EVENTS, STAGE_LADDER, AuditConfig
 from tillscope.functions.emails import normalize_email
 from tillscope.functions.labels import funnel_outcome, furthest_stage, shop_filter
-from tillscope.functions.timez import local_date, local_day_filter
+from tillscope.functions.timez import local_date, where_local_days
 from tillscope.operators.dedupe import latest_per
 from tillscope.operators.logins import latest_logins
 
@@ -33,11 +33,8 @@ def session_stage_rollup(
     events (a hot e-mail included) before anything is shuffled, so only
     session rows reach the join.
     """
-    a = activity.where(
-        F.col("event").isin(*FUNNEL_EVENTS)
-        & shop_filter(cfg, hosts_override=hosts_override)
-        & local_day_filter("ts", d_from, d_to, cfg.activity_tz)
-        & F.col("email").isNotNull()
+    a = where_local_days(activity, "ts", d_from, d_to, cfg.activity_tz).where(
+        F.col("event").isin(*FUNNEL_EVENTS) & shop_filter(cfg, hosts_override=hosts_override) & F.col("email").isNotNull()
     ).select(
         local_date("ts", cfg.activity_tz).alias("act_date"),
         normalize_email("email").alias("email_key"),

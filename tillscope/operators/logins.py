@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillscope.config import DEFAULT_CONFIG, PAID_STATUS, AuditConfig
 from tillscope.functions.emails import is_test_account, normalize_email
-from tillscope.functions.timez import local_date, local_day_filter, to_local
+from tillscope.functions.timez import local_date, to_local, where_local_days
 from tillscope.operators.dedupe import latest_per
 
 
@@ -25,7 +25,7 @@ def latest_logins(
     case-sensitive e-mail. Columns: local_date, email, allowance, created_at,
     login_id.
     """
-    l = logins.where(local_day_filter("created_at", d_from, d_to, cfg.tz))
+    l = where_local_days(logins, "created_at", d_from, d_to, cfg.tz)
     if with_allowance:
         l = l.where(F.col("allowance") > 0)
     l = l.withColumn("local_date", local_date("created_at", cfg.tz))

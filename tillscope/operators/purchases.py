@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from tillscope.config import DEFAULT_CONFIG, PAID_STATUS, AuditConfig
 from tillscope.functions.emails import is_test_account
-from tillscope.functions.timez import date_spine, local_date, local_day_filter, to_local
+from tillscope.functions.timez import date_spine, local_date, to_local, where_local_days
 from tillscope.operators.dedupe import dedupe_by
 
 HOURS = 24
@@ -46,7 +46,7 @@ def purchases(
     (the same order in two fetched pages) keep the latest ``created`` copy, or
     the greatest ``source`` if a ``source`` column is present.
     """
-    o = shop_orders.where(local_day_filter("created", d_from, d_to, cfg.tz))
+    o = where_local_days(shop_orders, "created", d_from, d_to, cfg.tz)
     o = o.where(~is_test_account("email", cfg.test_account))
     if dedupe:
         order = ["created"] + (["source"] if "source" in o.columns else [])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillscope.config import DEFAULT_CONFIG, AuditConfig
 from tillscope.functions.emails import is_test_account
-from tillscope.functions.timez import local_date, local_day_filter, to_local
+from tillscope.functions.timez import local_date, to_local, where_local_days
 from tillscope.operators.dedupe import latest_per
 
 
@@ -34,7 +34,7 @@ def abandoned_carts(
     joining the allowance afterwards is the same result, and the join then
     sees one row per (day, e-mail) — no hot e-mail reaches it.
     """
-    c = carts.where(local_day_filter("created_at", d_from, d_to, cfg.tz) & (F.col("is_converted") == F.lit(False)))
+    c = where_local_days(carts, "created_at", d_from, d_to, cfg.tz).where(F.col("is_converted") == F.lit(False))
     c = c.withColumn("local_date", local_date("created_at", cfg.tz))
     best = latest_per(c, ["local_date", "email"], ["created_at", "cart_id"], ["created_at"])
     best = best.where(~is_test_account("email", cfg.test_account)).withColumn("email_key", F.lower("email"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillscope.functions.timez import UTC_DATE
 from tillscope.sources.landing import conformed_events
 from tillscope.sources.tables import read_table
 
@@ -30,6 +31,11 @@ def _plain_email(id_col: str) -> Column:
     return F.concat(F.lit("user"), F.col(id_col).cast("string"), F.lit("@example.com"))
 
 
+def _part(events: DataFrame) -> list:
+    """The ``utc_date`` partition column, when the events carry one."""
+    return [F.col(UTC_DATE)] if UTC_DATE in events.columns else []
+
+
 def events_k(events: DataFrame) -> DataFrame:
     """Events with the ``k`` property as a column (parsed here unless the
     conformed copy already carries it)."""
@@ -44,6 +50,7 @@ def logins_from(events: DataFrame) -> DataFrame:
         _masked_email().alias("email"),
         F.when(F.col("k") % 11 == 0, F.lit(None).cast("int")).otherwise(F.col("k") - 40).alias("allowance"),
         F.col("ts").alias("created_at"),
+        *_part(events),
     )
 
 
@@ -55,6 +62,7 @@ def carts_from(events: DataFrame) -> DataFrame:
         _masked_email().alias("email"),
         F.when(F.col("k") % 7 == 0, F.lit(None).cast("boolean")).otherwise(F.col("k") % 2 == 0).alias("is_converted"),
         F.col("ts").alias("created_at"),
+        *_part(events),
     )
 
 
@@ -77,6 +85,7 @@ def shop_orders_from(events: DataFrame) -> DataFrame:
         F.col("value").cast("decimal(18,2)").alias("total"),
         F.lit("AUD").alias("currency"),
         F.col("ts").alias("created"),
+        *_part(events),
     )
 
 
@@ -123,6 +132,7 @@ def activity_from(events: DataFrame) -> DataFrame:
         session.alias("session_id"),
         host.alias("host"),
         path.alias("pathname"),
+        *_part(events),
     )
     return out.withColumn("current_url", F.concat(F.lit("https://"), F.col("host"), F.col("pathname")))
 

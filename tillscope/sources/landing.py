@@ -8,7 +8,9 @@ conformed ``events`` table with ``k`` as a typed column does the parse once.
 The landed copy is keyed by the source file's length and modification time,
 written with ``_SUCCESS`` as the commit marker (a lost executor only re-runs
 its tasks; a half-written copy is simply rewritten), and sorted by ``ts``
-within files so Parquet row-group statistics can skip time ranges.
+within files so Parquet row-group statistics can skip time ranges. It is
+partitioned by the UTC event date (``utc_date``), which the fixtures carry
+through, so a local-day range also prunes whole partitions.
 """
 
 from __future__ import annotations
@@ -20,8 +22,11 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillscope.functions.timez import UTC_DATE
 from tillscope.session import shared_dir
 
+# Bump when the landed layout changes, so older copies are not reused.
+LAYOUT_VERSION = 2
 # source fingerprint -> landed path, for this driver process
 _CONFORMED: dict[str, str] = {}
 _LOCK = threading.Lock()
@@ -52,7 +57,7 @@ def conformed_events(spark: SparkSession, sf_dir: str, root: str | None = None)
     """
     src = os.path.join(sf_dir, "events.parquet")
     size, mtime = _fs_status(spark, src)
-    tag = hashlib.sha1(f"{os.path.abspath(src)}|{size}|{mtime}".encode()).hexdigest()[:16]
+    tag = hashlib.sha1(f"{os.path.abspath(src)}|{size}|{mtime}|v{LAYOUT_VERSION}".encode()).hexdigest()[:16]
     with _LOCK:
         path = os.path.join(root, "events") if root else _CONFORMED.get(tag)
         if path is None:
@@ -60,6 +65,16 @@ def conformed_events(spark: SparkSession, sf_dir: str, root: str | None = None)
         if not _exists(spark, os.path.join(path, "_SUCCESS")):
             raw = spark.read.parquet(src)
             k = F.get_json_object("props", "$.k").try_cast("int")
-            raw.withColumn("k", k).drop("props").sortWithinPartitions("ts").write.mode("overwrite").parquet(path)
+            conformed = raw.withColumn("k", k).drop("props").withColumn(UTC_DATE, F.to_date("ts"))
+            # Range-partition on ts: each task writes a contiguous time slice,
+            # so files stay balanced even when one day is hot (a hash
+            # repartition by day would send that day to one task).
+            (
+                conformed.repartitionByRange("ts")
+                .sortWithinPartitions("ts")
+                .write.mode("overwrite")
+                .partitionBy(UTC_DATE)
+                .parquet(path)
+            )
         _CONFORMED[tag] = path
     return spark.read.parquet(path)
