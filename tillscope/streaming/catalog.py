@@ -10,7 +10,7 @@ from tillscope.sources.fixtures import activity_from, shop_orders_from
 from tillscope.sources.order_feed import order_feed_pages
 from tillscope.sources.sinks import write_json
 from tillscope.sources.tables import read_table
-from tillscope.streaming.live_stream import live_visitor_counts, live_visitors_stream
+from tillscope.streaming.live_stream import live_visitor_counts, live_visitor_panes_stream, sliding_from_panes
 from tillscope.streaming.orders_stream import order_feed_stream, orders_stream_dedupe
 from tillscope.streaming.runtime import read_latest, run_append, run_versioned
 from tillscope.streaming.sales_stream import hourly_sales_stream
@@ -21,9 +21,12 @@ STREAM_ORACLE_SQL: dict = {}
 
 
 def _live(spark, sf_dir):
-    s = live_visitors_stream(activity_from(table_stream(spark, sf_dir, "events")))
+    """The stream keeps 1-minute panes; 5-minute sliding windows are
+    assembled from the panes' final versions."""
+    s = live_visitor_panes_stream(activity_from(table_stream(spark, sf_dir, "events")))
     path = run_versioned(s, "s1-live")
-    return read_latest(spark, path, ["window_start", "window_end", "person_id", "email"])
+    panes = read_latest(spark, path, ["pane_start", "person_id", "email"])
+    return sliding_from_panes(panes, 5, 1)
 
 
 def q_live_visitors_stream(spark, sf_dir):

@@ -47,6 +47,64 @@ def live_visitors_stream(
     )
 
 
+def live_visitor_panes_stream(
+    activity: DataFrame,
+    pane_minutes: int = 1,
+    watermark: str = "10 minutes",
+    cfg: AuditConfig = DEFAULT_CONFIG,
+) -> DataFrame:
+    """Per (tumbling pane, person, email): the latest event as
+    ``max(struct(ts, event_id, current_url, host))``.
+
+    Sliding windows overlap, so a direct sliding aggregate keeps
+    ``window / slide`` state rows per event; panes keep one. The sliding
+    result is assembled from panes by ``sliding_from_panes`` (``max`` over
+    structs is associative, so this is exact).
+    """
+    spark = activity.sparkSession
+    a = activity.where(shop_filter(cfg) & F.col("email").isNotNull() & (F.col("email") != "")).withColumn(
+        "_et", utc_instant("ts", spark)
+    )
+    g = (
+        a.withWatermark("_et", watermark)
+        .groupBy(F.window("_et", f"{pane_minutes} minutes").alias("w"), "person_id", "email")
+        .agg(F.max(F.struct("ts", "event_id", "current_url", "host")).alias("last"))
+    )
+    session_tz = spark.conf.get("spark.sql.session.timeZone")
+    return g.select(
+        F.convert_timezone(F.lit(session_tz), F.lit("UTC"), F.col("w.start").cast("timestamp_ntz")).alias("pane_start"),
+        "person_id",
+        "email",
+        F.col("last.ts").alias("last_seen"),
+        F.col("last.event_id").alias("last_event_id"),
+        F.col("last.current_url").alias("current_url"),
+        F.col("last.host").alias("host"),
+    )
+
+
+def sliding_from_panes(panes: DataFrame, minutes: int = 5, pane_minutes: int = 1) -> DataFrame:
+    """Sliding windows (length ``minutes``, slide = pane length) from panes:
+    each pane feeds the ``minutes / pane_minutes`` windows that contain it."""
+    if minutes % pane_minutes:
+        raise ValueError("window length must be a multiple of the pane length")
+    k = minutes // pane_minutes
+    spread = panes.select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_k")
+    ).withColumn("window_start", F.col("pane_start") - F.make_dt_interval(mins=F.col("_k") * pane_minutes))
+    g = spread.groupBy("window_start", "person_id", "email").agg(
+        F.max(F.struct("last_seen", "last_event_id", "current_url", "host")).alias("last")
+    )
+    return g.select(
+        "window_start",
+        (F.col("window_start") + F.expr(f"INTERVAL {minutes} MINUTES")).alias("window_end"),
+        "person_id",
+        "email",
+        F.col("last.last_seen").alias("last_seen"),
+        F.col("last.current_url").alias("current_url"),
+        F.col("last.host").alias("host"),
+    )
+
+
 def live_visitor_counts(visitors: DataFrame) -> DataFrame:
     """Visitors ((person, email) pairs) per window."""
     return visitors.groupBy("window_start", "window_end").agg(F.count(F.lit(1)).alias("visitors"))
