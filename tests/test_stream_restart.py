@@ -45,3 +45,26 @@ def test_restart_and_watermark(spark):
     assert last == t0 + dt.timedelta(minutes=31)
     raw = spark.read.parquet(path)
     assert raw.select("_batch_id").distinct().count() >= 2  # two runs, state carried over
+
+
+def test_hourly_stream_fall_back_day(spark):
+    """2024-04-07 (Sydney) repeats 02:00-03:00: both UTC hours count toward local hour 2."""
+    from decimal import Decimal
+
+    from tillscope.streaming.sales_stream import hourly_from_windows, hourly_sales_stream
+
+    src = scratch_path(spark, "dst-src")
+    schema = (
+        "number string, email string, payment_status string, status string, total decimal(18,2), "
+        "currency string, created timestamp_ntz"
+    )
+    rows = [
+        ("1", "a@x", "FULLY_CHARGED", "FULFILLED", Decimal("10.00"), "AUD", dt.datetime(2024, 4, 6, 15, 30)),  # 02:30 AEDT
+        ("2", "b@x", "FULLY_CHARGED", "FULFILLED", Decimal("5.00"), "AUD", dt.datetime(2024, 4, 6, 16, 30)),  # 02:30 AEST
+        ("3", "c@x", "FULLY_CHARGED", "FULFILLED", Decimal("1.00"), "AUD", dt.datetime(2024, 4, 6, 17, 10)),  # 03:10 AEST
+    ]
+    spark.createDataFrame(rows, schema).write.parquet(src)
+    s = hourly_sales_stream(spark.readStream.schema(schema).parquet(src))
+    path = run_versioned(s, "dst")
+    out = {(r.local_date.isoformat(), r.hour): (r.gross, r.orders) for r in hourly_from_windows(read_latest(spark, path, ["window_start"])).collect()}
+    assert out == {("2024-04-07", 2): (Decimal("15.00"), 2), ("2024-04-07", 3): (Decimal("1.00"), 1)}

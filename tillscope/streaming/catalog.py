@@ -13,7 +13,7 @@ from tillscope.sources.tables import read_table
 from tillscope.streaming.live_stream import live_visitor_counts, live_visitor_panes_stream, sliding_from_panes
 from tillscope.streaming.orders_stream import order_feed_stream, orders_stream_dedupe
 from tillscope.streaming.runtime import read_latest, run_append, run_versioned
-from tillscope.streaming.sales_stream import hourly_sales_stream
+from tillscope.streaming.sales_stream import hourly_from_windows, hourly_sales_stream
 from tillscope.streaming.sources import table_stream
 
 STREAM_QUERIES: dict = {}
@@ -48,7 +48,7 @@ def q_orders_stream_dedupe(spark, sf_dir):
 def q_hourly_sales_stream(spark, sf_dir):
     s = hourly_sales_stream(shop_orders_from(table_stream(spark, sf_dir, "events")))
     path = run_versioned(s, "s3-sales")
-    return read_latest(spark, path, ["local_date", "hour"])
+    return hourly_from_windows(read_latest(spark, path, ["window_start"]))
 
 
 STREAM_QUERIES.update(

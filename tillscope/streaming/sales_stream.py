@@ -11,10 +11,13 @@ from tillscope.streaming.runtime import instant_to_local, utc_instant
 
 
 def hourly_sales_stream(orders: DataFrame, watermark: str = "2 hours", cfg: AuditConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Paid gross and order count per hour, keyed by local date and hour.
+    """Paid gross and order count per one-hour window, keyed by the window's
+    UTC start, with its local date and hour.
 
     Tumbling one-hour windows on the UTC instant equal local clock hours
-    because the configured zone's offsets are whole hours (DST included).
+    because the configured zone's offsets are whole hours. On the 25-hour
+    fall-back day two windows share one local (date, hour); they stay two
+    keyed rows here and ``hourly_from_windows`` sums them.
     """
     spark = orders.sparkSession
     o = orders.where(
@@ -26,9 +29,20 @@ def hourly_sales_stream(orders: DataFrame, watermark: str = "2 hours", cfg: Audi
         .agg(F.sum("total").cast("decimal(18,2)").alias("gross"), F.count(F.lit(1)).alias("orders"))
     )
     local_start = instant_to_local(F.col("w.start"), spark, cfg.tz)
+    session_tz = spark.conf.get("spark.sql.session.timeZone")
     return g.select(
+        F.convert_timezone(F.lit(session_tz), F.lit("UTC"), F.col("w.start").cast("timestamp_ntz")).alias(
+            "window_start"
+        ),
         F.to_date(local_start).alias("local_date"),
         F.hour(local_start).alias("hour"),
         "gross",
         "orders",
     )
+
+
+def hourly_from_windows(windows: DataFrame) -> DataFrame:
+    """Final windows -> one row per local (date, hour)."""
+    return windows.groupBy("local_date", "hour").agg(
+        F.sum("gross").cast("decimal(18,2)").alias("gross"), F.sum("orders").cast("bigint").alias("orders")
+    )
