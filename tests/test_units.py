@@ -180,3 +180,22 @@ def test_abandoned_latest_allowance_nulls_first(spark):
     assert [(x.email, x.days_allowance_remaining, x.cart_created) for x in r] == [
         ("a[at]x", 9, ts("2024-01-10 02:00:00"))
     ]
+
+
+def test_hourly_history_dst_days(spark):
+    from decimal import Decimal as Dc
+
+    o = _orders(
+        spark,
+        [
+            ("1", "a@x", "FULLY_CHARGED", "FULFILLED", Dc("10.00"), "AUD", ts("2024-04-06 15:30:00")),  # 04-07 02:30 AEDT
+            ("2", "b@x", "FULLY_CHARGED", "FULFILLED", Dc("5.00"), "AUD", ts("2024-04-06 16:30:00")),  # 04-07 02:30 AEST
+            ("3", "c@x", "FULLY_CHARGED", "FULFILLED", Dc("2.00"), "AUD", ts("2024-10-05 16:30:00")),  # 10-06 03:30 AEDT
+        ],
+    )
+    p = purchases.purchases(o)
+    spine = spark.createDataFrame([(dt.date(2024, 4, 7),), (dt.date(2024, 10, 6),)], "local_date date")
+    h = {(r.local_date.isoformat(), r.hour): r.today for r in purchases.hourly_sales_history(p, spine).collect()}
+    assert len(h) == 48
+    assert h[("2024-04-07", 2)] == Dc("15.00")  # the repeated hour holds both UTC hours
+    assert h[("2024-10-06", 2)] == Dc("0.00") and h[("2024-10-06", 3)] == Dc("2.00")  # 02:xx does not exist
