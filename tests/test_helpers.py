@@ -49,3 +49,23 @@ def test_customer_profile_nested(fx01):
     r = prof.where(F.size("history") > 1).first()
     dates = [h["date"] for h in r.history]
     assert dates == sorted(dates, reverse=True)  # newest first
+
+
+def test_activity_from_event_log_map_and_json(spark):
+    from tillscope.sources.fixtures import activity_from_event_log
+
+    t = dt.datetime(2024, 1, 10, 1, 0, 0)
+    props = {"$session_id": "s1", "$host": "shop.example.com", "$pathname": "/", "$current_url": "https://shop.example.com/"}
+    as_map = spark.createDataFrame(
+        [(1, t, "cart_added", 5, props, {"email": "a@x"})],
+        "event_id bigint, ts timestamp_ntz, event string, person_id bigint, "
+        "properties map<string,string>, person_properties map<string,string>",
+    )
+    as_json = spark.createDataFrame(
+        [(1, t, "cart_added", 5, '{"$session_id": "s1", "$host": "shop.example.com", "$pathname": "/", '
+          '"$current_url": "https://shop.example.com/"}', '{"email": "a@x"}')],
+        "event_id bigint, ts timestamp_ntz, event string, person_id bigint, properties string, person_properties string",
+    )
+    a = [tuple(r) for r in activity_from_event_log(as_map).collect()]
+    b = [tuple(r) for r in activity_from_event_log(as_json).collect()]
+    assert a == b == [(1, t, "cart_added", 5, "a@x", "s1", "shop.example.com", "/", "https://shop.example.com/")]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillscope.functions.timez import UTC_DATE
 from tillscope.sources.landing import conformed_events
@@ -205,3 +206,31 @@ class Fixtures:
     @property
     def contacts(self) -> DataFrame:
         return contacts_from(self._t("customer"))
+
+
+def activity_from_event_log(log: DataFrame, props: str = "properties", person_props: str = "person_properties") -> DataFrame:
+    """Conform a raw behaviour log into ``activity``.
+
+    ``log`` has ``event_id, ts, event, person_id`` plus two property bags:
+    event properties (``$session_id``, ``$host``, ``$pathname``,
+    ``$current_url``) and person properties (``email``). A bag may be a
+    ``MAP<STRING,STRING>`` (map lookup) or JSON text (``get_json_object``).
+    """
+
+    def getter(bag: str):
+        if isinstance(log.schema[bag].dataType, T.MapType):
+            return lambda key: F.col(bag)[key]
+        return lambda key: F.get_json_object(F.col(bag), "$." + key)
+
+    ev, person = getter(props), getter(person_props)
+    return log.select(
+        "event_id",
+        "ts",
+        "event",
+        "person_id",
+        person("email").alias("email"),
+        ev("$session_id").alias("session_id"),
+        ev("$host").alias("host"),
+        ev("$pathname").alias("pathname"),
+        ev("$current_url").alias("current_url"),
+    )
