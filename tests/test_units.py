@@ -199,3 +199,21 @@ def test_hourly_history_dst_days(spark):
     assert len(h) == 48
     assert h[("2024-04-07", 2)] == Dc("15.00")  # the repeated hour holds both UTC hours
     assert h[("2024-10-06", 2)] == Dc("0.00") and h[("2024-10-06", 3)] == Dc("2.00")  # 02:xx does not exist
+
+
+def test_weekday_by_currency(spark):
+    from decimal import Decimal as Dc
+
+    o = _orders(
+        spark,
+        [
+            ("1", "a@x", "FULLY_CHARGED", "FULFILLED", Dc("10.00"), "AUD", ts("2024-01-10 01:00:00")),
+            ("2", "b@x", "FULLY_CHARGED", "FULFILLED", Dc("7.00"), "NZD", ts("2024-01-10 02:00:00")),
+        ],
+    )
+    p = purchases.purchases(o)
+    spine = date_spine(spark, "2024-01-10", "2024-01-10")
+    one = purchases.weekday_comparison(p, spine, 23).where("is_today").first()
+    assert (one.gross_sales, one.order_count, one.currency) == (Dc("17.00"), 2, "NZD")  # latest order's currency
+    split = purchases.weekday_comparison(p, spine, 23, by_currency=True).where("is_today").collect()
+    assert sorted((r.currency, r.gross_sales, r.order_count) for r in split) == [("AUD", Dc("10.00"), 1), ("NZD", Dc("7.00"), 1)]

@@ -225,24 +225,30 @@ def weekday_comparison(
     cutoff_hour: int,
     weeks: int = 5,
     cfg: AuditConfig = DEFAULT_CONFIG,
+    by_currency: bool = False,
 ) -> DataFrame:
     """A10: for each reference day D, paid gross/count over hours 00..H on
     D, D-7, ..., D-7*(weeks-1); zero rows kept.
 
     Columns: ref_date, local_date, day_label, is_today, hour_label,
-    gross_sales, currency, order_count.
+    gross_sales, currency, order_count. By default amounts of all currencies
+    are summed and ``currency`` is the latest order's (the dashboard's single
+    currency view); ``by_currency=True`` keeps one row per currency instead
+    (days without orders keep one zero row in the default currency).
     """
     if not 0 <= cutoff_hour <= 23:
         raise ValueError("cutoff_hour must be in 0..23")
-    daily = (
-        p.where(_paid() & (local_hour("purchase_time", cfg) <= cutoff_hour))
-        .groupBy("local_date")
-        .agg(
+    cut = p.where(_paid() & (local_hour("purchase_time", cfg) <= cutoff_hour))
+    if by_currency:
+        daily = cut.groupBy("local_date", "currency").agg(
+            F.sum("total").cast("decimal(18,2)").alias("gross_sales"), F.count(F.lit(1)).alias("order_count")
+        )
+    else:
+        daily = cut.groupBy("local_date").agg(
             F.sum("total").cast("decimal(18,2)").alias("gross_sales"),
             F.count(F.lit(1)).alias("order_count"),
             F.max_by("currency", F.struct("purchase_time", "number")).alias("currency"),
         )
-    )
     pairs = spine.select(
         F.col("local_date").alias("ref_date"), F.explode(F.sequence(F.lit(0), F.lit(weeks - 1))).alias("_k")
     ).select("ref_date", F.date_sub("ref_date", F.col("_k") * 7).alias("local_date"))
