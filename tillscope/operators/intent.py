@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from tillscope.config import DEFAULT_CONFIG, FULFILLED_STATUS, PAID_STATUS, AuditConfig
 from tillscope.functions.emails import normalize_email
-from tillscope.operators.joins import band_semi_join
+from tillscope.operators.joins import band_keys, band_semi_join
 from tillscope.operators.logins import latest_logins
 
 LOOKBACK_DAYS = 7
 
 
+def _unfulfilled_orders(p: DataFrame) -> DataFrame:
+    return p.where(
+        ~F.col("status").eqNullSafe(F.lit(FULFILLED_STATUS)) & F.col("email").isNotNull() & (F.col("email") != "")
+    ).select(F.col("local_date").alias("order_date"), normalize_email("email").alias("email_key"))
+
+
 def unfulfilled_lookups(
     daily_logins: DataFrame, p: DataFrame, lookback_days: int = LOOKBACK_DAYS
 ) -> DataFrame:
@@ -23,10 +29,8 @@ def unfulfilled_lookups(
     account already removed). Equi key e-mail plus a date band, run as an
     equi semi-join on (day, e-mail key) — never a nested loop.
     """
-    orders = p.where(
-        ~F.col("status").eqNullSafe(F.lit(FULFILLED_STATUS)) & F.col("email").isNotNull() & (F.col("email") != "")
-    ).select(F.col("local_date").alias("order_date"), normalize_email("email").alias("email_key"))
     logins = daily_logins.withColumn("email_key", normalize_email("email"))
+    orders = _unfulfilled_orders(p)
     return band_semi_join(logins, orders, "local_date", "order_date", "email_key", 0, lookback_days).drop("email_key")
 
 
@@ -46,19 +50,26 @@ def daily_intent_audit(
     the reference is the A19 relation (one row per login), not an array: a
     per-day list grows with the data and would be built in one task.
     """
-    lg = latest_logins(logins, d_from, d_to, False, cfg)
-    login_stats = lg.groupBy("local_date").agg(
-        F.count(F.lit(1)).alias("total_logins"),
-        F.count_if(F.col("allowance") > 0).alias("total_logins_with_allowance"),
+    lg = latest_logins(logins, d_from, d_to, False, cfg).withColumn("email_key", normalize_email("email"))
+    hits = band_keys(_unfulfilled_orders(p), "order_date", "email_key", "local_date", 0, LOOKBACK_DAYS)
+    # hits is unique per (day, key): the left join flags logins without fan-out,
+    # and one aggregate counts logins, allowance logins and lookups together.
+    login_stats = (
+        lg.join(hits, ["local_date", "email_key"], "left")
+        .groupBy("local_date")
+        .agg(
+            F.count(F.lit(1)).alias("total_logins"),
+            F.count_if(F.col("allowance") > 0).alias("total_logins_with_allowance"),
+            F.count_if(F.coalesce(F.col("_hit"), F.lit(False))).alias("logins_with_unfulfilled_orders"),
+        )
     )
     order_stats = (
         p.where(F.col("payment_status").eqNullSafe(F.lit(PAID_STATUS)))
         .groupBy("local_date")
         .agg(F.count(F.lit(1)).alias("total_orders"))
     )
-    unf = unfulfilled_lookups(lg, p).groupBy("local_date").agg(F.count(F.lit(1)).alias("logins_with_unfulfilled_orders"))
     z = F.lit(0).cast("bigint")
-    j = spine.join(login_stats, "local_date", "left").join(order_stats, "local_date", "left").join(unf, "local_date", "left")
+    j = spine.join(login_stats, "local_date", "left").join(order_stats, "local_date", "left")
     j = j.select(
         "local_date",
         F.coalesce("total_orders", z).alias("total_orders"),

@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def band_keys(right: DataFrame, right_date: str, key: str, left_date: str, lo_days: int, hi_days: int) -> DataFrame:
+    """Distinct (left_date, key) pairs that some ``right`` row satisfies with
+    ``left_date - right_date`` in ``[lo_days, hi_days]``, flagged ``_hit``."""
+    if hi_days < lo_days:
+        raise ValueError("empty band")
+    r = right.select(
+        F.explode(F.sequence(F.lit(lo_days), F.lit(hi_days))).alias("_off"), right_date, key
+    ).select(F.date_add(right_date, F.col("_off")).alias(left_date), key)
+    return r.distinct().withColumn("_hit", F.lit(True))
+
+
 def band_semi_join(
     left: DataFrame,
     right: DataFrame,
@@ -25,9 +36,5 @@ def band_semi_join(
     (a request parameter), not the data; the distinct is combined map-side,
     so duplicates never cross the shuffle.
     """
-    if hi_days < lo_days:
-        raise ValueError("empty band")
-    r = right.select(
-        F.explode(F.sequence(F.lit(lo_days), F.lit(hi_days))).alias("_off"), right_date, key
-    ).select(F.date_add(right_date, F.col("_off")).alias(left_date), key)
-    return left.join(r.distinct(), [left_date, key], how)
+    keys = band_keys(right, right_date, key, left_date, lo_days, hi_days).drop("_hit")
+    return left.join(keys, [left_date, key], how)
