@@ -68,3 +68,28 @@ def test_hourly_stream_fall_back_day(spark):
     path = run_versioned(s, "dst")
     out = {(r.local_date.isoformat(), r.hour): (r.gross, r.orders) for r in hourly_from_windows(read_latest(spark, path, ["window_start"])).collect()}
     assert out == {("2024-04-07", 2): (Decimal("15.00"), 2), ("2024-04-07", 3): (Decimal("1.00"), 1)}
+
+
+def test_processing_time_trigger(spark):
+    """The continuous form (the dashboard's polling interval as a trigger)."""
+    from tillscope.streaming.live_stream import live_visitor_panes_stream, sliding_from_panes
+    from tillscope.streaming.runtime import start_versioned
+
+    src = scratch_path(spark, "poll-src")
+    base = scratch_path(spark, "poll-out")
+    t0 = dt.datetime(2024, 1, 10, 10, 0, 30)
+    _rows(spark, [(1, t0, 1), (2, t0 + dt.timedelta(minutes=2), 1)]).write.parquet(src)
+    q = start_versioned(
+        live_visitor_panes_stream(spark.readStream.schema(SCHEMA).parquet(src)), base, processing_time="1 second"
+    )
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    panes = read_latest(spark, f"{base}/data", ["pane_start", "person_id", "email"])
+    windows = sliding_from_panes(panes, 5, 1)
+    # events at 10:00:30 and 10:02:30 -> windows starting 09:56 .. 10:02 (7 windows)
+    assert windows.count() == 7
+    last = {r.window_start: r.last_seen for r in windows.collect()}
+    assert last[dt.datetime(2024, 1, 10, 10, 0)] == t0 + dt.timedelta(minutes=2)
+    assert last[dt.datetime(2024, 1, 10, 9, 56)] == t0
