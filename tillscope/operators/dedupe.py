@@ -40,9 +40,14 @@ def latest_per(
     keys = list(keys)
     if value_cols is None:
         value_cols = [c for c in df.columns if c not in keys]
-    fields = _order_fields(order_by, nulls_first) + [F.col(c).alias(c) for c in value_cols]
+    order_pos = {c: i for i, c in enumerate(order_by)}
+    # Values that are also ordering columns are read back from their ordering
+    # field instead of being carried twice in the struct.
+    extra = [c for c in value_cols if c not in order_pos]
+    fields = _order_fields(order_by, nulls_first) + [F.col(c).alias(c) for c in extra]
     best = df.groupBy(*keys).agg(F.max(F.struct(*fields)).alias("_best"))
-    return best.select(*keys, *[F.col("_best")[c].alias(c) for c in value_cols])
+    out = [F.col("_best")[f"_ord{order_pos[c]}" if c in order_pos else c].alias(c) for c in value_cols]
+    return best.select(*keys, *out)
 
 
 def dedupe_by(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:

@@ -81,3 +81,26 @@ def run_audits(
     for name, df in views.items():
         out[name] = write_parquet(df.where(in_range), f"{root}/{name}", partition_by="local_date")
     return out
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m tillscope.plans.audit_job SF_DIR FROM TO [OUT_ROOT]``."""
+    import argparse
+    import json
+
+    from tillscope.session import local_session
+    from tillscope.sources.fixtures import Fixtures
+
+    ap = argparse.ArgumentParser(description="Materialise every audit for a local-day range.")
+    ap.add_argument("sf_dir")
+    ap.add_argument("d_from")
+    ap.add_argument("d_to")
+    ap.add_argument("out_root", nargs="?")
+    args = ap.parse_args(argv)
+    spark = SparkSession.getActiveSession() or local_session()
+    paths = run_audits(spark, Fixtures(spark, args.sf_dir), args.d_from, args.d_to, args.out_root)
+    print(json.dumps(paths, indent=1))
+
+
+if __name__ == "__main__":
+    main()
