@@ -36,11 +36,34 @@ def instant_to_local(ts: Column | str, spark: SparkSession, tz: str) -> Column:
     return F.convert_timezone(F.lit(session_tz), F.lit(tz), c.cast("timestamp_ntz"))
 
 
+def state_partitions_for(spark: SparkSession) -> int:
+    """Default number of state partitions: the cluster's parallelism, capped
+    by the session's shuffle partitions (state is small next to batch data)."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(shuffle, spark.sparkContext.defaultParallelism))
+
+
+def _start(writer, spark: SparkSession, state_partitions: int | None) -> StreamingQuery:
+    """Start ``writer``; a query clones the session conf when it starts, so
+    the state-partition count is set only around ``start()``. A restarted
+    query keeps the count recorded in its checkpoint."""
+    if state_partitions is None:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
+
+
 def start_versioned(
     df: DataFrame,
     base: str,
     output_mode: str = "update",
     processing_time: str | None = None,
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
     """Start ``df`` writing every micro-batch, tagged with its batch id, to
     ``base/data`` with its checkpoint in ``base/checkpoint``.
@@ -58,31 +81,36 @@ def start_versioned(
 
     w = df.writeStream.outputMode(output_mode).foreachBatch(write_batch).option("checkpointLocation", ckpt)
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
-    return w.start()
+    return _start(w, df.sparkSession, state_partitions)
 
 
-def run_versioned(df: DataFrame, name: str, output_mode: str = "update", base: str | None = None) -> str:
+def run_versioned(
+    df: DataFrame,
+    name: str,
+    output_mode: str = "update",
+    base: str | None = None,
+    state_partitions: int | None = None,
+) -> str:
     """Run ``df`` to completion (``availableNow``) into a fresh folder of the
     shared folder (or ``base``); returns the data path."""
     base = base or scratch_path(df.sparkSession, name)
-    start_versioned(df, base, output_mode).awaitTermination()
+    start_versioned(df, base, output_mode, state_partitions=state_partitions).awaitTermination()
     return f"{base}/data"
 
 
-def run_append(df: DataFrame, name: str) -> str:
+def run_append(df: DataFrame, name: str, state_partitions: int | None = None) -> str:
     """Run an append-only stream into a Parquet file sink (exactly-once)."""
     spark = df.sparkSession
     base = scratch_path(spark, name)
     out, ckpt = f"{base}/data", f"{base}/checkpoint"
-    q = (
+    w = (
         df.writeStream.outputMode("append")
         .format("parquet")
         .option("path", out)
         .option("checkpointLocation", ckpt)
         .trigger(availableNow=True)
-        .start()
     )
-    q.awaitTermination()
+    _start(w, spark, state_partitions).awaitTermination()
     return out
 
 
