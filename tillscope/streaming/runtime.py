@@ -43,19 +43,32 @@ def state_partitions_for(spark: SparkSession) -> int:
     return max(1, min(shuffle, spark.sparkContext.defaultParallelism))
 
 
-def _start(writer, spark: SparkSession, state_partitions: int | None) -> StreamingQuery:
+def _start(writer, spark: SparkSession, state_partitions: int | None, to_completion: bool) -> StreamingQuery:
     """Start ``writer``; a query clones the session conf when it starts, so
-    the state-partition count is set only around ``start()``. A restarted
-    query keeps the count recorded in its checkpoint."""
-    if state_partitions is None:
-        return writer.start()
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions))
+    per-query settings are applied only around ``start()``:
+
+    * ``state_partitions``: number of state-store partitions (a restarted
+      query keeps the count recorded in its checkpoint);
+    * run-to-completion queries skip the trailing no-data micro-batch: it
+      only evicts state, and these update/append outputs emit rows as they
+      change, so the result is the same. Continuous queries keep it.
+    """
+    conf = {}
+    if state_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(state_partitions)
+    if to_completion:
+        conf["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         return writer.start()
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def start_versioned(
@@ -81,7 +94,7 @@ def start_versioned(
 
     w = df.writeStream.outputMode(output_mode).foreachBatch(write_batch).option("checkpointLocation", ckpt)
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
-    return _start(w, df.sparkSession, state_partitions)
+    return _start(w, df.sparkSession, state_partitions, to_completion=processing_time is None)
 
 
 def run_versioned(
@@ -110,7 +123,7 @@ def run_append(df: DataFrame, name: str, state_partitions: int | None = None) ->
         .option("checkpointLocation", ckpt)
         .trigger(availableNow=True)
     )
-    _start(w, spark, state_partitions).awaitTermination()
+    _start(w, spark, state_partitions, to_completion=True).awaitTermination()
     return out
 
 
