@@ -7,7 +7,8 @@ conformed ``events`` table with ``k`` as a typed column does the parse once.
 
 The landed copy is keyed by the source file's length and modification time,
 written with ``_SUCCESS`` as the commit marker (a lost executor only re-runs
-its tasks; a half-written copy is simply rewritten), and sorted by ``ts``
+its tasks), each attempt in its own folder so concurrent drivers never
+overwrite one another, and sorted by ``ts``
 within files so Parquet row-group statistics can skip time ranges. It is
 partitioned by the UTC event date (``utc_date``), which the fixtures carry
 through, so a local-day range also prunes whole partitions.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ from tillscope.functions.timez import UTC_DATE
 from tillscope.session import shared_dir
 
 # Bump when the landed layout changes, so older copies are not reused.
-LAYOUT_VERSION = 2
+LAYOUT_VERSION = 3
 # source fingerprint -> landed path, for this driver process
 _CONFORMED: dict[str, str] = {}
 _LOCK = threading.Lock()
@@ -43,10 +45,28 @@ def _fs_status(spark: SparkSession, path: str) -> tuple[int, int]:
     return total, newest
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
+
+
+def _committed_attempt(spark: SparkSession, base: str) -> str | None:
+    """The first landing attempt under ``base`` that committed (``_SUCCESS``)."""
+    p, fs = _fs(spark, base)
+    if not fs.exists(p):
+        return None
+    for st in sorted(fs.listStatus(p), key=lambda x: x.getPath().getName()):
+        if st.isDirectory():
+            events = f"{st.getPath().toString()}/events"
+            if _exists(spark, f"{events}/_SUCCESS"):
+                return events
+    return None
 
 
 def conformed_events(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
@@ -61,7 +81,11 @@ def conformed_events(spark: SparkSession, sf_dir: str, root: str | None = None)
     with _LOCK:
         path = os.path.join(root, "events") if root else _CONFORMED.get(tag)
         if path is None:
-            path = os.path.join(shared_dir(spark), "tillscope", "landed", tag, "events")
+            # Each attempt lands in its own folder; any committed attempt is
+            # reused. Processes landing at the same time never overwrite or
+            # delete each other's files.
+            base = os.path.join(shared_dir(spark), "tillscope", "landed", tag)
+            path = _committed_attempt(spark, base) or os.path.join(base, uuid.uuid4().hex[:12], "events")
         if not _exists(spark, os.path.join(path, "_SUCCESS")):
             raw = spark.read.parquet(src)
             k = F.get_json_object("props", "$.k").try_cast("int")
