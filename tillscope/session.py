@@ -35,12 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
     On a cluster this is set by the platform and read as is. Only when it is
     unset (local tests) do we create one and register it.
     """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    try:  # classic sessions; a Connect session has no SparkContext handle
+        sc = spark.sparkContext
+        path = sc.getCheckpointDir()
+        if not path:
+            path = tempfile.mkdtemp(prefix="tillscope-ckpt-")
+            sc.setCheckpointDir(path)
+        return path
+    except Exception:  # noqa: BLE001
         path = tempfile.mkdtemp(prefix="tillscope-ckpt-")
-        sc.setCheckpointDir(path)
-    return path
+        spark.conf.set("spark.checkpoint.dir", path)
+        return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -176,7 +176,9 @@ class Fixtures:
 
     def _t(self, name: str) -> DataFrame:
         if name == "events" and self.conformed:
-            return conformed_events(self.spark, self.sf_dir)
+            landed = conformed_events(self.spark, self.sf_dir)
+            if landed is not None:
+                return landed
         return read_table(self.spark, self.sf_dir, name)
 
     @property

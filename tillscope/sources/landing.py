@@ -69,14 +69,19 @@ def _committed_attempt(spark: SparkSession, base: str) -> str | None:
     return None
 
 
-def conformed_events(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
+def conformed_events(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame | None:
     """``events`` with ``k`` parsed to INT and ``props`` dropped.
 
     ``root`` overrides the landing folder (default: the shared folder); the
     first landing of a source in this process is reused by later calls.
+    Returns None when the file system cannot be inspected from this session;
+    callers then derive from the raw table.
     """
     src = os.path.join(sf_dir, "events.parquet")
-    size, mtime = _fs_status(spark, src)
+    try:
+        size, mtime = _fs_status(spark, src)
+    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a Connect session)
+        return None
     tag = hashlib.sha1(f"{os.path.abspath(src)}|{size}|{mtime}|v{LAYOUT_VERSION}".encode()).hexdigest()[:16]
     with _LOCK:
         path = os.path.join(root, "events") if root else _CONFORMED.get(tag)

@@ -40,7 +40,11 @@ def state_partitions_for(spark: SparkSession) -> int:
     """Default number of state partitions: the cluster's parallelism, capped
     by the session's shuffle partitions (state is small next to batch data)."""
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(shuffle, spark.sparkContext.defaultParallelism))
+    try:
+        parallelism = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - Connect sessions expose no SparkContext
+        return shuffle
+    return max(1, min(shuffle, parallelism))
 
 
 def _start(writer, spark: SparkSession, state_partitions: int | None) -> StreamingQuery:
