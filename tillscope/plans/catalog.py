@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.config import DEFAULT_CONFIG as CFG
-from tillscope.functions.emails import unmask_email
+from tillscope.functions.emails import normalize_email, unmask_email
 from tillscope.functions.timez import date_spine_of
 from tillscope.operators import funnel as fn
 from tillscope.operators import intent, live, logins, profiles, purchases, recovery, report
@@ -167,8 +167,6 @@ def q_funnel_outcome(spark, sf_dir):
 def q_session_stage_rollup(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     lg = logins.latest_logins(fx.logins, cfg=CFG)
-    from tillscope.functions.emails import normalize_email
-
     keys = lg.select(F.col("local_date").alias("act_date"), normalize_email("email").alias("email_key"))
     return fn.session_stage_rollup(fx.activity, keys, cfg=CFG)
 
