@@ -73,6 +73,9 @@ def test_unpaid_with_hot_email(spark):
                AND q.local_date = pdf.local_date AND q.email = pdf.email)"""
     ).fetchall()[0][0]
     assert unpaid.count() == want
+    salted = purchases.purchase_status_filter(p, "unpaid", salt_buckets=16)
+    assert salted.count() == want
+    assert salted.exceptAll(unpaid).count() == 0 and unpaid.exceptAll(salted).count() == 0
     k = purchases.purchase_kpis(p, date_spine_of(p)).agg(F.sum("true_unpaid_total")).first()[0]
     assert k == Decimal(want)  # every unpaid order is 1.00
 
