@@ -33,3 +33,13 @@ def test_facade_matches_golden(fx01):
     assert a.customer(["USER3@example.com"]).count() == 1
     as_of = fx01.activity.agg(F.max("ts")).first()[0]
     assert a.live_count(as_of, 60).first()["count"] == 9
+
+
+def test_kpis_agree_with_hourly_history(fx01):
+    a = ShopAudits(fx01)
+    k = a.purchase_kpis(D).first()
+    assert k.total_paid == Decimal("1886.35") and k.prev_total_paid == Decimal("804.45")
+    assert k.total_delta == Decimal("1081.90")
+    y = a.purchase_history(D).agg(F.sum("yesterday")).first()[0]
+    assert y == k.prev_total_paid  # A6's previous day equals A7's yesterday column
+    assert k.prev_aov is not None and a.purchase_traffic(D).agg(F.sum("today")).first()[0] == 79
