@@ -19,6 +19,7 @@ from tillscope.functions.timez import (
     local_day_filter,
     to_local,
     utc_window_filter,
+    where_local_days,
 )
 
 __all__ = [
@@ -41,4 +42,5 @@ __all__ = [
     "to_local",
     "unmask_email",
     "utc_window_filter",
+    "where_local_days",
 ]
