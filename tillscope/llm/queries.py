@@ -4,17 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillscope.llm import quality, secret_scan, sharding
+from tillscope.llm import (
+    decontamination, embedding_dedup, jaccard, line_dedup, packing, quality, secret_scan, sharding, substring_dedup, toxicity,
+)
 from tillscope.llm.common import table
 
+#: The byte-level BPE file of the packing query.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _docs(fn: Callable[..., DataFrame], *others: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Query: ``fn`` over the whole tables ``documents`` and ``others``."""
+    return lambda spark, sf_dir: fn(spark, *(table(spark, sf_dir, t) for t in ("documents", *others)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_quality_qda": lambda s, d: quality.quality_scores(s, table(s, d, "documents"), table(s, d, "labels")),
-    "op5_secret_scan": lambda s, d: secret_scan.secret_spans(table(s, d, "documents")),
-    "op8_lpt_sharding": lambda s, d: sharding.shard_documents(s, table(s, d, "documents")),
+    "op1_toxicity_cnn": _docs(toxicity.toxicity_scores, "labels"),
+    "op2_line_dedup": _docs(line_dedup.query),
+    "op3_quality_qda": _docs(quality.quality_scores, "labels"),
+    "op4_embedding_multi_index": lambda s, d: embedding_dedup.embedding_dedup(s, table(s, d, "embeddings")),
+    "op5_secret_scan": _docs(lambda spark, docs: secret_scan.secret_spans(docs)),
+    "op6_hierarchical_packing": _docs(lambda spark, docs: packing.pack_documents(docs, TOKENIZER)),
+    "op7_ngram_jaccard_join": _docs(jaccard.jaccard_components),
+    "op8_lpt_sharding": _docs(sharding.shard_documents),
+    "op9_template_decontamination": _docs(decontamination.decontamination, "benchmark"),
+    "op10_recompression_dedup": _docs(substring_dedup.substring_dedup),
 }
 
 #: DuckDB SQL where it can express the operator; the others are held against
-#: brute force or held-out accuracy in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+#: brute force, an exact round trip or held-out accuracy in tests/llm.
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE}

@@ -11,8 +11,8 @@ summed size in the same order. The driver so holds at most
 ``shards * fineness + bundles`` (id, size) pairs at any corpus size, and the
 two lookup tables that are broadcast have the same bound.
 
-Nulls and ties: a null text has no bytes (size 1, crc 0) and its rows form a
-group; an empty text is another group. Equal sizes are ordered by group id,
+Nulls and ties: a null text has no bytes, like an empty one (size 1, crc 0),
+and both are one group. Equal sizes are ordered by group id,
 equal loads by shard number. Repeated rows are rows of their own and get slots
 of their own. An empty table gives no rows.
 """
@@ -61,7 +61,7 @@ def shard_documents(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(blob), F.lit(0).cast("long")).alias("text_crc32"),
-        F.xxhash64(F.col("text").isNull(), "text").alias("g"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("g"),
         F.monotonically_increasing_id().alias("at"),
     )
     rows = land(spark, rows, "shard-rows")
