@@ -80,7 +80,14 @@ def test_unpaid_with_hot_email(spark):
     assert k == Decimal(want)  # every unpaid order is 1.00
 
 
-def test_spine_guard(spark):
-    df = spark.createDataFrame([(dt.date(2024, 1, 1),), (dt.date(9999, 1, 1),)], "local_date date")
-    with pytest.raises(Exception, match="date spine longer"):
-        date_spine_of(df).count()
+def test_far_off_date(spark):
+    """A stray far-off date makes a long spine, not a failed audit."""
+    last = dt.date(9999, 1, 1)
+    df = spark.createDataFrame([(dt.date(2024, 1, 1),), (last,)], "local_date date")
+    assert date_spine_of(df).count() == (last - dt.date(2024, 1, 1)).days + 1
+    rows = [("1", "a@x", "FULLY_CHARGED", "FULFILLED", Decimal("2.00"), "AUD", dt.datetime(2024, 1, 1)),
+            ("2", "a@x", "FULLY_CHARGED", "FULFILLED", Decimal("3.00"), "AUD", dt.datetime(9998, 12, 31))]
+    p = purchases.purchases(spark.createDataFrame(rows, "number string, email string, payment_status string, status string, "
+                                                  "total decimal(18,2), currency string, created timestamp_ntz"))
+    k = purchases.purchase_kpis(p, date_spine_of(p))
+    assert k.agg(F.sum("total_paid")).first()[0] == Decimal("5.00")

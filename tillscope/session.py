@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,25 +31,24 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``).
+    """The cluster's shared folder (``spark.checkpoint.dir``), read from the session.
 
-    On a cluster this is set by the platform and read as is. Only when it is
-    unset (local tests) do we create one and register it.
+    A folder of this machine is made only for a ``local`` master, where the
+    driver and all tasks see the same disk. On any other master an unset
+    folder is an error: executors would each write to a disk of their own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    try:  # classic sessions; a Connect session has no SparkContext handle
-        sc = spark.sparkContext
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {master!r})")
+    sc = spark.sparkContext
+    path = sc.getCheckpointDir()
+    if not path:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tillscope-ckpt-"))
         path = sc.getCheckpointDir()
-        if not path:
-            path = tempfile.mkdtemp(prefix="tillscope-ckpt-")
-            sc.setCheckpointDir(path)
-        return path
-    except Exception:  # noqa: BLE001
-        path = tempfile.mkdtemp(prefix="tillscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        return path
+    return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
