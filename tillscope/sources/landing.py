@@ -1,25 +1,19 @@
-"""Conformed copy of the event log, landed once in the shared folder.
+"""Landing job: a conformed copy of the event log.
 
-The property bag ``props`` is JSON text; every fixture needs its ``k``
-field. Parsing it in each audit repeats the JSON parse many times per row
-(Catalyst substitutes the alias into every pushed predicate). Landing a
-conformed ``events`` table with ``k`` as a typed column does the parse once.
+The property bag ``props`` is JSON text; the landed copy holds its ``k`` field
+as a typed column, so the parse is done once for all audits. It is partitioned
+by the UTC event date (``utc_date``), which the fixtures carry through, and
+sorted by ``ts`` within files, so a local-day range prunes whole partitions
+and row groups.
 
-The landed copy is keyed by the source file's length and modification time,
-written with ``_SUCCESS`` as the commit marker (a lost executor only re-runs
-its tasks), each attempt in its own folder so concurrent drivers never
-overwrite one another, and sorted by ``ts``
-within files so Parquet row-group statistics can skip time ranges. It is
-partitioned by the UTC event date (``utc_date``), which the fixtures carry
-through, so a local-day range also prunes whole partitions.
+Landing is an explicit job: queries never land anything, they read a copy
+that they are given (``Fixtures(spark, sf_dir, events=path)``).
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import os
-import threading
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,83 +21,44 @@ from pyspark.sql import functions as F
 from tillscope.functions.timez import UTC_DATE
 from tillscope.session import shared_dir
 
-# Bump when the landed layout changes, so older copies are not reused.
-LAYOUT_VERSION = 3
-# source fingerprint -> landed path, for this driver process
-_CONFORMED: dict[str, str] = {}
-_LOCK = threading.Lock()
+#: Source bytes that one written slice of time holds.
+SLICE_BYTES = 128 << 20
 
 
-def _fs_status(spark: SparkSession, path: str) -> tuple[int, int]:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    total, newest = 0, 0
-    for st in fs.listStatus(p):
-        total += st.getLen()
-        newest = max(newest, st.getModificationTime())
-    return total, newest
+def source_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes under ``path``, at any depth (one call to the file system)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+def conformed(events: DataFrame) -> DataFrame:
+    """``events`` with ``k`` parsed to INT, ``props`` dropped and the UTC date."""
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    return events.withColumn("k", k).drop("props").withColumn(UTC_DATE, F.to_date("ts"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs(spark, path)
-    return fs.exists(p)
+def land_events(
+    spark: SparkSession, sf_dir: str, version: str, root: str | None = None, slice_bytes: int = SLICE_BYTES
+) -> str:
+    """Write the conformed event log of ``sf_dir``; returns its path.
 
-
-def _committed_attempt(spark: SparkSession, base: str) -> str | None:
-    """The first landing attempt under ``base`` that committed (``_SUCCESS``)."""
-    p, fs = _fs(spark, base)
-    if not fs.exists(p):
-        return None
-    for st in sorted(fs.listStatus(p), key=lambda x: x.getPath().getName()):
-        if st.isDirectory():
-            events = f"{st.getPath().toString()}/events"
-            if _exists(spark, f"{events}/_SUCCESS"):
-                return events
-    return None
-
-
-def conformed_events(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame | None:
-    """``events`` with ``k`` parsed to INT and ``props`` dropped.
-
-    ``root`` overrides the landing folder (default: the shared folder); the
-    first landing of a source in this process is reused by later calls.
-    Returns None when the file system cannot be inspected from this session;
-    callers then derive from the raw table.
+    ``version`` names the state of the source (the caller knows when it
+    changed; neither sizes nor times on an object store tell) and is the
+    folder's name under ``root`` (default: the shared folder), so a version
+    landed again replaces itself. The number of time slices follows the
+    source's bytes. Errors while looking at the source are raised.
     """
     src = os.path.join(sf_dir, "events.parquet")
-    try:
-        size, mtime = _fs_status(spark, src)
-    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a Connect session)
-        return None
-    tag = hashlib.sha1(f"{os.path.abspath(src)}|{size}|{mtime}|v{LAYOUT_VERSION}".encode()).hexdigest()[:16]
-    with _LOCK:
-        path = os.path.join(root, "events") if root else _CONFORMED.get(tag)
-        if path is None:
-            # Each attempt lands in its own folder; any committed attempt is
-            # reused. Processes landing at the same time never overwrite or
-            # delete each other's files.
-            base = os.path.join(shared_dir(spark), "tillscope", "landed", tag)
-            path = _committed_attempt(spark, base) or os.path.join(base, uuid.uuid4().hex[:12], "events")
-        if not _exists(spark, os.path.join(path, "_SUCCESS")):
-            raw = spark.read.parquet(src)
-            k = F.get_json_object("props", "$.k").try_cast("int")
-            conformed = raw.withColumn("k", k).drop("props").withColumn(UTC_DATE, F.to_date("ts"))
-            # Range-partition on ts: each task writes a contiguous time slice,
-            # so files stay balanced even when one day is hot (a hash
-            # repartition by day would send that day to one task).
-            (
-                conformed.repartitionByRange("ts")
-                .sortWithinPartitions("ts")
-                .write.mode("overwrite")
-                .partitionBy(UTC_DATE)
-                .parquet(path)
-            )
-        _CONFORMED[tag] = path
-    return spark.read.parquet(path)
+    slices = max(1, math.ceil(source_bytes(spark, src) / slice_bytes))
+    path = os.path.join(root or os.path.join(shared_dir(spark), "tillscope", "landed"), version, "events")
+    # Range-partition on ts: each task writes a contiguous time slice, so files
+    # stay balanced even when one day is hot.
+    (
+        conformed(spark.read.parquet(src))
+        .repartitionByRange(slices, "ts")
+        .sortWithinPartitions("ts")
+        .write.mode("overwrite")
+        .partitionBy(UTC_DATE)
+        .parquet(path)
+    )
+    return path
