@@ -17,28 +17,34 @@ TS_OPTIONS = {
 }
 
 
-def write_json(df: DataFrame, path: str, partition_by: str | None = "local_date", mode: str = "overwrite") -> str:
-    w = df.write.mode(mode).options(**TS_OPTIONS)
+#: Rows of one output file at most (about 128 MB of order rows).
+MAX_ROWS_PER_FILE = 1_000_000
+
+
+def _writer(df: DataFrame, partition_by: str | None, mode: str):
+    """A writer whose files follow the days' sizes: rows are rebalanced by the
+    partition column (AQE splits a hot day and merges small ones), and only
+    the days present in ``df`` are replaced."""
     if partition_by and partition_by in df.columns:
-        w = w.partitionBy(partition_by)
-    w.json(path)
+        w = df.hint("rebalance", partition_by).write.partitionBy(partition_by)
+    else:
+        w = df.write
+    return w.mode(mode).option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
+
+
+def write_json(df: DataFrame, path: str, partition_by: str | None = "local_date", mode: str = "overwrite") -> str:
+    _writer(df, partition_by, mode).options(**TS_OPTIONS).json(path)
     return path
 
 
 def write_csv(df: DataFrame, path: str, partition_by: str | None = "local_date", mode: str = "overwrite") -> str:
     """CSV with header; Spark quotes fields that need it (commas, quotes)."""
-    w = df.write.mode(mode).options(**TS_OPTIONS).option("header", True)
-    if partition_by and partition_by in df.columns:
-        w = w.partitionBy(partition_by)
-    w.csv(path)
+    _writer(df, partition_by, mode).options(**TS_OPTIONS).option("header", True).csv(path)
     return path
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> str:
-    w = df.write.mode(mode)
-    if partition_by and partition_by in df.columns:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
+    _writer(df, partition_by, mode).parquet(path)
     return path
 
 
