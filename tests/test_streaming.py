@@ -29,6 +29,56 @@ def test_hourly_stream_equals_batch_history(spark):
     _same(s.select("local_date", "hour", F.col("gross").alias("today")), h.select("local_date", "hour", "today"))
 
 
+def test_streams_on_folder_tables(spark):
+    """S1 and S3 over a (date-partitioned) folder equal their rows over a file."""
+    from tillscope.session import scratch_path
+    from tillscope.sources.tables import read_table
+
+    root = scratch_path(spark, "folder-tables")
+    events = read_table(spark, SF001, "events").withColumn("day", F.to_date("ts"))
+    events.repartition(3).write.partitionBy("day").parquet(f"{root}/events.parquet")
+    for q in (catalog.q_live_visitor_counts_stream, catalog.q_hourly_sales_stream, catalog.q_orders_stream_dedupe):
+        _same(q(spark, root), q(spark, SF001))
+    empty = scratch_path(spark, "empty-tables")
+    events.drop("day").limit(0).write.parquet(f"{empty}/events.parquet")
+    for q in (catalog.q_live_visitors_stream, catalog.q_hourly_sales_stream, catalog.q_orders_stream_dedupe):
+        assert q(spark, empty).count() == 0
+
+
+def _orders(spark, rows):
+    schema = "number string, email string, payment_status string, status string, total decimal(18,2), currency string, created timestamp_ntz"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_repeated_feed_rows_count_once(spark):
+    from tillscope.streaming.sales_stream import hourly_from_windows, hourly_sales_stream
+
+    o = Fixtures(spark, SF001).shop_orders
+    once = hourly_from_windows(hourly_sales_stream(o))
+    _same(hourly_from_windows(hourly_sales_stream(o.unionByName(o))), once)
+
+
+def test_last_copy_of_an_order_wins(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    from tillscope.session import scratch_path
+    from tillscope.sources.order_feed import fetch_pages
+    from tillscope.streaming.orders_stream import latest_orders, order_feed_stream, orders_stream_latest
+    from tillscope.streaming.runtime import read_versions, run_versioned
+
+    src, base = scratch_path(spark, "feed"), scratch_path(spark, "feed-out")
+    at = dt.datetime(2024, 1, 10, 3, 0)
+    for status in ("NOT_CHARGED", "FULLY_CHARGED"):
+        fetch_pages(_orders(spark, [("1", "a@x", status, "FULFILLED", Decimal("1.00"), "AUD", at)]), 0, "day", 100).write.mode(
+            "append"
+        ).json(src)
+        s = orders_stream_latest(order_feed_stream(spark, src))
+        path = run_versioned(s, "feed", base=base)
+    rows = latest_orders(read_versions(spark, path, s.schema)).collect()
+    assert [(r.number, r.payment_status) for r in rows] == [("1", "FULLY_CHARGED")]
+
+
 def test_order_feed_stream_dedupes(spark):
     s = catalog.q_orders_stream_dedupe(spark, SF001)
     o = Fixtures(spark, SF001).shop_orders.drop("utc_date")

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: When a page was landed; kept by the flattening where pages have it.
+LANDED = "landed_at"
+
 NODE = T.StructType(
     [
         T.StructField("number", T.StringType()),
@@ -75,7 +78,8 @@ def flatten_order_feed(pages: DataFrame) -> DataFrame:
     whatever the session zone is.
     """
     session_tz = pages.sparkSession.conf.get("spark.sql.session.timeZone")
-    e = pages.select("page_id", F.explode("data.orders.edges").alias("edge"))
+    carried = [c for c in ("page_id", LANDED) if c in pages.columns]
+    e = pages.select(*carried, F.explode("data.orders.edges").alias("edge"))
     n = F.col("edge.node")
     created = F.convert_timezone(F.lit(session_tz), F.lit("UTC"), F.to_timestamp(n["created"]).cast("timestamp_ntz"))
     return e.select(
@@ -87,6 +91,7 @@ def flatten_order_feed(pages: DataFrame) -> DataFrame:
         n["total"]["gross"]["currency"].alias("currency"),
         created.alias("created"),
         F.col("page_id").alias("source"),
+        *([F.col(LANDED)] if LANDED in pages.columns else []),
     )
 
 
@@ -95,7 +100,7 @@ def read_order_feed(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return spark.read.schema(PAGE).json(paths)
 
 
-def _fetch_pages(shop_orders: DataFrame, day_shift: int, fetch: str, page_size: int) -> DataFrame:
+def fetch_pages(shop_orders: DataFrame, day_shift: int, fetch: str, page_size: int) -> DataFrame:
     """Pages of one fetch kind: orders of UTC day d land in the fetch for
     day d + ``day_shift``. A fetch day's orders are hashed into
     ``ceil(n_day / page_size)`` pages, so a page holds about ``page_size``
@@ -138,6 +143,6 @@ def order_feed_pages(shop_orders: DataFrame, page_size: int = 100) -> DataFrame:
     the next day's previous-day fetch, and the two fetches are combined with
     ``unionByName`` — so every order occurs in two documents.
     """
-    own_day = _fetch_pages(shop_orders, 0, "day", page_size)
-    previous_day = _fetch_pages(shop_orders, 1, "prev", page_size)
+    own_day = fetch_pages(shop_orders, 0, "day", page_size)
+    previous_day = fetch_pages(shop_orders, 1, "prev", page_size)
     return own_day.unionByName(previous_day)

@@ -11,8 +11,8 @@ from tillscope.sources.order_feed import order_feed_pages
 from tillscope.sources.sinks import write_json
 from tillscope.sources.tables import read_table
 from tillscope.streaming.live_stream import live_visitor_counts, live_visitor_panes_stream, sliding_from_panes
-from tillscope.streaming.orders_stream import order_feed_stream, orders_stream_dedupe
-from tillscope.streaming.runtime import read_latest, run_append, run_versioned, state_partitions_for
+from tillscope.streaming.orders_stream import latest_orders, order_feed_stream, orders_stream_latest
+from tillscope.streaming.runtime import read_latest, read_versions, run_versioned
 from tillscope.streaming.sales_stream import hourly_from_windows, hourly_sales_stream
 from tillscope.streaming.sources import table_stream
 
@@ -24,8 +24,8 @@ def _live(spark, sf_dir):
     """The stream keeps 1-minute panes; 5-minute sliding windows are
     assembled from the panes' final versions."""
     s = live_visitor_panes_stream(activity_from(table_stream(spark, sf_dir, "events")))
-    path = run_versioned(s, "s1-live", state_partitions=state_partitions_for(spark))
-    panes = read_latest(spark, path, ["pane_start", "person_id", "email"])
+    path = run_versioned(s, "s1-live")
+    panes = read_latest(spark, path, ["pane_start", "person_id", "email"], s.schema)
     return sliding_from_panes(panes, 5, 1)
 
 
@@ -40,15 +40,13 @@ def q_live_visitor_counts_stream(spark, sf_dir):
 def q_orders_stream_dedupe(spark, sf_dir):
     pages = order_feed_pages(shop_orders_from(read_table(spark, sf_dir, "events")))
     landed = write_json(pages, scratch_path(spark, "s2-pages"), partition_by=None)
-    s = orders_stream_dedupe(order_feed_stream(spark, landed))
-    out = run_append(s.drop("source"), "s2-orders", state_partitions=state_partitions_for(spark))
-    return spark.read.parquet(out)
+    s = orders_stream_latest(order_feed_stream(spark, landed))
+    return latest_orders(read_versions(spark, run_versioned(s, "s2-orders"), s.schema))
 
 
 def q_hourly_sales_stream(spark, sf_dir):
     s = hourly_sales_stream(shop_orders_from(table_stream(spark, sf_dir, "events")))
-    path = run_versioned(s, "s3-sales", state_partitions=state_partitions_for(spark))
-    return hourly_from_windows(read_latest(spark, path, ["window_start"]))
+    return hourly_from_windows(read_latest(spark, run_versioned(s, "s3-sales"), ["window_start"], s.schema))
 
 
 STREAM_QUERIES.update(

@@ -1,26 +1,43 @@
-"""Order feed pages streamed in and de-duplicated by order number."""
+"""Order feed pages streamed in, the last copy of each order number kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tillscope.sources.order_feed import PAGE, flatten_order_feed
-from tillscope.streaming.runtime import utc_instant
+from tillscope.operators.dedupe import latest_per
+from tillscope.sources.order_feed import LANDED, PAGE, flatten_order_feed
+from tillscope.streaming.runtime import BATCH_COL, utc_instant
+
+ORDER = [LANDED, "source"]
+FIELDS = ["email", "payment_status", "status", "total", "currency", "created"]
 
 
 def order_feed_stream(spark, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Landed pages as a stream, with the time at which each was landed."""
     r = spark.readStream.schema(PAGE)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.json(path)
+    return r.json(path).withColumn(LANDED, F.col("_metadata.file_modification_time"))
 
 
-def orders_stream_dedupe(pages: DataFrame, overlap: str = "2 days") -> DataFrame:
-    """Flatten streamed pages; keep the first copy of each order number.
+def orders_stream_latest(pages: DataFrame, overlap: str = "2 days") -> DataFrame:
+    """Flatten streamed pages; the latest copy of each order number (by landing
+    time, then page), written by version like S1.
 
     ``overlap`` bounds how far apart (in event time) two copies of one order
-    can arrive — the reference re-fetches the previous UTC day, so two days.
-    State for a number is dropped once the watermark passes it.
+    can arrive: the feed re-fetches the previous UTC day, so two days. State
+    is keyed by the order's day as well, so the watermark drops it.
     """
     flat = flatten_order_feed(pages).withColumn("_et", utc_instant("created", pages.sparkSession))
-    return flat.withWatermark("_et", overlap).dropDuplicatesWithinWatermark(["number"]).drop("_et")
+    best = (
+        flat.withWatermark("_et", overlap)
+        .groupBy(F.window("_et", "1 day"), "number")
+        .agg(F.max(F.struct(*ORDER, *FIELDS)).alias("_last"))
+    )
+    return best.select("number", "_last.*")
+
+
+def latest_orders(versions: DataFrame) -> DataFrame:
+    """One row per order number from the stream's written versions."""
+    return latest_per(versions, ["number"], [*ORDER, BATCH_COL], FIELDS)

@@ -1,8 +1,9 @@
 """Running streams to completion into the shared folder.
 
 Aggregating streams run in *update* mode with a watermark, so state for
-closed windows is dropped. Each micro-batch's updated rows are appended with
-their batch id; readers take the latest version of every key. This gives the
+closed windows is dropped. Each micro-batch's updated rows are written to a
+folder named by its batch id; readers take the latest version of every key,
+and ``compact`` bounds what they read. This gives the
 exact final result without complete mode (whose state never shrinks) and
 without the driver-held memory sink. Checkpoints live in the shared folder, so
 a restarted query resumes where it stopped.
@@ -15,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tillscope.operators.dedupe import latest_per
 from tillscope.session import scratch_path
@@ -36,21 +38,12 @@ def instant_to_local(ts: Column | str, spark: SparkSession, tz: str) -> Column:
     return F.convert_timezone(F.lit(session_tz), F.lit(tz), c.cast("timestamp_ntz"))
 
 
-def state_partitions_for(spark: SparkSession) -> int:
-    """Default number of state partitions: the cluster's parallelism, capped
-    by the session's shuffle partitions (state is small next to batch data)."""
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        parallelism = spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - Connect sessions expose no SparkContext
-        return shuffle
-    return max(1, min(shuffle, parallelism))
-
-
 def _start(writer, spark: SparkSession, state_partitions: int | None) -> StreamingQuery:
-    """Start ``writer``; a query clones the session conf when it starts, so
-    the state-partition count is set only around ``start()``. A restarted
-    query keeps the count recorded in its checkpoint."""
+    """Start ``writer`` with ``state_partitions`` partitions of state (None:
+    the session's shuffle partitions). The checkpoint keeps the number for
+    good, so it is the caller's choice, never a look at the cluster's size at
+    start. A query clones the session conf when it starts, so the count is set
+    only around ``start()``."""
     if state_partitions is None:
         return writer.start()
     key = "spark.sql.shuffle.partitions"
@@ -75,8 +68,7 @@ def start_versioned(
     ``processing_time`` (e.g. ``"60 seconds"``, the dashboard's poll interval)
     starts a continuous query; None processes what is available and stops.
     Restarting with the same ``base`` resumes from the checkpoint. A batch
-    re-run after a failure appends the same rows again under the same batch
-    id, which ``read_latest`` collapses. The trailing no-data micro-batch is
+    re-run after a failure replaces its folder. The trailing no-data micro-batch is
     kept on purpose: it is what records the advanced watermark in the offset
     log, so a restarted run still drops rows that are late for the data
     already seen (tests/test_stream_restart.py).
@@ -84,7 +76,8 @@ def start_versioned(
     out, ckpt = f"{base}/data", f"{base}/checkpoint"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn(BATCH_COL, F.lit(batch_id).cast("bigint")).write.mode("append").parquet(out)
+        # One folder a batch: a batch that is run again replaces its rows.
+        batch.write.mode("overwrite").parquet(f"{out}/{BATCH_COL}={batch_id}")
 
     w = df.writeStream.outputMode(output_mode).foreachBatch(write_batch).option("checkpointLocation", ckpt)
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
@@ -105,27 +98,51 @@ def run_versioned(
     return f"{base}/data"
 
 
-def run_append(df: DataFrame, name: str, state_partitions: int | None = None) -> str:
-    """Run an append-only stream into a Parquet file sink (exactly-once)."""
-    spark = df.sparkSession
-    base = scratch_path(spark, name)
-    out, ckpt = f"{base}/data", f"{base}/checkpoint"
-    w = (
-        df.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", ckpt)
-        .trigger(availableNow=True)
-    )
-    _start(w, spark, state_partitions).awaitTermination()
-    return out
-
-
-def read_latest(spark: SparkSession, path: str, keys: Sequence[str], schema=None) -> DataFrame:
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the committed (``_SUCCESS``) folders directly under ``path``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")
+    return sorted(st.getPath().getParent().getName() for st in fs.globStatus(done) or [])
+
+
+def read_versions(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All rows that still matter of a versioned output folder: its last
+    compaction and the batches after it (an empty frame before any batch)."""
+    full = StructType([*schema.fields, StructField(BATCH_COL, LongType())])
+    compact = path.removesuffix("/data") + "/compact"
+    kept = _folders(spark, compact)
+    upto = int(kept[-1]) if kept else -1
+    after = [f for f in _folders(spark, path) if int(f.split("=")[1]) > upto]
+    parts = [spark.read.schema(full).parquet(f"{compact}/{kept[-1]}")] if kept else []
+    if after:
+        read = spark.read.schema(schema).parquet(*[f"{path}/{f}" for f in after])
+        batch = F.regexp_extract(F.input_file_name(), f"{BATCH_COL}=(\\d+)/", 1).cast("long")
+        parts.append(read.withColumn(BATCH_COL, batch))
+    if not parts:
+        return spark.createDataFrame([], full)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str], schema) -> DataFrame:
     """Latest version of each key from a versioned output folder."""
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
-    raw = reader.parquet(path)
-    values = [c for c in raw.columns if c not in keys and c != BATCH_COL]
-    return latest_per(raw, keys, [BATCH_COL], values)
+    values = [f.name for f in schema.fields if f.name not in keys]
+    return latest_per(read_versions(spark, path, schema), keys, [BATCH_COL], values)
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str], schema) -> str | None:
+    """Write the latest version of each key over all batches so far as one
+    folder; reads then take it and later batches only. Batches that it covers
+    may be deleted by the storage's retention. Readers meanwhile see the
+    folder before or after, never a part."""
+    batches = [int(f.split("=")[1]) for f in _folders(spark, path)]
+    if not batches:
+        return None
+    raw = read_versions(spark, path, schema)
+    values = [f.name for f in schema.fields if f.name not in keys] + [BATCH_COL]
+    upto = max(batches)
+    out = f"{path.removesuffix('/data')}/compact/{upto:020d}"
+    latest_per(raw.where(F.col(BATCH_COL) <= upto), keys, [BATCH_COL], values).write.mode("overwrite").parquet(out)
+    return out
