@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 
 from tillscope.config import DEFAULT_CONFIG, AuditConfig
-from tillscope.functions.timez import date_spine, ntz_literal
+from tillscope.functions.timez import date_spine
 from tillscope.operators import funnel, intent, live, logins, profiles, purchases, recovery, report
 
 
@@ -76,7 +76,7 @@ class ShopAudits:
         return funnel.with_funnel_outcome(funnel.login_funnel(self.inputs.logins, self.inputs.activity, d, d, self.cfg))
 
     def live_visitors(self, as_of_utc: dt.datetime, minutes: int = 5) -> DataFrame:
-        return live.live_visitors(self.inputs.activity, ntz_literal(as_of_utc), minutes, self.cfg)
+        return live.live_visitors(self.inputs.activity, as_of_utc, minutes, self.cfg)
 
     def live_count(self, as_of_utc: dt.datetime, minutes: int = 5) -> DataFrame:
         return live.live_count(self.live_visitors(as_of_utc, minutes))
@@ -87,12 +87,14 @@ class ShopAudits:
         return recovery.abandoned_carts(self.inputs.carts, self.inputs.logins, d, d, with_allowance, self.cfg)
 
     def daily_intent_audit(self, d_from, d_to=None) -> DataFrame:
-        """Per-day intent rows with the 7/28-day pooled rates (A18 + A20)."""
+        """Per-day intent rows with the 7/28-day pooled rates (A18 + A20).
+
+        The rates look back 27 days, so the daily rows are computed from then
+        on and the asked days kept.
+        """
         a = _d(d_from)
         b = _d(d_to) if d_to is not None else a
-        p = purchases.purchases(self.inputs.shop_orders, a - dt.timedelta(days=intent.LOOKBACK_DAYS), b, self.cfg)
-        daily = intent.daily_intent_audit(self.inputs.logins, p, date_spine(self.spark, a, b), a, b, self.cfg)
-        return daily.join(intent.intent_rolling_rate(daily).drop("rate_day"), "local_date")
+        return intent.intent_with_rates(self.inputs.logins, self.inputs.shop_orders, a, b, self.cfg)
 
     def unfulfilled_lookups(self, d) -> DataFrame:
         d = _d(d)
@@ -107,11 +109,7 @@ class ShopAudits:
 
     def customer(self, emails, n: int = 10) -> DataFrame:
         """Name and up to ``n`` latest orders for each requested e-mail."""
-        from tillscope.functions.emails import normalize_email
-
-        req = self._emails(emails).select(normalize_email("email").alias("_k")).distinct()
-        prof = profiles.customer_profile(self.inputs.customers, self.inputs.shop_orders, n)
-        return prof.join(req, normalize_email(prof["email"]) == req["_k"], "left_semi")
+        return profiles.customer_profile(self.inputs.customers, self.inputs.shop_orders, n, self._emails(emails))
 
     def contact(self, emails, d) -> tuple[DataFrame, DataFrame]:
         """CRM contact with fallbacks (A22) and the day's session replays."""
@@ -126,6 +124,11 @@ class ShopAudits:
     def search(df: DataFrame, text: str) -> DataFrame:
         return report.audit_search(df, text)
 
+    @staticmethod
+    def newest_first(df: DataFrame, view: str) -> DataFrame:
+        """A view in the dashboard's order (its default sort key, newest first)."""
+        return report.newest_first(df, view)
+
     @staticmethod
     def sort(df: DataFrame, key: str, ascending: bool = False) -> DataFrame:
         return report.audit_sort(df, key, ascending)

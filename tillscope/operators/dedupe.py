@@ -1,9 +1,10 @@
-"""Latest-row-per-key without a per-key sort.
+"""Latest row per key as a combinable aggregate.
 
 ``DISTINCT ON (k) ... ORDER BY k, ts DESC`` becomes ``max(struct(ts, id, ...))``
 grouped by ``k``. The aggregate is combined map-side before the exchange, so a
 key holding a third of all rows is reduced to one row per input partition
-before it is shuffled; no task ever sorts or buffers a whole hot group.
+before it is shuffled. The struct makes it a sort aggregate: each task sorts
+its own input by key, but no task buffers a whole hot group.
 """
 
 from __future__ import annotations

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.config import DEFAULT_CONFIG, FULFILLED_STATUS, PAID_STATUS, AuditConfig
 from tillscope.functions.emails import normalize_email
+from tillscope.functions.timez import date_spine
 from tillscope.operators.joins import band_keys, band_semi_join
 from tillscope.operators.logins import latest_logins
+from tillscope.operators.purchases import purchases
 
 LOOKBACK_DAYS = 7
+#: Days of the longer pooled rate.
+RATE_DAYS = 28
 
 
 def _unfulfilled_orders(p: DataFrame) -> DataFrame:
@@ -130,3 +136,18 @@ def intent_rolling_rate(daily: DataFrame) -> DataFrame:
         _percent("dnb_7d", "wa_7d").alias("rate_7d"),
         _percent("dnb_28d", "wa_28d").alias("rate_28d"),
     )
+
+
+def intent_with_rates(
+    logins: DataFrame, shop_orders: DataFrame, d_from: dt.date, d_to: dt.date, cfg: AuditConfig = DEFAULT_CONFIG
+) -> DataFrame:
+    """A18 rows of [d_from, d_to] with their 7- and 28-day pooled rates.
+
+    The rates of d_from need the daily rows of the 27 days before it, and
+    those the orders of another ``LOOKBACK_DAYS``.
+    """
+    first = d_from - dt.timedelta(days=RATE_DAYS - 1)
+    p = purchases(shop_orders, first - dt.timedelta(days=LOOKBACK_DAYS), d_to, cfg)
+    daily = daily_intent_audit(logins, p, date_spine(logins.sparkSession, first, d_to), first, d_to, cfg)
+    out = daily.join(intent_rolling_rate(daily).drop("rate_day"), "local_date")
+    return out.where(F.col("local_date").between(F.lit(d_from), F.lit(d_to)))

@@ -11,7 +11,8 @@ def band_keys(right: DataFrame, right_date: str, key: str, left_date: str, lo_da
     ``left_date - right_date`` in ``[lo_days, hi_days]``, flagged ``_hit``."""
     if hi_days < lo_days:
         raise ValueError("empty band")
-    r = right.select(
+    # Reduced to distinct (date, key) before each is spread over the band.
+    r = right.select(right_date, key).distinct().select(
         F.explode(F.sequence(F.lit(lo_days), F.lit(hi_days))).alias("_off"), right_date, key
     ).select(F.date_add(right_date, F.col("_off")).alias(left_date), key)
     return r.distinct().withColumn("_hit", F.lit(True))
@@ -30,8 +31,8 @@ def band_semi_join(
     """Rows of ``left`` having a ``right`` row with the same ``key`` and
     ``left_date - right_date`` in ``[lo_days, hi_days]``.
 
-    Each right row is expanded to the ``hi - lo + 1`` left dates it can
-    satisfy and reduced to distinct (date, key), turning the band condition
+    Right rows are reduced to distinct (date, key), expanded to the
+    ``hi - lo + 1`` left dates they can satisfy and made distinct again, turning the band condition
     into an equi-join on (date, key). The expansion factor is the band width
     (a request parameter), not the data; the distinct is combined map-side,
     so duplicates never cross the shuffle.

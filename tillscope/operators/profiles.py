@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from tillscope.config import DEFAULT_CONFIG, AuditConfig
 from tillscope.functions.emails import normalize_email
-from tillscope.functions.timez import utc_window_filter
-from tillscope.operators.dedupe import latest_per
+from tillscope.functions.timez import UTC_DATE, utc_window_filter
+from tillscope.operators.dedupe import dedupe_by, latest_per
 
 HISTORY_FIELDS = ("number", "date", "total", "currency", "payment_status", "status")
 
@@ -24,22 +24,34 @@ def _full_name(first: str, last: str):
     return F.nullif(F.trim(F.concat_ws(" ", F.col(first), F.col(last))), F.lit(""))
 
 
-def customer_order_history(customers: DataFrame, shop_orders: DataFrame, n: int = 10) -> DataFrame:
+def customer_order_history(
+    customers: DataFrame, shop_orders: DataFrame, n: int = 10, emails: DataFrame | None = None
+) -> DataFrame:
     """A21 (flat): each customer with up to ``n`` latest orders, one row per
     order (order_rank 1 = newest; created desc, number desc). Customers with no
     orders keep one row with NULL order fields.
 
+    An order that the feed repeats counts once (its latest copy). ``emails``
+    (an ``email`` column) restricts both sides before anything is ranked.
+
     ``row_number() <= n`` is planned as a partial WindowGroupLimit before the
     exchange, so a hot customer ships at most ``n`` rows per map partition.
     """
+    customers = customers.withColumn("email_key", normalize_email("email"))
+    shop_orders = shop_orders.withColumn("email_key", normalize_email("email"))
+    if emails is not None:
+        asked = emails.select(normalize_email("email").alias("email_key")).distinct()
+        customers = customers.join(asked, "email_key", "left_semi")
+        shop_orders = shop_orders.join(asked, "email_key", "left_semi")
+    shop_orders = dedupe_by(shop_orders, "number", ["created"] + (["source"] if "source" in shop_orders.columns else []))
     cust = latest_per(
-        customers.withColumn("email_key", normalize_email("email")),
+        customers,
         ["email_key"],
         ["email"],
         ["email", "first_name", "last_name"],
     )
     o = shop_orders.select(
-        normalize_email("email").alias("email_key"),
+        "email_key",
         "number",
         F.col("created").alias("date"),
         "total",
@@ -58,12 +70,14 @@ def customer_order_history(customers: DataFrame, shop_orders: DataFrame, n: int
     )
 
 
-def customer_profile(customers: DataFrame, shop_orders: DataFrame, n: int = 10) -> DataFrame:
+def customer_profile(
+    customers: DataFrame, shop_orders: DataFrame, n: int = 10, emails: DataFrame | None = None
+) -> DataFrame:
     """A21 (nested): email, name, history ARRAY<STRUCT> newest first.
 
     The list is bounded by ``n`` per customer, so the grouping is bounded.
     """
-    flat = customer_order_history(customers, shop_orders, n)
+    flat = customer_order_history(customers, shop_orders, n, emails)
     item = F.struct(F.col("order_rank"), *[F.col(c) for c in HISTORY_FIELDS])
     g = flat.groupBy("email", "name").agg(
         F.sort_array(F.collect_list(F.when(F.col("order_rank").isNotNull(), item))).alias("_h")
@@ -151,8 +165,11 @@ def session_replays_for_day(
     pushed half-open range, then first event per (e-mail, session)."""
     start, end = replay_window(dt.date.fromisoformat(d) if isinstance(d, str) else d)
     req = emails.select(normalize_email("email").alias("email_key")).distinct()
+    day = F.lit(True)
+    if UTC_DATE in activity.columns:
+        day = F.col(UTC_DATE).between(F.lit(start.date()), F.lit(end.date()))
     a = activity.where(
-        utc_window_filter("ts", start, end) & F.col("session_id").isNotNull() & F.col("email").isNotNull()
+        day & utc_window_filter("ts", start, end) & F.col("session_id").isNotNull() & F.col("email").isNotNull()
     ).withColumn("email_key", normalize_email("email"))
     g = a.join(req, "email_key", "left_semi").groupBy("email_key", "session_id").agg(F.min("ts").alias("start_time"))
     return g.select(

@@ -20,6 +20,8 @@ from tillscope.functions.timez import local_date, to_local, where_local_days
 from tillscope.operators.dedupe import dedupe_by
 
 HOURS = 24
+#: Parts that the orders of one (day, e-mail) are dealt to by the unpaid tab.
+SALT_BUCKETS = 8
 
 
 def _paid() -> Column:
@@ -63,13 +65,13 @@ def purchases(
     )
 
 
-def purchase_status_filter(p: DataFrame, mode: str = "all", salt_buckets: int | None = None) -> DataFrame:
+def purchase_status_filter(p: DataFrame, mode: str = "all", salt_buckets: int = SALT_BUCKETS) -> DataFrame:
     """A5: all / paid / unpaid tabs.
 
     *unpaid* = not FULLY_CHARGED and the (raw, null-safe) e-mail has no paid
     order that local day: a null-safe anti-join against the paid key set.
-    AQE splits a skewed partition of this join at run time; ``salt_buckets``
-    salts it explicitly instead: each order gets a salt from its number, the
+    All guest orders of a day share the null e-mail, so the join is salted:
+    each order gets a salt from its number, the
     (distinct) payer keys are replicated once per salt, and the join matches
     on (day, e-mail, salt) — a hot e-mail's orders spread over that many tasks,
     with the same result.
@@ -83,8 +85,6 @@ def purchase_status_filter(p: DataFrame, mode: str = "all", salt_buckets: int |
     payers = p.where(_paid()).select(F.col("local_date").alias("_d"), F.col("email").alias("_e")).distinct()
     cond = (F.col("local_date") == F.col("_d")) & F.col("email").eqNullSafe(F.col("_e"))
     unpaid = p.where(~_paid())
-    if not salt_buckets:
-        return unpaid.join(payers, cond, "left_anti")
     n = int(salt_buckets)
     left = unpaid.withColumn("_salt", F.pmod(F.xxhash64("number"), F.lit(n)))
     right = payers.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_s"))

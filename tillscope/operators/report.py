@@ -15,6 +15,7 @@ from tillscope.functions.labels import (
     stage_label,
     status_text,
 )
+from tillscope.functions.timez import to_local
 
 
 def audit_search(df: DataFrame, text: str) -> DataFrame:
@@ -44,6 +45,12 @@ DEFAULT_SORT = {
 }
 
 
+def newest_first(df: DataFrame, view: str) -> DataFrame:
+    """A view in its default order: its time column, newest first, then a tie key."""
+    tie = next((c for c in ("number", "email") if c in df.columns), None)
+    return audit_sort(df, DEFAULT_SORT[view], False, tie)
+
+
 def audit_sort(df: DataFrame, key: str, ascending: bool = False, tie_key: str | None = None) -> DataFrame:
     """Order by one key with NULLS LAST either way, then a tie key."""
     c = F.col(key)
@@ -65,8 +72,9 @@ def _dt(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-def export_projection(df: DataFrame, view: str) -> DataFrame:
-    """The five CSV report layouts (headers as in the dashboard export).
+def export_projection(df: DataFrame, view: str, cfg: AuditConfig = DEFAULT_CONFIG) -> DataFrame:
+    """The five CSV report layouts. The headers are fixed values; all
+    times are local (``cfg.tz``).
 
     ``local_date`` is kept as the partition column of the written report.
     """
@@ -90,7 +98,7 @@ def export_projection(df: DataFrame, view: str) -> DataFrame:
             funnel_outcome().alias("Outcome"),
             F.coalesce("error_count", F.lit(0)).alias("Error Count"),
             F.coalesce("replay_url", F.lit("")).alias("Replay URL"),
-            F.coalesce(_dt("last_activity"), F.lit("")).alias("Last Activity"),
+            F.coalesce(_dt(to_local("last_activity", cfg.tz)), F.lit("")).alias("Last Activity"),
         ]
     elif view == "abandoned":
         cols = [
@@ -115,7 +123,7 @@ def export_projection(df: DataFrame, view: str) -> DataFrame:
             F.col("total").alias("Total"),
             F.col("currency").alias("Currency"),
             F.col("status").alias("Status"),
-            _dt("purchase_time").alias("Purchase Time"),
+            _dt(to_local("purchase_time", cfg.tz)).alias("Purchase Time"),
         ]
     else:
         raise ValueError(f"unknown view {view!r}")

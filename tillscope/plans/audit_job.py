@@ -1,10 +1,10 @@
-"""One job that materialises every audit for a local-day range.
+"""One job that materialises the date-based audits for a local-day range.
 
 The dashboard asks one endpoint per view and per day; here a scheduled job
 writes each audit dataset once, partitioned by ``local_date``, into the
-shared folder (or a given root). The purchase table that most views share is
-written first and read back, which cuts its lineage: later audits (and a
-retried task) read the written table instead of re-deriving it, and a lost
+shared folder (or a given root). A run replaces the days it writes and leaves
+all others. The purchases and latest logins that most views share are written
+first, to a folder of the run, and read back, which cuts their lineage: a lost
 executor costs only its own tasks.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tillscope.config import DEFAULT_CONFIG, AuditConfig
 from tillscope.functions.timez import date_spine
-from tillscope.operators import funnel, intent, logins, purchases, recovery
+from tillscope.operators import funnel, intent, logins, profiles, purchases, recovery
 from tillscope.session import scratch_path
 from tillscope.sources.sinks import write_parquet
 
@@ -48,10 +48,10 @@ def run_audits(
     spine = date_spine(spark, a, b)
     in_range = F.col("local_date").between(F.lit(a), F.lit(b))
 
-    # Shared prep, written once: purchases of [a - 28, b].
+    # Shared prep, written once to a folder of this run: purchases of [a - 28, b].
     prep = write_parquet(
         purchases.purchases(inputs.shop_orders, a - dt.timedelta(days=LOOKBACK_DAYS), b, cfg),
-        f"{root}/_prep/purchases",
+        scratch_path(spark, "audit-purchases"),
         partition_by="local_date",
     )
     p_all = spark.read.parquet(prep)
@@ -59,7 +59,9 @@ def run_audits(
 
     audit = logins.login_audit(inputs.logins, inputs.carts, inputs.treatment_plans, a, b, False, cfg)
     f = funnel.login_funnel(inputs.logins, inputs.activity, a, b, cfg)
-    daily = intent.daily_intent_audit(inputs.logins, p_all, spine, a, b, cfg)
+    latest = write_parquet(logins.latest_logins(inputs.logins, a, b, False, cfg), scratch_path(spark, "audit-logins"))
+    latest = spark.read.parquet(latest)
+    daily = intent.intent_with_rates(inputs.logins, inputs.shop_orders, a, b, cfg)
     views: dict[str, DataFrame] = {
         "login_audit": logins.login_purchase_flags(audit, p),
         "login_audit_allowance": logins.login_audit(
@@ -75,9 +77,15 @@ def run_audits(
         "login_funnel": f,
         "abandoned_carts": recovery.abandoned_carts(inputs.carts, inputs.logins, a, b, False, cfg),
         "daily_intent_audit": daily,
-        "unfulfilled_lookups": intent.unfulfilled_lookups(logins.latest_logins(inputs.logins, a, b, False, cfg), p_all),
+        "unfulfilled_lookups": intent.unfulfilled_lookups(latest, p_all),
+        "login_no_orders": logins.login_no_orders(audit),
+        "purchases_unpaid": purchases.purchase_status_filter(p, "unpaid"),
+        "hourly_cumulative_sales": purchases.hourly_cumulative_sales(purchases.hourly_sales_history(p_all, spine, cfg)),
+        "funnel_stage_counts": funnel.funnel_stage_counts(f),
+        "funnel_stage_breakdown": funnel.funnel_stage_breakdown(f),
+        "session_replays": profiles.session_replays(inputs.activity, latest.select("local_date", "email"), cfg),
     }
-    out = {"_prep/purchases": prep}
+    out = {}
     for name, df in views.items():
         out[name] = write_parquet(df.where(in_range), f"{root}/{name}", partition_by="local_date")
     return out
@@ -91,7 +99,7 @@ def main(argv: list[str] | None = None) -> None:
     from tillscope.session import local_session
     from tillscope.sources.fixtures import Fixtures
 
-    ap = argparse.ArgumentParser(description="Materialise every audit for a local-day range.")
+    ap = argparse.ArgumentParser(description="Materialise the date-based audits for a local-day range.")
     ap.add_argument("sf_dir")
     ap.add_argument("d_from")
     ap.add_argument("d_to")
