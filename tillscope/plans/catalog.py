@@ -13,15 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.config import DEFAULT_CONFIG as CFG
-from tillscope.functions.emails import normalize_email, unmask_email
-from tillscope.functions.timez import date_spine_of
+from tillscope.audits import ShopAudits
+from tillscope.functions.emails import is_test_account, mask_email, normalize_email, unmask_email
+from tillscope.functions.timez import date_spine, date_spine_of, local_date
 from tillscope.operators import funnel as fn
 from tillscope.operators import intent, live, logins, profiles, purchases, recovery, report
 from tillscope.operators.dedupe import dedupe_by
 from tillscope.session import scratch_path
 from tillscope.sources import sinks
 from tillscope.sources.fixtures import Fixtures
-from tillscope.sources.order_feed import flatten_order_feed, order_feed_pages
+from tillscope.sources.order_feed import PAGE, fetch_pages, flatten_order_feed, order_feed_pages
+from tillscope.sources.tables import read_landed
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -30,6 +32,7 @@ QUERIES: dict[str, QueryFn] = {}
 WEEKDAY_CUTOFF_HOUR = 19
 LIVE_MINUTES = 60
 SEARCH_TEXT = "user1"
+DAY_FROM, DAY_TO = "2024-01-10", "2024-01-16"
 
 
 def register(name: str):
@@ -57,9 +60,12 @@ def _funnel(fx: Fixtures) -> DataFrame:
 
 
 def _daily_intent(fx: Fixtures) -> DataFrame:
-    lg = logins.latest_logins(fx.logins, cfg=CFG)
-    p = _purchases(fx)
-    return intent.daily_intent_audit(fx.logins, p, date_spine_of(lg, p), cfg=CFG)
+    # The spine's bounds come from the raw rows: no second pass over the dedupes.
+    days = [
+        d.where(~is_test_account("email", CFG.test_account)).select(local_date(ts, CFG.tz).alias("local_date"))
+        for d, ts in ((fx.logins, "created_at"), (fx.shop_orders, "created"))
+    ]
+    return intent.daily_intent_audit(fx.logins, _purchases(fx), date_spine_of(*days), cfg=CFG)
 
 
 # --- A1-A3 logins -----------------------------------------------------------
@@ -174,15 +180,12 @@ def q_session_stage_rollup(spark, sf_dir):
 # --- A16 live ---------------------------------------------------------------
 @register("live_visitors")
 def q_live_visitors(spark, sf_dir):
-    act = _fx(spark, sf_dir).activity
-    as_of = act.select(F.max("ts")).scalar()
-    return live.live_visitors(act, as_of, LIVE_MINUTES, CFG)
+    return live.live_visitors(_fx(spark, sf_dir).activity, None, LIVE_MINUTES, CFG)
 
 
 @register("live_visitor_count")
 def q_live_visitor_count(spark, sf_dir):
-    act = _fx(spark, sf_dir).activity
-    return live.live_count(live.live_visitors(act, act.select(F.max("ts")).scalar(), LIVE_MINUTES, CFG))
+    return live.live_count(live.live_visitors(_fx(spark, sf_dir).activity, None, LIVE_MINUTES, CFG))
 
 
 @register("live_visitors_sliding")
@@ -338,4 +341,78 @@ def q_treatment_plan_peek(spark, sf_dir):
     return tp.orderBy(F.col("created_at").desc(), F.col("email").asc()).limit(5)
 
 
+# --- Day ranges and single requests ------------------------------------------
+@register("login_audit_days")
+def q_login_audit_days(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return logins.login_audit(fx.logins, fx.carts, fx.treatment_plans, DAY_FROM, DAY_TO, cfg=CFG)
+
+
+@register("purchases_days")
+def q_purchases_days(spark, sf_dir):
+    return purchases.purchases(_fx(spark, sf_dir).shop_orders, DAY_FROM, DAY_TO, CFG)
+
+
+@register("hourly_sales_history_days")
+def q_hourly_sales_history_days(spark, sf_dir):
+    p = purchases.hourly_sales_inputs(_fx(spark, sf_dir).shop_orders, DAY_FROM, DAY_TO, CFG)
+    return purchases.hourly_sales_history(p, date_spine(spark, DAY_FROM, DAY_TO), CFG)
+
+
+@register("login_funnel_days")
+def q_login_funnel_days(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return fn.login_funnel(fx.logins, fx.activity, DAY_FROM, DAY_TO, CFG)
+
+
+@register("abandoned_carts_days")
+def q_abandoned_carts_days(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return recovery.abandoned_carts(fx.carts, fx.logins, DAY_FROM, DAY_TO, cfg=CFG)
+
+
+@register("daily_intent_days")
+def q_daily_intent_days(spark, sf_dir):
+    return ShopAudits(_fx(spark, sf_dir), CFG).daily_intent_audit(DAY_FROM, DAY_TO)
+
+
+@register("session_replays_day")
+def q_session_replays_day(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return profiles.session_replays_for_day(fx.activity, fx.logins.select("email"), DAY_FROM, CFG)
+
+
+@register("live_visitors_hosts")
+def q_live_visitors_hosts(spark, sf_dir):
+    hosts = ("shop.example.com", "pay.example.com")
+    return live.live_visitors(_fx(spark, sf_dir).activity, None, LIVE_MINUTES, CFG, hosts)
+
+
+@register("orders_masked")
+def q_orders_masked(spark, sf_dir):
+    return _fx(spark, sf_dir).shop_orders.select("number", mask_email("email").alias("masked"))
+
+
+@register("customer_profile_numbers")
+def q_customer_profile_numbers(spark, sf_dir):
+    """The nested profile (A21) of every customer, its history as text."""
+    fx = _fx(spark, sf_dir)
+    p = profiles.customer_profile(fx.customers, fx.shop_orders, 10, fx.customers)
+    numbers = F.array_join(F.transform("history", lambda x: x["number"]), ",")
+    return p.select("email", "name", F.size("history").cast("bigint").alias("orders"), numbers.alias("numbers"))
+
+
+@register("order_feed_folders")
+def q_order_feed_folders(spark, sf_dir):
+    """Pages landed in two folders (a day's own fetch, the next day's), read as
+    one relation and resolved by number."""
+    o = _fx(spark, sf_dir).shop_orders
+    folders = [
+        sinks.write_json(fetch_pages(o, shift, name, 100), scratch_path(spark, f"pages-{name}"), partition_by=None)
+        for shift, name in ((0, "day"), (1, "prev"))
+    ]
+    flat = flatten_order_feed(read_landed(spark, folders, "json", PAGE))
+    return dedupe_by(flat, "number", ["created", "source"]).drop("source")
+
+
 FLAGSHIP = "login_audit"

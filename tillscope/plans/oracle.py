@@ -1,6 +1,6 @@
 """DuckDB oracle SQL for every registered query.
 
-Written independently of the Spark plans: windows with ``row_number`` where
+Written apart from the Spark plans: windows with ``row_number`` where
 Spark uses ``max(struct)``, direct range predicates where Spark rewrites a
 band or window condition into an equi-join, and correlated ``EXISTS`` where
 Spark uses semi/anti joins. Only the driver tables are visible, so each
@@ -50,10 +50,10 @@ logins AS (
 carts AS (
   SELECT event_id AS cart_id, {MASKED} AS email,
          CASE WHEN k % 7 = 0 THEN NULL ELSE k % 2 = 0 END AS is_converted, ts AS created_at
-  FROM ev WHERE event_type = 'click' AND user_id % 6 <> 5),
+  FROM ev WHERE event_type = 'click'),
 treatment_plans AS (
   SELECT concat('user', CAST(o_custkey AS VARCHAR), '@example.com') AS email, o_orderdate AS created_at
-  FROM orders WHERE o_custkey % 7 <> 3),
+  FROM orders),
 shop_orders AS (
   SELECT CAST(event_id AS VARCHAR) AS number, concat('user', CAST(user_id AS VARCHAR), '@example.com') AS email,
          CASE WHEN k % 4 < 2 THEN 'NOT_CHARGED' ELSE 'FULLY_CHARGED' END AS payment_status,
@@ -89,7 +89,7 @@ contacts AS (
          CASE WHEN c_custkey % 20 = 0 THEN NULL ELSE CAST(c_custkey AS VARCHAR) END AS last_name,
          concat('user', CAST(c_custkey AS VARCHAR), '@example.com') AS email,
          CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('0400', CAST(c_custkey AS VARCHAR)) END AS phone
-  FROM customer WHERE c_custkey % 4 <> 1)"""
+  FROM customer)"""
 
 # A4: purchases of every local day, test account removed, one row per number.
 PURCHASES = f"""
@@ -147,26 +147,21 @@ def w(*ctes: str) -> str:
     return "WITH " + ",".join((FIXTURES,) + ctes) + "\n"
 
 
-HOURLY_SERIES = "(VALUES ('today', 0), ('yesterday', 1), ('ago7d', 7), ('ago28d', 28)) s(series, shift)"
+def _back(alias: str, days: int) -> str:
+    return f"LEFT JOIN h {alias} ON {alias}.local_date = CAST(sh.local_date - {days} AS DATE) AND {alias}.hour = sh.hour"
+
 
 HISTORY = f"""
 h AS (SELECT local_date, CAST(hour({loc('purchase_time')}) AS INTEGER) AS hour, sum(total) AS gross
       FROM p WHERE {PAID} GROUP BY 1, 2),
-spread AS (SELECT CAST(local_date + shift AS DATE) AS local_date, hour, series, gross FROM h, {HOURLY_SERIES}),
-piv AS (SELECT local_date, hour,
-               sum(gross) FILTER (WHERE series = 'today') AS today,
-               sum(gross) FILTER (WHERE series = 'yesterday') AS yesterday,
-               sum(gross) FILTER (WHERE series = 'ago7d') AS ago7d,
-               sum(gross) FILTER (WHERE series = 'ago28d') AS ago28d
-        FROM spread GROUP BY 1, 2),
 hist AS (
   SELECT sh.local_date, sh.hour, CAST(sh.hour AS VARCHAR) || ':00' AS hour_label,
-         CAST(coalesce(today, 0) AS DECIMAL(18,2)) AS today,
-         CAST(coalesce(yesterday, 0) AS DECIMAL(18,2)) AS yesterday,
-         CAST(coalesce(ago7d, 0) AS DECIMAL(18,2)) AS ago7d,
-         CAST(coalesce(ago28d, 0) AS DECIMAL(18,2)) AS ago28d
+         CAST(coalesce(a.gross, 0) AS DECIMAL(18,2)) AS today,
+         CAST(coalesce(b.gross, 0) AS DECIMAL(18,2)) AS yesterday,
+         CAST(coalesce(c.gross, 0) AS DECIMAL(18,2)) AS ago7d,
+         CAST(coalesce(d.gross, 0) AS DECIMAL(18,2)) AS ago28d
   FROM (SELECT local_date, CAST(hr AS INTEGER) AS hour FROM spine, range(24) t(hr)) sh
-  LEFT JOIN piv ON sh.local_date = piv.local_date AND sh.hour = piv.hour)"""
+  {_back('a', 0)} {_back('b', 1)} {_back('c', 7)} {_back('d', 28)})"""
 
 FUNNEL = f"""{latest_logins()},
 act AS (
@@ -490,7 +485,7 @@ SELECT local_date, email AS "Email", allowance AS "Allowance Remaining", coalesc
 FROM flagged"""
 ORACLE_SQL["export_purchases"] = w(PURCHASES.strip()) + f"""
 SELECT local_date, number AS "Order Number", email AS "Email", total AS "Total", currency AS "Currency",
-       status AS "Status", strftime(purchase_time, {EXPORT_DT}) AS "Purchase Time"
+       status AS "Status", strftime(purchase_time AT TIME ZONE 'UTC' AT TIME ZONE '{TZ}', {EXPORT_DT}) AS "Purchase Time"
 FROM p"""
 ORACLE_SQL["export_funnel"] = w(FUNNEL.strip()) + f"""
 SELECT local_date, email AS "Email", coalesce(furthest_stage, 'none') AS "Furthest Stage",
@@ -499,7 +494,7 @@ SELECT local_date, email AS "Email", coalesce(furthest_stage, 'none') AS "Furthe
        CASE WHEN purchase_completed OR payment_success THEN 'success' WHEN payment_error THEN 'error'
             ELSE 'none' END AS "Outcome",
        coalesce(error_count, 0) AS "Error Count", coalesce(replay_url, '') AS "Replay URL",
-       coalesce(strftime(last_activity, {EXPORT_DT}), '') AS "Last Activity"
+       coalesce(strftime(last_activity AT TIME ZONE 'UTC' AT TIME ZONE '{TZ}', {EXPORT_DT}), '') AS "Last Activity"
 FROM funnel"""
 ORACLE_SQL["export_abandoned"] = w(abandoned(False).strip()) + f"""
 SELECT local_date, email AS "Email", days_allowance_remaining AS "Allowance Remaining",
@@ -566,3 +561,39 @@ SELECT local_date,
        abs(aov_delta) AS aov_delta_abs,
        printf('AUD $%.2f', CAST(total_paid AS DOUBLE)) AS total_paid_text
 FROM ({ORACLE_SQL["purchase_kpis"]})"""
+
+
+# --- day ranges and single requests ------------------------------------------
+#: The registered day range (as in ``tillscope.plans.catalog``).
+DAYS = "BETWEEN DATE '2024-01-10' AND DATE '2024-01-16'"
+ORACLE_SQL["login_audit_days"] = ORACLE_SQL["login_audit"] + f" WHERE local_date {DAYS}"
+ORACLE_SQL["purchases_days"] = ORACLE_SQL["purchases"] + f" WHERE local_date {DAYS}"
+ORACLE_SQL["login_funnel_days"] = ORACLE_SQL["login_funnel"] + f" WHERE local_date {DAYS}"
+ORACLE_SQL["abandoned_carts_days"] = ORACLE_SQL["abandoned_carts"] + f" WHERE local_date {DAYS}"
+RANGE_SPINE = """
+spine AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-16', INTERVAL 1 DAY)) AS DATE)
+          AS local_date)"""
+ORACLE_SQL["hourly_sales_history_days"] = w(PURCHASES.strip(), RANGE_SPINE.strip(), HISTORY.strip()) + "SELECT * FROM hist"
+
+
+def _trailing(column: str, days: int) -> str:
+    return f"(SELECT sum({column}) FROM daily x WHERE x.local_date BETWEEN d.local_date - {days - 1} AND d.local_date)"
+
+
+ORACLE_SQL["daily_intent_days"] = w(INTENT.strip()) + f"""
+SELECT d.*, {pct(_trailing('did_not_buy', 7), _trailing('total_logins_with_allowance', 7))} AS rate_7d,
+       {pct(_trailing('did_not_buy', 28), _trailing('total_logins_with_allowance', 28))} AS rate_28d
+FROM daily d WHERE d.local_date {DAYS}"""
+ORACLE_SQL["order_feed_folders"] = ORACLE_SQL["order_feed_flatten"]
+ORACLE_SQL["session_replays_day"] = w() + f"""
+SELECT DATE '2024-01-10' AS local_date, {norm('a.email')} AS email, session_id, min(ts) AS start_time,
+       '{REPLAY}' || session_id AS url
+FROM activity a
+WHERE ts >= TIMESTAMP '2024-01-09 12:00:00' AND ts < TIMESTAMP '2024-01-11 12:00:00' AND session_id IS NOT NULL
+  AND {norm('a.email')} IN (SELECT {norm('email')} FROM logins)
+GROUP BY 2, 3"""
+ORACLE_SQL["live_visitors_hosts"] = ORACLE_SQL["live_visitors"].replace(SHOP, "host IN ('shop.example.com', 'pay.example.com')")
+ORACLE_SQL["orders_masked"] = w() + "SELECT number, replace(email, '@', '[at]') AS masked FROM shop_orders"
+ORACLE_SQL["customer_profile_numbers"] = f"""
+SELECT email, name, count(number) AS orders, coalesce(string_agg(number, ',' ORDER BY order_rank), '') AS numbers
+FROM ({ORACLE_SQL["customer_order_history"]}) GROUP BY 1, 2"""
