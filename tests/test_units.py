@@ -49,10 +49,15 @@ def test_local_day_filter_matches_converted_date(spark):
     assert df.where(local_day_filter("ts", dt.date(2024, 10, 6), dt.date(2024, 10, 6), tz)).count() == 3
 
 
-def test_local_day_filter_pushes_down(spark, fx01):
+def test_local_day_filter_pushes_down(spark):
+    from tests.conftest import SF001
     from tillscope.functions.timez import where_local_days
+    from tillscope.session import scratch_path
+    from tillscope.sources.fixtures import Fixtures
+    from tillscope.sources.landing import land_events
 
-    plan = where_local_days(fx01.logins, "created_at", "2024-01-29", "2024-01-29", "Australia/Sydney")
+    landed = Fixtures(spark, SF001, events=land_events(spark, SF001, "v1", scratch_path(spark, "landed-unit")))
+    plan = where_local_days(landed.logins, "created_at", "2024-01-29", "2024-01-29", "Australia/Sydney")
     text = plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "formatted")
     assert "GreaterThanOrEqual(ts,2024-01-28T13:00)" in text and "LessThan(ts,2024-01-29T13:00)" in text
     # the landed event log is partitioned by UTC date: the range prunes partitions too
@@ -217,3 +222,56 @@ def test_weekday_by_currency(spark):
     assert (one.gross_sales, one.order_count, one.currency) == (Dc("17.00"), 2, "NZD")  # latest order's currency
     split = purchases.weekday_comparison(p, spine, 23, by_currency=True).where("is_today").collect()
     assert sorted((r.currency, r.gross_sales, r.order_count) for r in split) == [("AUD", Dc("10.00"), 1), ("NZD", Dc("7.00"), 1)]
+
+
+def test_repeated_orders_fill_one_place_each(spark):
+    from tillscope.operators import profiles
+
+    cust = spark.createDataFrame([("a@x", "A", "B"), ("c@x", None, None)], "email string, first_name string, last_name string")
+    rows = [(str(i), "a@x", "FULLY_CHARGED", "FULFILLED", None, "AUD", ts(f"2024-01-{i + 1:02d} 00:00:00")) for i in range(12)]
+    o = spark.createDataFrame(rows, "number string, email string, payment_status string, status string, total decimal(18,2), currency string, created timestamp_ntz")
+    once = profiles.customer_order_history(cust, o, 10)
+    twice = profiles.customer_order_history(cust, o.unionByName(o), 10)
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+    nested = {r.email: [x.number for x in r.history] for r in profiles.customer_profile(cust, o.unionByName(o), 10, cust).collect()}
+    assert nested == {"a@x": [str(i) for i in range(11, 1, -1)], "c@x": []}
+
+
+def test_unmatched_keys_keep_their_rows(spark):
+    """Logins without carts, plans or contacts; carts without logins."""
+    from tillscope.operators import profiles
+
+    lg = spark.createDataFrame([(1, "u1[at]x", 5, ts("2024-01-10 01:00:00"))], "login_id bigint, email string, allowance int, created_at timestamp_ntz")
+    carts = spark.createDataFrame([(1, "u2[at]x", False, ts("2024-01-10 01:00:00"))], "cart_id bigint, email string, is_converted boolean, created_at timestamp_ntz")
+    plans = spark.createDataFrame([("u3@x", ts("2024-01-01 00:00:00"))], "email string, created_at timestamp_ntz")
+    row = logins.login_audit(lg, carts, plans).first()
+    assert (row.order_count, row.last_order_at, row.tp_date) == (0, None, None)
+    assert recovery.abandoned_carts(carts, lg).first().days_allowance_remaining is None
+    contacts = spark.createDataFrame([], "id string, full_name string, first_name string, last_name string, email string, phone string")
+    c = profiles.contact_profile(lg.select("email"), contacts).first()
+    assert (c.id, c.name, c.phone, c.crm_url) == (None, "Not Found", "N/A", None)
+
+
+def test_shared_folder_is_never_this_machines_on_a_cluster():
+    import pytest
+
+    from tillscope.session import shared_dir
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs://shared/ckpt"
+    assert shared_dir(Session()) == "hdfs://shared/ckpt"
+
+
+def test_newest_first(spark):
+    from tillscope.audits import ShopAudits
+
+    p = spark.createDataFrame([("1", ts("2024-01-01 00:00:00")), ("2", ts("2024-01-02 00:00:00")), ("3", None)], "number string, purchase_time timestamp_ntz")
+    assert [r.number for r in ShopAudits.newest_first(p, "purchases").collect()] == ["2", "1", "3"]
