@@ -78,7 +78,7 @@ def test_hourly_stream_fall_back_day(spark):
     spark.createDataFrame(rows, schema).write.parquet(src)
     s = hourly_sales_stream(spark.readStream.schema(schema).parquet(src))
     path = run_versioned(s, "dst")
-    out = {(r.local_date.isoformat(), r.hour): (r.gross, r.orders) for r in hourly_from_windows(read_latest(spark, path, ["window_start"], s.schema)).collect()}
+    out = {(r.local_date.isoformat(), r.hour): (r.gross, r.orders) for r in hourly_from_windows(read_latest(spark, path, ["window_start", "currency"], s.schema)).collect()}
     assert out == {("2024-04-07", 2): (Decimal("15.00"), 2), ("2024-04-07", 3): (Decimal("1.00"), 1)}
 
 

@@ -275,3 +275,37 @@ def test_newest_first(spark):
 
     p = spark.createDataFrame([("1", ts("2024-01-01 00:00:00")), ("2", ts("2024-01-02 00:00:00")), ("3", None)], "number string, purchase_time timestamp_ntz")
     assert [r.number for r in ShopAudits.newest_first(p, "purchases").collect()] == ["2", "1", "3"]
+
+
+def test_currencies_are_never_added_up(spark):
+    from decimal import Decimal
+
+    from tillscope.streaming.sales_stream import hourly_from_windows, hourly_sales_stream
+
+    D = Decimal
+    at = lambda h, d=10: ts(f"2024-01-{d} 0{h}:00:00")
+    rows = [
+        ("1", "a@x", "FULLY_CHARGED", "FULFILLED", D("10.00"), "AUD", at(1)),
+        ("2", "b@x", "FULLY_CHARGED", "FULFILLED", D("7.00"), "NZD", at(1)),
+        ("3", "b@x", "NOT_CHARGED", "FULFILLED", D("5.00"), "AUD", at(2)),  # b paid that day, in another currency
+        ("4", "c@x", "NOT_CHARGED", "FULFILLED", D("3.00"), "NZD", at(2)),
+        ("5", "c@x", "FULLY_CHARGED", "FULFILLED", D("2.00"), None, at(1, 12)),
+    ]
+    o = spark.createDataFrame(rows, "number string, email string, payment_status string, status string, total decimal(18,2), currency string, created timestamp_ntz")
+    p = purchases.purchases(o)
+    spine = date_spine(spark, "2024-01-10", "2024-01-13")
+    k = {(r.local_date.day, r.currency): (r.total_paid, r.true_unpaid_total, r.prev_total_paid) for r in purchases.purchase_kpis(p, spine).collect()}
+    z = D("0.00")
+    assert k == {
+        (10, "AUD"): (D("10.00"), z, z), (10, "NZD"): (D("7.00"), D("3.00"), z),
+        (11, "AUD"): (z, z, D("10.00")), (11, "NZD"): (z, z, D("7.00")),
+        (12, "AUD"): (D("2.00"), z, z), (13, "AUD"): (z, z, D("2.00")),
+    }
+    h = purchases.hourly_sales_history(p, spine)
+    assert h.count() == 24 * 6
+    last = {(r.local_date.day, r.currency): (r.today, r.yesterday) for r in purchases.hourly_cumulative_sales(h).where("hour = 23").collect()}
+    assert last[(10, "NZD")] == (D("7.00"), z) and last[(11, "NZD")] == (z, D("7.00")) and last[(12, "AUD")] == (D("2.00"), z)
+    s = {(r.hour, r.currency): r.gross for r in hourly_from_windows(hourly_sales_stream(o)).where("local_date = '2024-01-10'").collect()}
+    assert s == {(12, "AUD"): D("10.00"), (12, "NZD"): D("7.00")}
+    w = purchases.weekday_comparison(p, date_spine(spark, "2024-01-10", "2024-01-10"), 23, 1, by_currency=True)
+    assert {(r.currency, r.gross_sales) for r in w.collect()} == {("AUD", D("10.00")), ("NZD", D("7.00"))}

@@ -91,38 +91,64 @@ def purchase_status_filter(p: DataFrame, mode: str = "all", salt_buckets: int =
     return left.join(right, cond & (F.col("_salt") == F.col("_s")), "left_anti").drop("_salt")
 
 
-def _day_stats(p: DataFrame) -> DataFrame:
-    """Per local day: paid total/count, 'true unpaid' total and row count.
+def _currency(cfg: AuditConfig) -> Column:
+    return F.coalesce("currency", F.lit(cfg.default_currency)).alias("currency")
 
-    Two-level aggregate (per day+email, then per day) instead of an anti-join:
-    both levels combine map-side, so a hot e-mail never lands whole in a task.
+
+def _with_currencies(spine: DataFrame, seen: DataFrame, cfg: AuditConfig) -> DataFrame:
+    """(local_date, currency) of every spine day: the currencies ``seen`` for
+    it, or the default one."""
+    return spine.join(seen.select("local_date", "currency").distinct(), "local_date", "left").select(
+        "local_date", _currency(cfg)
+    )
+
+
+def _day_stats(p: DataFrame, cfg: AuditConfig) -> DataFrame:
+    """Per local day and currency: paid total/count, 'true unpaid' total and
+    row count.
+
+    Aggregates per (day, e-mail, currency), then per (day, currency), instead
+    of an anti-join: both levels combine map-side, so a hot e-mail never lands
+    whole in a task. Whether an e-mail paid that day, in any currency, is a
+    window over its few currency rows.
     """
-    per_email = p.groupBy("local_date", "email").agg(
+    per_email = p.groupBy("local_date", "email", _currency(cfg)).agg(
         F.sum(F.when(_paid(), F.col("total"))).alias("_paid_total"),
         F.count_if(_paid()).alias("_paid_n"),
         F.sum(F.when(~_paid(), F.col("total"))).alias("_unpaid_total"),
         F.count(F.lit(1)).alias("_n"),
     )
-    return per_email.groupBy("local_date").agg(
+    any_paid = F.sum("_paid_n").over(Window.partitionBy("local_date", "email"))
+    return per_email.withColumn("_any_paid", any_paid).groupBy("local_date", "currency").agg(
         F.coalesce(F.sum("_paid_total"), F.lit(0)).cast("decimal(18,2)").alias("total_paid"),
         F.sum("_paid_n").cast("bigint").alias("paid_count"),
-        F.coalesce(F.sum(F.when(F.col("_paid_n") == 0, F.col("_unpaid_total"))), F.lit(0))
+        F.coalesce(F.sum(F.when(F.col("_any_paid") == 0, F.col("_unpaid_total"))), F.lit(0))
         .cast("decimal(18,2)")
         .alias("true_unpaid_total"),
         F.sum("_n").cast("bigint").alias("n_orders"),
     )
 
 
-def purchase_kpis(p: DataFrame, spine: DataFrame) -> DataFrame:
-    """Daily KPI cards with the previous-day comparison.
+def purchase_kpis(p: DataFrame, spine: DataFrame, cfg: AuditConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Daily KPI cards with the previous-day comparison, per currency.
 
-    ``spine`` is a dense ``local_date`` frame; days without orders get zeros.
-    Previous-day AOV is NULL when the previous day has no orders at all.
+    ``spine`` is a dense ``local_date`` frame; days without orders get zeros
+    in the default currency. Previous-day AOV is NULL when the previous day
+    has no orders of the currency at all.
     """
-    stats = _day_stats(p)
+    stats = _day_stats(p, cfg)
+    before = stats.select(
+        F.date_add("local_date", 1).alias("local_date"),
+        "currency",
+        F.col("total_paid").alias("prev_total_paid"),
+        F.when(F.col("paid_count") > 0, F.col("total_paid").cast("double") / F.col("paid_count"))
+        .otherwise(F.lit(0.0))
+        .alias("prev_aov"),
+    )
+    days = ["local_date", "currency"]
     zero = F.lit(0).cast("decimal(18,2)")
-    cur = spine.join(stats, "local_date", "left").select(
-        "local_date",
+    cur = _with_currencies(spine, stats.select(*days).unionByName(before.select(*days)), cfg).join(stats, days, "left").select(
+        *days,
         F.coalesce("total_paid", zero).alias("total_paid"),
         F.coalesce("paid_count", F.lit(0).cast("bigint")).alias("paid_count"),
         F.coalesce("true_unpaid_total", zero).alias("true_unpaid_total"),
@@ -132,18 +158,9 @@ def purchase_kpis(p: DataFrame, spine: DataFrame) -> DataFrame:
         F.lit(0.0)
     )
     cur = cur.withColumn("aov", aov)
-    prev = stats.select(
-        F.date_add("local_date", 1).alias("local_date"),
-        F.col("total_paid").alias("prev_total_paid"),
-        F.when(F.col("paid_count") > 0, F.col("total_paid").cast("double") / F.col("paid_count"))
-        .otherwise(F.lit(0.0))
-        .alias("prev_aov"),
-    )
-    out = cur.join(prev, "local_date", "left").withColumn(
-        "prev_total_paid", F.coalesce("prev_total_paid", zero)
-    )
+    out = cur.join(before, days, "left").withColumn("prev_total_paid", F.coalesce("prev_total_paid", zero))
     return out.select(
-        "local_date",
+        *days,
         "total_paid",
         "paid_count",
         "aov",
@@ -156,29 +173,29 @@ def purchase_kpis(p: DataFrame, spine: DataFrame) -> DataFrame:
     )
 
 
-def _hour_spine(spine: DataFrame) -> DataFrame:
-    return spine.select("local_date", F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))).alias("hour"))
-
-
-def _shifted_pivot(hourly: DataFrame, value: str, series: dict[str, int], spine: DataFrame, zero) -> DataFrame:
+def _shifted_pivot(hourly: DataFrame, value: str, series: dict[str, int], spine: DataFrame, zero, cfg=None) -> DataFrame:
     """Spread (local_date, hour, value) rows to the reference days they feed.
 
     Row of day d feeds reference day d + shift for every series; one pivoting
     aggregate then gives one column per series, and a left join from the
-    (day x hour) spine zero-fills.
+    (day x hour) spine zero-fills. With ``cfg`` all of it per currency.
     """
+    by = ["currency"] if cfg else []
     contrib = F.array(
         *[F.struct(F.date_add("local_date", s).alias("ref"), F.lit(name).alias("series")) for name, s in series.items()]
     )
-    spread = hourly.select("hour", F.col(value).alias("_v"), F.explode(contrib).alias("_c")).select(
-        F.col("_c.ref").alias("local_date"), "hour", F.col("_c.series").alias("series"), "_v"
+    spread = hourly.select("hour", *by, F.col(value).alias("_v"), F.explode(contrib).alias("_c")).select(
+        F.col("_c.ref").alias("local_date"), "hour", *by, F.col("_c.series").alias("series"), "_v"
     )
-    piv = spread.groupBy("local_date", "hour").pivot("series", list(series)).agg(F.sum("_v"))
-    out = _hour_spine(spine).join(piv, ["local_date", "hour"], "left")
+    piv = spread.groupBy("local_date", "hour", *by).pivot("series", list(series)).agg(F.sum("_v"))
+    days = _with_currencies(spine, spread, cfg) if cfg else spine.select("local_date")
+    hours = days.select("*", F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))).alias("hour"))
+    out = hours.join(piv, ["local_date", "hour", *by], "left")
     return out.select(
         "local_date",
         "hour",
         F.concat(F.col("hour").cast("string"), F.lit(":00")).alias("hour_label"),
+        *by,
         *[F.coalesce(F.col(n), zero).alias(n) for n in series],
     )
 
@@ -191,17 +208,18 @@ def hourly_sales_history(p: DataFrame, spine: DataFrame, cfg: AuditConfig = DEFA
     """FULLY_CHARGED gross per local hour for D, D-1, D-7, D-28, zero-filled.
 
     ``p`` must cover 28 days before the spine's first day (see
-    ``hourly_sales_inputs``). Columns: local_date, hour, hour_label, today,
-    yesterday, ago7d, ago28d (DECIMAL(18,2)).
+    ``hourly_sales_inputs``). Columns: local_date, hour, hour_label, currency,
+    today, yesterday, ago7d, ago28d (DECIMAL(18,2)); amounts of different
+    currencies are never added up.
     """
     hourly = (
         p.where(_paid())
-        .groupBy("local_date", local_hour("purchase_time", cfg).alias("hour"))
+        .groupBy("local_date", local_hour("purchase_time", cfg).alias("hour"), _currency(cfg))
         .agg(F.sum("total").cast("decimal(18,2)").alias("gross"))
     )
     series = {"today": 0, "yesterday": 1, "ago7d": 7, "ago28d": 28}
-    out = _shifted_pivot(hourly, "gross", series, spine, F.lit(0).cast("decimal(18,2)"))
-    return out.select("local_date", "hour", "hour_label", *[F.col(n).cast("decimal(18,2)").alias(n) for n in series])
+    out = _shifted_pivot(hourly, "gross", series, spine, F.lit(0).cast("decimal(18,2)"), cfg)
+    return out.select("local_date", "hour", "hour_label", "currency", *[F.col(n).cast("decimal(18,2)").alias(n) for n in series])
 
 
 def hourly_sales_inputs(shop_orders: DataFrame, d_from, d_to, cfg: AuditConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -210,14 +228,12 @@ def hourly_sales_inputs(shop_orders: DataFrame, d_from, d_to, cfg: AuditConfig =
 
 
 def hourly_cumulative_sales(history: DataFrame) -> DataFrame:
-    """Running total over hours of each A7 series, per reference day.
-
-    The window is partitioned by day, so it runs on 24-row groups.
-    """
-    w = Window.partitionBy("local_date").orderBy("hour").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Running total over hours of each A7 series, per reference day and
+    currency: windows of 24 rows."""
+    w = Window.partitionBy("local_date", "currency").orderBy("hour").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     series = ["today", "yesterday", "ago7d", "ago28d"]
     return history.select(
-        "local_date", "hour", "hour_label", *[F.sum(n).over(w).cast("decimal(18,2)").alias(n) for n in series]
+        "local_date", "hour", "hour_label", "currency", *[F.sum(n).over(w).cast("decimal(18,2)").alias(n) for n in series]
     )
 
 

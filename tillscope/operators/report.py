@@ -162,7 +162,7 @@ def kpi_labels(kpis: DataFrame, cfg: AuditConfig = DEFAULT_CONFIG) -> DataFrame:
     Money text is only formatted from exact 2-decimal amounts (the AOV is
     left numeric): formatting an arbitrary double to 2 places rounds ties
     differently across engines."""
-    cur = F.lit(cfg.default_currency)
+    cur = F.col("currency")
     return kpis.select(
         "local_date",
         F.when(F.col("total_paid") >= F.col("prev_total_paid"), "up").otherwise("down").alias("total_trend"),

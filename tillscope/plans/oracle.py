@@ -148,20 +148,25 @@ def w(*ctes: str) -> str:
 
 
 def _back(alias: str, days: int) -> str:
-    return f"LEFT JOIN h {alias} ON {alias}.local_date = CAST(sh.local_date - {days} AS DATE) AND {alias}.hour = sh.hour"
+    return (
+        f"LEFT JOIN h {alias} ON {alias}.local_date = CAST(sh.local_date - {days} AS DATE) "
+        f"AND {alias}.hour = sh.hour AND {alias}.currency = sh.currency"
+    )
 
 
 HISTORY = f"""
-h AS (SELECT local_date, CAST(hour({loc('purchase_time')}) AS INTEGER) AS hour, sum(total) AS gross
-      FROM p WHERE {PAID} GROUP BY 1, 2),
+h AS (SELECT local_date, CAST(hour({loc('purchase_time')}) AS INTEGER) AS hour, currency, sum(total) AS gross
+      FROM p WHERE {PAID} GROUP BY 1, 2, 3),
+sh AS (SELECT spine.local_date, CAST(hr AS INTEGER) AS hour, coalesce(c.currency, 'AUD') AS currency
+       FROM spine LEFT JOIN (SELECT DISTINCT CAST(h.local_date + s.days AS DATE) AS local_date, currency
+                             FROM h, (VALUES (0), (1), (7), (28)) s(days)) c USING (local_date), range(24) t(hr)),
 hist AS (
-  SELECT sh.local_date, sh.hour, CAST(sh.hour AS VARCHAR) || ':00' AS hour_label,
+  SELECT sh.local_date, sh.hour, CAST(sh.hour AS VARCHAR) || ':00' AS hour_label, sh.currency,
          CAST(coalesce(a.gross, 0) AS DECIMAL(18,2)) AS today,
          CAST(coalesce(b.gross, 0) AS DECIMAL(18,2)) AS yesterday,
          CAST(coalesce(c.gross, 0) AS DECIMAL(18,2)) AS ago7d,
          CAST(coalesce(d.gross, 0) AS DECIMAL(18,2)) AS ago28d
-  FROM (SELECT local_date, CAST(hr AS INTEGER) AS hour FROM spine, range(24) t(hr)) sh
-  {_back('a', 0)} {_back('b', 1)} {_back('c', 7)} {_back('d', 28)})"""
+  FROM sh {_back('a', 0)} {_back('b', 1)} {_back('c', 7)} {_back('d', 28)})"""
 
 FUNNEL = f"""{latest_logins()},
 act AS (
@@ -299,7 +304,7 @@ ORACLE_SQL["purchase_kpis"] = w(
     spine("SELECT local_date FROM p").strip(),
     f"""
 s AS (
-  SELECT local_date,
+  SELECT local_date, currency,
          CAST(coalesce(sum(total) FILTER (WHERE paid), 0) AS DECIMAL(18,2)) AS total_paid,
          count(*) FILTER (WHERE paid) AS paid_count,
          CAST(coalesce(sum(total) FILTER (WHERE NOT paid AND NOT email_paid), 0) AS DECIMAL(18,2))
@@ -307,34 +312,36 @@ s AS (
          count(*) AS n_orders
   FROM (SELECT *, {PAID} AS paid,
                bool_or({PAID}) OVER (PARTITION BY local_date, email) AS email_paid FROM p)
-  GROUP BY 1),
+  GROUP BY 1, 2),
+keys AS (SELECT local_date, currency FROM s UNION SELECT CAST(local_date + 1 AS DATE), currency FROM s),
 cur AS (
-  SELECT spine.local_date,
+  SELECT spine.local_date, coalesce(keys.currency, 'AUD') AS currency,
          coalesce(s.total_paid, CAST(0 AS DECIMAL(18,2))) AS total_paid,
          coalesce(s.paid_count, 0) AS paid_count,
          coalesce(s.true_unpaid_total, CAST(0 AS DECIMAL(18,2))) AS true_unpaid_total,
          coalesce(s.n_orders, 0) AS n_orders
-  FROM spine LEFT JOIN s USING (local_date)),
+  FROM spine LEFT JOIN keys USING (local_date)
+  LEFT JOIN s ON s.local_date = spine.local_date AND s.currency = keys.currency),
 prev AS (
-  SELECT CAST(local_date + 1 AS DATE) AS local_date, total_paid AS prev_total_paid,
+  SELECT CAST(local_date + 1 AS DATE) AS local_date, currency, total_paid AS prev_total_paid,
          CASE WHEN paid_count > 0 THEN CAST(total_paid AS DOUBLE) / paid_count ELSE 0.0 END AS prev_aov
   FROM s)""".strip(),
 ) + """
-SELECT cur.local_date, total_paid, paid_count,
+SELECT cur.local_date, currency, total_paid, paid_count,
        CASE WHEN paid_count > 0 THEN CAST(total_paid AS DOUBLE) / paid_count ELSE 0.0 END AS aov,
        true_unpaid_total, n_orders,
        coalesce(prev_total_paid, CAST(0 AS DECIMAL(18,2))) AS prev_total_paid, prev_aov,
        CAST(total_paid - coalesce(prev_total_paid, 0) AS DECIMAL(18,2)) AS total_delta,
        CASE WHEN paid_count > 0 THEN CAST(total_paid AS DOUBLE) / paid_count ELSE 0.0 END - prev_aov AS aov_delta
-FROM cur LEFT JOIN prev USING (local_date)"""
+FROM cur LEFT JOIN prev USING (local_date, currency)"""
 
 ORACLE_SQL["hourly_sales_history"] = (
     w(PURCHASES.strip(), spine("SELECT local_date FROM p").strip(), HISTORY.strip()) + "SELECT * FROM hist"
 )
 ORACLE_SQL["hourly_cumulative_sales"] = w(
     PURCHASES.strip(), spine("SELECT local_date FROM p").strip(), HISTORY.strip()
-) + "SELECT local_date, hour, hour_label, " + ", ".join(
-    f"CAST(sum({c}) OVER (PARTITION BY local_date ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+) + "SELECT local_date, hour, hour_label, currency, " + ", ".join(
+    f"CAST(sum({c}) OVER (PARTITION BY local_date, currency ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     f" AS DECIMAL(18,2)) AS {c}"
     for c in ("today", "yesterday", "ago7d", "ago28d")
 ) + " FROM hist"
@@ -559,7 +566,7 @@ SELECT local_date,
        abs(total_delta) AS total_delta_abs,
        CASE WHEN prev_aov IS NULL THEN NULL WHEN aov >= prev_aov THEN 'up' ELSE 'down' END AS aov_trend,
        abs(aov_delta) AS aov_delta_abs,
-       printf('AUD $%.2f', CAST(total_paid AS DOUBLE)) AS total_paid_text
+       printf('%s $%.2f', currency, CAST(total_paid AS DOUBLE)) AS total_paid_text
 FROM ({ORACLE_SQL["purchase_kpis"]})"""
 
 

@@ -46,7 +46,7 @@ def q_orders_stream_dedupe(spark, sf_dir):
 
 def q_hourly_sales_stream(spark, sf_dir):
     s = hourly_sales_stream(shop_orders_from(table_stream(spark, sf_dir, "events")))
-    return hourly_from_windows(read_latest(spark, run_versioned(s, "s3-sales"), ["window_start"], s.schema))
+    return hourly_from_windows(read_latest(spark, run_versioned(s, "s3-sales"), ["window_start", "currency"], s.schema))
 
 
 STREAM_QUERIES.update(
@@ -70,10 +70,10 @@ FROM aw GROUP BY 1, 2"""
 STREAM_ORACLE_SQL["orders_stream_dedupe"] = w() + "SELECT * FROM shop_orders"
 STREAM_ORACLE_SQL["hourly_sales_stream"] = w() + f"""
 SELECT CAST(timezone('Australia/Sydney', timezone('UTC', created)) AS DATE) AS local_date,
-       CAST(hour(timezone('Australia/Sydney', timezone('UTC', created))) AS INTEGER) AS hour,
+       CAST(hour(timezone('Australia/Sydney', timezone('UTC', created))) AS INTEGER) AS hour, currency,
        CAST(sum(total) AS DECIMAL(18,2)) AS gross, count(*) AS orders
 FROM shop_orders
 WHERE payment_status IS NOT DISTINCT FROM 'FULLY_CHARGED' AND {not_test('email')}
-GROUP BY 1, 2"""
+GROUP BY 1, 2, 3"""
 
 __all__ = ["STREAM_ORACLE_SQL", "STREAM_QUERIES"]

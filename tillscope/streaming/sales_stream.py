@@ -11,7 +11,7 @@ from tillscope.streaming.runtime import instant_to_local, utc_instant
 
 
 def hourly_sales_stream(orders: DataFrame, watermark: str = "2 hours", cfg: AuditConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Paid gross and order count per one-hour window, keyed by the window's
+    """Paid gross and order count per one-hour window and currency, keyed by the window's
     UTC start, with its local date and hour.
 
     Tumbling one-hour windows on the UTC instant equal local clock hours
@@ -27,7 +27,7 @@ def hourly_sales_stream(orders: DataFrame, watermark: str = "2 hours", cfg: Audi
     # A repeated feed row counts once, as in the batch audits.
     o = o.dropDuplicatesWithinWatermark(["number"]) if o.isStreaming else o.dropDuplicates(["number"])
     g = (
-        o.groupBy(F.window("_et", "1 hour").alias("w"))
+        o.groupBy(F.window("_et", "1 hour").alias("w"), "currency")
         .agg(F.sum("total").cast("decimal(18,2)").alias("gross"), F.count(F.lit(1)).alias("orders"))
     )
     local_start = instant_to_local(F.col("w.start"), spark, cfg.tz)
@@ -38,13 +38,14 @@ def hourly_sales_stream(orders: DataFrame, watermark: str = "2 hours", cfg: Audi
         ),
         F.to_date(local_start).alias("local_date"),
         F.hour(local_start).alias("hour"),
+        "currency",
         "gross",
         "orders",
     )
 
 
 def hourly_from_windows(windows: DataFrame) -> DataFrame:
-    """Final windows -> one row per local (date, hour)."""
-    return windows.groupBy("local_date", "hour").agg(
+    """Final windows -> one row per local (date, hour) and currency."""
+    return windows.groupBy("local_date", "hour", "currency").agg(
         F.sum("gross").cast("decimal(18,2)").alias("gross"), F.sum("orders").cast("bigint").alias("orders")
     )
