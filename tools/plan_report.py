@@ -38,24 +38,23 @@ def summarise(text: str) -> dict:
 def main(argv) -> None:
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.1"
     from tillscope.session import local_session
-    from tillscope.streaming.catalog import STREAM_QUERIES
 
-    import __spark_entry__ as E
+    from tillscope.plans import QUERIES
 
     spark = local_session(8)
-    qs = E.queries()
     print(f"# Executed plans at `{os.path.basename(sf_dir)}` (final adaptive plans, local[8])\n")
     print("Generated by `tools/plan_report.py`. Exchanges = shuffles actually run; joins are the strategies AQE chose")
     print("at this size (on a cluster the same plans pick sort-merge where sides are large; skewed partitions are split).\n")
     print("| query | shuffles | reused | broadcasts | sort-agg / hash-agg | joins | scans: pushed filters |")
     print("|---|---|---|---|---|---|---|")
-    for name in sorted(qs):
-        if name in STREAM_QUERIES or name.startswith("sink_"):
+    for name in sorted(QUERIES):
+        if name.startswith("sink_"):
             continue
-        df = qs[name](spark, sf_dir)
+        df = QUERIES[name](spark, sf_dir)
         # Execute this DataFrame's own QueryExecution (a write would plan a
-        # separate one) so the explained plan is the final adaptive plan.
-        df.collect()
+        # separate one) so the explained plan is the final adaptive plan; only
+        # a count comes back.
+        df._jdf.queryExecution().toRdd().count()
         text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
         s = summarise(text)
         pushed = "; ".join(sorted({p for p, _ in s["scans"]}))
