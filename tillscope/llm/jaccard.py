@@ -10,7 +10,8 @@ joined, with
 * a positional filter: what can still be shared after the two positions, and
   after all shared prefix n-grams, reaches the overlap that is needed;
 * a suffix filter: overlap is bounded by the sum of smaller counts over hash
-  bins of the two sets;
+  bins of the two sets, and their difference is at least the number of places
+  in which their parity bitmaps differ (inside the join, as it is cheap);
 
 and each pair that is left is verified once on the full sets.
 
@@ -47,12 +48,17 @@ COUNTERS = 1 << 21
 BLOCK = 1 << 12
 #: Hash bins of the suffix filter.
 BINS = 32
+#: 64-bit words of a set's parity bitmap.
+PARITY = 8
 #: Posting lists of at least so many classes are first linked to leaders.
 LONG = 16
 #: Bits of the bitmap of classes whose sets are fetched.
 BITS = 1 << 23
 
 
+BITS_OF = [f"bit{i}" for i in range(PARITY)]
+
+
 class Shingles:
     """N-gram hashes of many texts: ``h`` and the owner text of each (a text
     with fewer words has its whole sequence as one)."""
@@ -103,6 +109,14 @@ class Sets:
         return pa.ListArray.from_arrays(np.arange(0, len(count) + 1, BINS, dtype=np.int32), pa.array(count))
 
 
+    def parity(self) -> np.ndarray:
+        """(texts, PARITY): which bit places an odd number of keys falls on."""
+        size = 64 * PARITY
+        cell = self.owner * size + ((self.key >> U(8)) & U(size - 1)).astype(np.int64)
+        odd = np.bincount(cell, minlength=len(self.size) * size) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, PARITY)
+
+
 def rarity(docs: DataFrame, n: int) -> np.ndarray:
     """Count class of each counter: n-gram occurrences over all documents,
     added up in tasks, then block by block; COUNTERS counts reach the driver."""
@@ -151,13 +165,16 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent
             for part in slices(batch, "text"):
                 s = Sets(Shingles(part.column("text"), n), rare)
                 p = np.where(s.size > 0, s.size - (percent * s.size + 99) // 100 + 1, 0)
+                bits = s.parity()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(s.size, pa.int64()), pa.array(s.id, pa.int64()), s.lists(p), s.bins()],
-                    names=["doc_id", "n", "k", "prefix", "bins"],
+                    [part.column("doc_id"), pa.array(s.size, pa.int64()), pa.array(s.id, pa.int64()), s.lists(p), s.bins(),
+                     *(pa.array(bits[:, i]) for i in range(PARITY))],
+                    names=["doc_id", "n", "k", "prefix", "bins", *BITS_OF],
                 )
 
-    sets = land(spark, docs.mapInArrow(prefixes, "doc_id long, n long, k long, prefix array<long>, bins array<int>"), "ngram-prefixes")
-    classes = land(spark, sets.where("n > 0").dropDuplicates(["k"]).select("k", "n", "prefix", "bins"), "ngram-classes")
+    kind = "doc_id long, n long, k long, prefix array<long>, bins array<int>" + "".join(f", {b} long" for b in BITS_OF)
+    sets = land(spark, docs.mapInArrow(prefixes, kind), "ngram-prefixes")
+    classes = land(spark, sets.where("n > 0").dropDuplicates(["k"]).drop("doc_id"), "ngram-classes")
     posts = classes.select("k", "n", F.posexplode("prefix").alias("pos", "s"))
     lists = posts.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("low"), F.max("k").alias("high")).where("c > 1")
     lists = land(spark, lists, "ngram-lists")
@@ -181,13 +198,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent
         F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")
     )
     main = land(spark, main.where("comps > 1").select("s", "main"), "ngram-mains")
-    mixed = land(spark, posts.join(main, "s"), "ngram-mixed")
-    x = mixed.where("comp <> main").select("s", *(F.col(c).alias(f"x_{c}") for c in ("k", "n", "pos", "comp")))
-    y = mixed.select("s", "main", *(F.col(c).alias(f"y_{c}") for c in ("k", "n", "pos", "comp")))
+    mixed = land(spark, posts.join(main, "s").join(classes.select("k", *BITS_OF), "k"), "ngram-mixed")
+    carried = ("k", "n", "pos", "comp", *BITS_OF)
+    x = mixed.where("comp <> main").select("s", *(F.col(c).alias(f"x_{c}") for c in carried))
+    y = mixed.select("s", "main", *(F.col(c).alias(f"y_{c}") for c in carried))
     lo, hi = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
     after = F.least("x_pos", "y_pos") + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
     once = (F.col("y_comp") == F.col("main")) | (F.col("x_k") < F.col("y_k"))
     fits = (lo * 100 >= hi * percent) & (after * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent)
+    fits = fits & _parity("x_", "y_", F.col("x_n") + F.col("y_n"), percent)
     pairs = x.join(y, "s").where((F.col("x_comp") != F.col("y_comp")) & once & fits)
     pairs = pairs.select(
         F.least("x_k", "y_k").alias("a"), F.greatest("x_k", "y_k").alias("b"),
@@ -224,12 +243,22 @@ def _shared(percent: int) -> Column:
     return (F.col("c") + rest) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
 
 
+def _parity(x: str, y: str, total: Column, percent: int) -> Column:
+    """Sets of ``total`` n-grams that reach the threshold differ in at most
+    (1 - t) / (1 + t) of them, and their parity bitmaps in no more places."""
+    apart = sum((F.bit_count(F.col(x + b).bitwiseXOR(F.col(y + b))) for b in BITS_OF), F.lit(0))
+    return apart * (100 + percent) <= total * (100 - percent)
+
+
 def verified(
     spark: SparkSession, docs: DataFrame, pairs: DataFrame, classes: DataFrame, rare: np.ndarray, n: int, percent: int
 ) -> DataFrame:
     """The pairs (a, b) of classes that reach the threshold on their full sets."""
-    one, two = classes.select("k", "n", "bins").toDF("a", "na", "ba"), classes.select("k", "n", "bins").toDF("b", "nb", "bb")
-    both = pairs.join(one, "a").join(two, "b")
+    fields = ("k", "n", "bins", *BITS_OF)
+    one, two = (classes.select(*fields).toDF(*names) for names in (
+        ("a", "na", "ba", *(f"a_{b}" for b in BITS_OF)), ("b", "nb", "bb", *(f"b_{b}" for b in BITS_OF))
+    ))
+    both = pairs.join(one, "a").join(two, "b").where(_parity("a_", "b_", F.col("na") + F.col("nb"), percent))
     least = F.aggregate(F.zip_with("ba", "bb", lambda u, v: F.least(u, v).cast("long")), F.lit(0).cast("long"), lambda t, v: t + v)
     pairs = land(spark, both.where(least * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"), "ngram-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).select(F.pmod("k", F.lit(BITS)).alias("bit"))
