@@ -22,10 +22,12 @@ language uses the threshold for all languages.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ from tillscope.llm.textnum import hash_spans, LOWER, SPACE, spans, text_bytes, U
 #: At most so many labelled rows of each class are used to fit the model.
 PER_CLASS = 4_000
 BITS, DIM, STEM = 16, 8, 4
+ROW = np.uint16  # holds BITS bits
 WIDTHS, FILTERS = (1, 2, 3), 8
 EPOCHS, STEPS, BATCH, RATE = 6, 1_200, 32, 0.05
 
@@ -58,12 +61,12 @@ def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     h = hash_spans(buf, starts, ends)
     stem = hash_spans(buf, starts, np.minimum(ends, starts + STEM), seed=2)
     mask = U((1 << BITS) - 1)
-    return np.column_stack([h & mask, (h >> U(32)) & mask, stem & mask]).astype(np.int32), first
+    return np.column_stack([h & mask, (h >> U(32)) & mask, stem & mask]).astype(ROW), first
 
 
-def all_word_ids(texts: list[str], run: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """``word_ids`` of a list, a few texts at a time."""
-    parts = [word_ids(pa.array(texts[i : i + run], pa.large_string())) for i in range(0, len(texts), run)]
+def all_word_ids(texts: pa.Array, run: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """``word_ids`` of many texts, a few at a time."""
+    parts = [word_ids(texts.slice(i, run)) for i in range(0, len(texts), run)]
     sizes = np.concatenate([np.diff(first) for _, first in parts])
     return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
 
@@ -128,23 +131,26 @@ class TextCNN:
             return np.full(len(first) - 1, self.constant)
         return 1 / (1 + np.exp(-np.clip(self.logits(ids, first).astype(float), -40, 40)))
 
-    def fit(self, ids: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 11) -> None:
+    def fit(self, ids: np.ndarray, first: np.ndarray, y: np.ndarray, use: np.ndarray, seed: int = 11) -> None:
+        """Train on the texts ``use`` (the arrays are not copied)."""
         r = np.random.default_rng(seed)
         size = np.diff(first)
-        weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
+        share = y[use].mean()
+        weight = np.where(y > 0, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)).astype(np.float32)
         sums = {"emb": [np.full(len(e), START, np.float32) for e in self.emb]}
         for name in ("filters", "bias"):
             sums[name] = [np.full(v.shape, 1e-2, np.float32) for v in getattr(self, name)]
         sums["out"], sums["out_bias"] = np.full(self.out.shape, 1e-2, np.float32), np.full(1, 1e-2, np.float32)
 
         # Rows that few texts have would only be learned by heart: they are 0.
-        owner, live = np.repeat(np.arange(len(size)), size), []
+        live, positive = [], y[use].sum()
         for k, e in enumerate(self.emb):
-            pair = np.unique((owner << BITS) | ids[:, k])
-            seen, toxic = pair & ((1 << BITS) - 1), y[pair >> BITS]
+            pairs = [np.unique(ids[first[i] : first[i + 1], k]) for i in use]
+            seen = np.concatenate(pairs)
+            toxic = np.repeat(y[use], [len(p) for p in pairs])
             live.append(np.bincount(seen, minlength=len(e)) >= LEAST_TEXTS)
             a, b = (np.bincount(seen, w, minlength=len(e)) for w in (toxic, 1 - toxic))
-            odds = np.log((a + 0.5) / (y.sum() + 1)) - np.log((b + 0.5) / (len(y) - y.sum() + 1))
+            odds = np.log((a + 0.5) / (positive + 1)) - np.log((b + 0.5) / (len(use) - positive + 1))
             e[:, 0] = odds / ODDS
             e[~live[k]] = 0
 
@@ -152,8 +158,8 @@ class TextCNN:
             total += grad * grad
             value -= RATE * grad / np.sqrt(total)
 
-        for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(y)))):
-            order = r.permutation(len(y))
+        for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(use)))):
+            order = use[r.permutation(len(use))]
             for part in np.array_split(order, max(1, len(order) // BATCH)):
                 n = size[part]
                 edge = np.concatenate([[0], np.cumsum(n)])
@@ -203,14 +209,14 @@ def best_threshold(score: np.ndarray, y: np.ndarray, least: float = 0.05) -> flo
 class Toxicity:
     """The fitted network and its thresholds by language."""
 
-    def __init__(self, texts: list[str], langs: list, y: np.ndarray, default: float = 0.3):
+    def __init__(self, texts: pa.Array, langs: list, y: np.ndarray, default: float = 0.3):
         self.net, self.threshold, self.by_lang = TextCNN(), default, {}
         if len(set(y.tolist())) < 2:
             self.net.constant = float(y.mean()) if len(y) else 0.0
             return
         ids, first = all_word_ids(texts)
         apart = np.arange(len(y)) % 5 == 4
-        self._fit(ids, first, y, np.flatnonzero(~apart))
+        self.net.fit(ids, first, y.astype(np.float32), np.flatnonzero(~apart))
         score = np.concatenate([
             self.net.score(ids[first[i] : first[j]], first[i : j + 1] - first[i]) for i, j in word_runs(first, 1 << 16)
         ])
@@ -222,24 +228,37 @@ class Toxicity:
                 if min(y[own].sum(), (1 - y[own]).sum()) >= 20:
                     self.by_lang[lang] = best_threshold(score[own], y[own])
 
-    def _fit(self, ids, first, y, keep):
-        n = np.diff(first)[keep]
-        edge = np.concatenate([[0], np.cumsum(n)])
-        rows = np.repeat(first[keep] - edge[:-1], n) + np.arange(edge[-1])
-        self.net.fit(ids[rows], edge, y[keep].astype(np.float32))
-
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Toxicity:
     """Fit on at most ``per_class`` labelled rows of each class outside the
-    held-out fold: ids are chosen first, then their texts are fetched."""
+    held-out fold: ids are chosen first, then their texts are fetched into one
+    task, which sends the driver the model alone."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
     known = known.where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     rank = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("y = 1").orderBy(*rank).limit(per_class).union(known.where("y = 0").orderBy(*rank).limit(per_class))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce("text", F.lit("")).alias("text"))
-    rows = text.join(F.broadcast(some), "doc_id").toPandas()  # at most 2 * per_class ids
-    rows = rows.assign(k=(rows["doc_id"] * 2654435761) % 1_000_003).sort_values(["k", "doc_id", "text"])
-    return Toxicity(rows["text"].tolist(), rows["lang"].tolist(), rows["y"].to_numpy().astype(int))
+    rows = text.join(F.broadcast(some), "doc_id").repartition(1)  # at most 2 * per_class ids
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)  # at most 2 * per_class rows
+        model = pickle.dumps(fitted(pa.Table.from_batches(parts) if parts else SAMPLE.empty_table()))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    models = rows.select("doc_id", "lang", "text", "y").mapInArrow(fit, "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else fitted(SAMPLE.empty_table())
+
+
+SAMPLE = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string()), ("y", pa.int32())])
+
+
+def fitted(rows: pa.Table) -> Toxicity:
+    """The model of a sample, in one order whatever order the rows came in."""
+    key = pa.array((rows["doc_id"].to_numpy() * 2654435761) % 1_000_003, pa.int64())
+    order = pc.sort_indices(rows.append_column("k", key), [(c, "ascending") for c in ("k", "doc_id", "text")])
+    rows = rows.take(order).combine_chunks()
+    text = rows["text"].chunk(0) if rows.num_rows else pa.array([], pa.string())
+    return Toxicity(text, rows["lang"].to_pylist(), rows["y"].to_numpy().astype(int))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, model: Toxicity) -> DataFrame:
