@@ -348,6 +348,28 @@ def test_decontamination(spark):
     assert decontamination.decontamination(spark, documents(spark, []), bench).count() == 0
 
 
+SHORT = [
+    "Which river flows past the old mill near town",
+    "Anna buys apples and sells them again",
+    "When did Paris Rome Berlin Madrid Vienna Oslo join",
+    "Add 3 4 5 6 7 8 9",
+    "Marco and Polo each ate bread",
+]
+
+
+def test_decontamination_short_items_in_running_text(spark):
+    bench = spark.createDataFrame(list(enumerate(SHORT)), "item_id long, text string")
+    copies = [f"people often ask {x} and nobody knows" for x in SHORT] + [f"He asked. {x} and so on" for x in SHORT]
+    wrapped = SHORT[0].replace("flows past", "flows\nPast")
+    other = ["so today Maria buys apples and sells them again", "Maria buys apples and sells them again"]
+    clean = ["people ask which lake lies past the old mill near town", "Add 3 4 5 6 7 8 1", "we heard that Maria buys pears and sells them"]
+    texts = copies + [wrapped] + other + clean
+    rows = {r.doc_id: r for r in decontamination.decontamination(spark, documents(spark, texts), bench).collect()}
+    assert [rows[i].contaminated for i in range(len(texts))] == [True] * (len(texts) - 3) + [False] * 3
+    assert all(rows[i].n_items == rows[i].n_windows == rows[i].n_exact == 1 for i in range(len(copies)))
+    assert all(rows[len(copies) + 1 + i].n_exact == 0 for i in range(2))
+
+
 def template_brute(texts):
     """Template windows of a few texts, one word at a time."""
     import string

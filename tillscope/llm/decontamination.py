@@ -14,7 +14,14 @@ so do the document's, and the other way round. A question asked again with
 other numbers and names is so found, and told apart from a verbatim copy by
 the slot values.
 
-Documents send only windows that a bitmap of the benchmark's windows lets
+Whether a capitalised word that opens a sentence is a name cannot be told, and
+an item's first word opens its text, but not the text it is copied into: a
+window whose first word is one has two readings, as a plain word and as a
+name, and matches by either. Besides, usable windows are matched by their
+exact words; an item of which no window is usable in all its readings (over
+half placeholders) is matched by the exact words of each of its windows.
+
+Documents send only readings that a bitmap of the benchmark's lets
 through; the bitmap has a fixed size (``BITS`` bits) at any benchmark size, and
 what it lets through by chance dies in the join.
 
@@ -57,7 +64,9 @@ IN_NUMBER = DIGIT.copy()
 IN_NUMBER[[44, 46]] = True
 SENTENCE_END = np.zeros(256, bool)
 SENTENCE_END[list(b".!?:")] = True
-NUMBER, NAME, UNIT = (mix(np.array([i], U))[0] for i in (101, 102, 103))
+NUMBER, NAME, UNIT, EXACT = (mix(np.array([i], U))[0] for i in (101, 102, 103, 104))
+#: Slot pattern of a window that is matched by its exact words.
+WORDS = "="
 
 
 def _unit_hashes() -> np.ndarray:
@@ -71,6 +80,11 @@ UNIT_HASHES = _unit_hashes()
 def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Template word hashes, the words' own hashes, whether each is a slot, and
     each text's first word (n + 1 entries)."""
+    return readings(texts)[:4]
+
+
+def readings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``templates``, and whether each word opens a sentence and would else be a name."""
     raw, off = text_bytes(texts)
     buf = LOWER[raw]
     upper2 = np.zeros(len(raw), bool)  # second byte of a Latin-1 capital
@@ -102,10 +116,11 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     caps = np.concatenate([[0], np.cumsum(capital)])
     two = raw[s] == 0xC3 if len(s) else np.zeros(0, bool)
     head = s + 1 + two
-    name = ~opening & (caps[np.minimum(head, e)] > caps[s]) & (caps[e] == caps[np.minimum(head, e)]) & (e > head)
+    capitalised = (caps[np.minimum(head, e)] > caps[s]) & (caps[e] == caps[np.minimum(head, e)]) & (e > head)
+    name = ~opening & capitalised
     unit = UNIT_HASHES[np.minimum(np.searchsorted(UNIT_HASHES, own), len(UNIT_HASHES) - 1)] == own
     word = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, own)))
-    return word, own, number | name | unit, new_first
+    return word, own, number | name | unit, new_first, opening & capitalised & ~number & ~unit
 
 
 def pattern(values: np.ndarray) -> str:
@@ -115,40 +130,74 @@ def pattern(values: np.ndarray) -> str:
 
 
 def template_windows(texts: pa.Array, widths: list[int] | None, let: np.ndarray | None = None):
-    """(text, width, hash, slot pattern, value hash) of each window that
-    ``let`` (a bitmap) lets through. ``widths`` None: one width per text,
-    ``WIDTH`` or all its words."""
-    word, own, slot, first = templates(texts)
+    """(text, width, hash, slot pattern, value hash, plain hash) of each reading
+    of each window that ``let`` (a bitmap) lets through; the plain hash names
+    the window in all its readings. ``widths`` None: the windows of items, one
+    width per text, ``WIDTH`` or all its words."""
+    word, own, slot, first, either = readings(texts)
     count = np.concatenate([[0], np.cumsum(slot)])
     n = np.diff(first)
+
+    def through(h: np.ndarray) -> np.ndarray:
+        bit = h & U(BITS - 1)
+        return (let[(bit >> U(3)).astype(np.int64)] >> (bit & U(7)).astype(np.uint8)) & 1 > 0 if let is not None else np.ones(len(h), bool)
+
     for w in widths if widths is not None else sorted({min(int(k), WIDTH) for k in set(n.tolist()) if k >= LEAST}):
         h = mix(windows(word, w) + U(w))
         values = windows(own, w)
         at, per = window_starts(first, w)
         text = np.repeat(np.arange(len(n)), per)
-        ok = 2 * (count[at + w] - count[at]) <= w
         if widths is None:
-            ok &= np.minimum(n, WIDTH)[text] == w
-        if let is not None and len(at):
-            bit = h[at] & U(BITS - 1)
-            ok &= (let[(bit >> U(3)).astype(np.int64)] >> (bit & U(7)).astype(np.uint8)) & 1 > 0
-        for i, a in zip(text[ok].tolist(), at[ok].tolist(), strict=True):
+            mine = np.minimum(n, WIDTH)[text] == w
+            at, text = at[mine], text[mine]
+        if not len(at):
+            continue
+        slots = count[at + w] - count[at]
+        two = either[at]
+        plain, named = 2 * slots <= w, two & (2 * (slots + 1) <= w)
+        if widths is None:
+            usable = plain & (named | ~two)
+            none = np.bincount(text, usable, len(n)) == 0
+            exact = usable | none[text]
+        else:
+            exact = np.ones(len(at), bool)
+        same = mix(values[at] + U(w) + EXACT)
+        for i in np.flatnonzero(plain & through(h[at])).tolist():
+            a = at[i]
             inside = own[a : a + w][slot[a : a + w]]
-            yield i, w, int(h[a].astype(np.int64)), pattern(inside) if len(inside) else "", int(values[a].astype(np.int64))
+            yield _reading(text[i], w, h[a], pattern(inside) if len(inside) else "", values[a], h[a])
+        some = np.flatnonzero(named)
+        if len(some):
+            seq = word[at[some][:, None] + np.arange(w)]
+            seq[:, 0] = NAME
+            alt = mix(windows(seq.ravel(), w)[::w] + U(w))
+            for i, x in zip(some[through(alt)].tolist(), alt[through(alt)], strict=True):
+                a = at[i]
+                held = slot[a : a + w].copy()
+                held[0] = True
+                yield _reading(text[i], w, x, pattern(own[a : a + w][held]), values[a], h[a])
+        for i in np.flatnonzero(exact & through(same)).tolist():
+            yield _reading(text[i], w, same[i], WORDS, values[at[i]], h[at[i]])
+
+
+def _reading(text, w: int, h, slots: str, values, plain) -> tuple[int, int, int, str, int, int]:
+    return int(text), w, int(h.astype(np.int64)), slots, int(values.astype(np.int64)), int(plain.astype(np.int64))
 
 
 def benchmark_windows(spark: SparkSession, benchmark: DataFrame) -> DataFrame:
-    """(h, item_id, w, slots, val) of every window of every item, landed."""
+    """(h, item_id, w, slots, val, plain) of every reading of every window of
+    every item, landed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = part.column("item_id").to_pylist()
-                rows = [(h, ids[i], w, p, v) for i, w, h, p, v in template_windows(part.column("text"), None)]
-                yield _batch(rows, ["h", "item_id", "w", "slots", "val"], [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64()])
+                rows = [(h, ids[i], w, p, v, b) for i, w, h, p, v, b in template_windows(part.column("text"), None)]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+                yield _batch(rows, ["h", "item_id", "w", "slots", "val", "plain"], kinds)
 
     rows = benchmark.selectExpr("cast(item_id as long) item_id", "text")
-    out = rows.mapInArrow(run, "h long, item_id long, w int, slots string, val long").distinct()
+    out = rows.mapInArrow(run, "h long, item_id long, w int, slots string, val long, plain long").distinct()
     return land(spark, out, "benchmark-windows")
 
 
@@ -170,8 +219,8 @@ def bitmap(bench: DataFrame) -> np.ndarray:
 
 
 def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, item_id, h, exact): slot-consistent windows that a
-    document shares with an item."""
+    """(doc_id, text_hash, item_id, h, exact): windows (by their plain hash)
+    that a document shares with an item in some reading."""
     bench = benchmark_windows(spark, benchmark)
     widths = sorted(r[0] for r in bench.select("w").distinct().collect())  # LEAST..WIDTH
     let = bitmap(bench)
@@ -180,15 +229,15 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFram
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, keys = part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist()
-                found = dict.fromkeys((i, h, p, v) for i, _, h, p, v in template_windows(part.column("text"), widths, let))
+                found = dict.fromkeys((i, h, p, v) for i, _, h, p, v, _ in template_windows(part.column("text"), widths, let))
                 rows = [(ids[i], keys[i], h, p, v) for i, h, p, v in found]
                 yield _batch(rows, ["doc_id", "text_hash", "h", "slots", "val"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     sent = rows.mapInArrow(run, "doc_id long, text_hash long, h long, slots string, val long")
-    item = bench.select("h", "item_id", "slots", F.col("val").alias("item_val"))
+    item = bench.select("h", "item_id", "slots", "plain", F.col("val").alias("item_val"))
     return sent.join(item, ["h", "slots"]).select(
-        "doc_id", "text_hash", "item_id", "h", (F.col("val") == F.col("item_val")).alias("exact")
+        "doc_id", "text_hash", "item_id", F.col("plain").alias("h"), (F.col("val") == F.col("item_val")).alias("exact")
     )
 
 
