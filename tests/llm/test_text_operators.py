@@ -188,6 +188,22 @@ def test_line_dedup_repeated_rows_and_null_ids(spark):
     assert got == [(0, "d"), (5, "a\nb\nc"), (5, "a\nb\nc"), (7, "")]
 
 
+def test_line_dedup_rows_without_own_id(spark):
+    """Rows that share an id, or have none, are documents of their own where
+    their texts differ."""
+    one, two, many = "a\nb\nc\nu1\nu2\nu3", "v1\nv2\nv3\nv4\na\nb\nc", [f"n{i}\nr\ns\nt" for i in range(9)]
+    texts = [one, two, "x\ny\nz", "x\ny\nz", "p\nq\na\nb\nc", "a\nb\nc\nw", *many, "a\nb\nc"]
+    docs = documents(spark, texts, [None, None, None, None, 8, 8, *[None] * 9, 2])
+    got = Counter((r.doc_id, r.text) for r in line_dedup.line_dedup(spark, docs).collect())
+    want = Counter({(2, "a\nb\nc"): 1, (8, "p\nq"): 1, (8, "w"): 1, (None, "u1\nu2\nu3"): 1, (None, "v1\nv2\nv3\nv4"): 1, (None, "x\ny\nz"): 2})
+    assert all(got[k] == v for k, v in want.items())
+    # Of nine copies of r, s, t in rows without an id, one stays.
+    rest = [t for k, t in got.elements() if (k, t) not in want]
+    assert sorted(len(t.split("\n")) for t in rest) == [1] * 8 + [4]
+    extremes = documents(spark, ["a\nb\nc"] * 4, [-(2**63), 2**63 - 1, None, 0])
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(spark, extremes).collect()} == {-(2**63): "a\nb\nc", 2**63 - 1: "", None: "", 0: ""}
+
+
 def test_line_dedup_oracle(spark):
     compare(spark, SF01, "op2_line_dedup", queries.QUERIES["op2_line_dedup"], queries.ORACLE_SQL["op2_line_dedup"])
 

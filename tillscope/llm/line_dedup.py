@@ -3,7 +3,7 @@
 Every run of ``width`` consecutive lines is a window, known by two 64-bit
 hashes over its lines' hashes. A window that occurs more than once, in one
 document or in several, keeps its first occurrence (smallest doc_id, then
-line); the lines that later occurrences cover are removed, overlapping
+hash of the text, then line); the lines that later occurrences cover are removed, overlapping
 occurrences merged. Only built-in functions are used.
 
 Counting is combined before the shuffle. The repeated windows are landed, so
@@ -13,10 +13,11 @@ windows become the list of line ranges that stay, so a text is cut by a few
 slices however many windows were removed.
 
 Nulls and ties: lines end at ``\\n``; a text with fewer lines than a window is
-left alone; a null text stays null with 0 lines. Rows that share a doc_id
-count as one document: equal windows at equal lines are one occurrence, and
-what is removed from one is removed from all; null ids share one id, after
-all others. A document all of whose lines are removed keeps its row, with an
+left alone; a null text stays null with 0 lines. Rows are known by doc_id and
+a hash of the text: rows that share both count as one document, and what is
+removed from one is removed from all; rows that share an id, or have none, but
+differ in text are documents of their own. Null ids come after all others. A
+document all of whose lines are removed keeps its row, with an
 empty text. An empty table gives no rows.
 """
 
@@ -28,21 +29,25 @@ from pyspark.sql import functions as F
 from tillscope.llm.common import fresh, land
 
 WIDTH = 3
-#: Rank of rows without an id: after every (doc_id, line).
-LAST = "19807040628566084398385987584"  # 2 ** 94
+#: Rank of rows without an id: after every (doc_id, hash, line).
+LAST = "42535295865117307932921825928971026432"  # 2 ** 125
 
 
-def _rank(doc_id: Column, line: Column) -> Column:
-    """(doc_id, line) as one ordered number that a hash aggregate can hold."""
-    place = doc_id.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)")
-    return F.coalesce(place, F.lit(LAST).cast("decimal(38,0)")).cast("decimal(37,0)") + line.cast("decimal(11,0)")
+def _rank(doc_id: Column, t: Column, line: Column) -> Column:
+    """(doc_id, t, line) as one ordered number that a hash aggregate can hold;
+    of ``t``, 31 bits where there is an id, else all."""
+    number = lambda x: F.lit(x).cast("decimal(38,0)")
+    place = doc_id.cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)")
+    place = place.cast("decimal(38,0)") + F.shiftrightunsigned(t, 33).cast("decimal(10,0)") * F.lit(1 << 31).cast("decimal(10,0)")
+    rest = (t.cast("decimal(19,0)") + F.lit(str(1 << 63)).cast("decimal(19,0)")) * F.lit(1 << 31).cast("decimal(10,0)")
+    return F.coalesce(place.cast("decimal(38,0)"), (number(LAST) + rest).cast("decimal(38,0)")) + line.cast("decimal(10,0)")
 
 
 def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, p, a, b): first line and hash of every window."""
+    """(doc_id, t, p, a, b): hash of the text, first line and hash of every window."""
     lines = F.split("text", "\n", -1)
     hashed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"),
         F.transform(lines, lambda x: F.xxhash64(x)).alias("h"),
         F.transform(lines, lambda x: F.xxhash64(F.lit(17), x)).alias("g"),
     ).where(F.size("h") >= width)
@@ -53,22 +58,25 @@ def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return F.struct(i.alias("p"), F.xxhash64(*h).alias("a"), F.xxhash64(F.lit(29), *g).alias("b"))
 
     each = F.transform(F.sequence(F.lit(0), F.size("h") - width), run)
-    return hashed.select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.p", "w.a", "w.b")
+    return hashed.select("doc_id", "t", F.explode(each).alias("w")).select("doc_id", "t", "w.p", "w.a", "w.b")
 
 
 def stays(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, segs, tail) of each document that loses lines: the line ranges
+    """(doc_id, t, segs, tail) of each document that loses lines: the line ranges
     (start, count) before its last removed line, and the line after that."""
-    w = windows(docs, width).withColumn("rank", _rank(F.col("doc_id"), F.col("p")))
-    repeated = w.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("rank").alias("first")).where("c > 1")
+    w = windows(docs, width).withColumn("rank", _rank(F.col("doc_id"), F.col("t"), F.col("p")))
+    # Equal ranks may differ in the text's hash: ``own`` tells which is first.
+    repeated = w.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("c"), F.min("rank").alias("first"), F.min_by("t", "rank").alias("own")
+    ).where("c > 1")
     repeated = land(spark, repeated.drop("c"), "repeated-lines")
-    later = w.join(repeated, ["a", "b"]).where("rank <> first").select("doc_id", "p").distinct()
-    before = F.lag("p").over(Window.partitionBy("doc_id").orderBy("p"))
+    later = w.join(repeated, ["a", "b"]).where("rank <> first or t <> own").select("doc_id", "t", "p").distinct()
+    before = F.lag("p").over(Window.partitionBy("doc_id", "t").orderBy("p"))
     start = F.coalesce(F.col("q") + width, F.lit(0))
     seg = F.when(F.col("p") > start, F.struct(start.alias("s"), (F.col("p") - start).alias("n")))
     return (
-        later.withColumn("q", before).select("doc_id", "p", seg.alias("seg"))
-        .groupBy("doc_id").agg(F.sort_array(F.collect_list("seg")).alias("segs"), (F.max("p") + width).alias("tail"))
+        later.withColumn("q", before).select("doc_id", "t", "p", seg.alias("seg"))
+        .groupBy("doc_id", "t").agg(F.sort_array(F.collect_list("seg")).alias("segs"), (F.max("p") + width).alias("tail"))
     )
 
 
@@ -77,9 +85,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, counts:
     there is one, set anew for texts that changed); with ``counts`` also
     n_lines and n_removed."""
     cut = stays(spark, docs, width)
-    key, segs, tail, lined = (fresh(docs, f"cut_{c}") for c in ("id", "segs", "tail", "lines"))
-    cut = cut.select(F.col("doc_id").alias(key), F.col("segs").alias(segs), F.col("tail").alias(tail))
-    both = docs.join(cut.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left")
+    key, own, segs, tail, lined = (fresh(docs, f"cut_{c}") for c in ("id", "text", "segs", "tail", "lines"))
+    cut = cut.select(F.col("doc_id").alias(key), F.col("t").alias(own), F.col("segs").alias(segs), F.col("tail").alias(tail))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(own))
+    both = docs.join(cut.hint("shuffle_hash"), same, "left")
     # A column of its own: inside a lambda, ``text`` would mean the new text.
     both, lines = both.withColumn(lined, F.split("text", "\n", -1)), F.col(lined)
     parts = F.flatten(F.transform(segs, lambda s: F.slice(lines, s["s"] + 1, s["n"])))
