@@ -332,6 +332,19 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 2, 6, 8, 9]
 
 
+def test_keep_one_of_rows_without_own_id(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    texts = [near, near, near.upper() + " more", "one two three four five six", "one two three four five six", "only here stands this line of words",
+             near, near + " end", "some other words that nobody else has", "five words five times here", "five words five times here", "", ""]
+    ids = [None, None, None, None, None, None, 4, 9, 9, 3, 3, None, None]
+    out = jaccard.keep_one(spark, documents(spark, texts, ids))
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert got == Counter({
+        (4, near): 1, (None, texts[3]): 1, (None, texts[5]): 1, (9, texts[8]): 1, (3, texts[9]): 1, (None, ""): 2
+    })
+    assert out.columns == documents(spark, []).columns
+
+
 BENCH = [
     "If Tom walks 12 km in 3 hours and then Tom rests before walking home again how far did Tom go that day in all",
     "short question here",

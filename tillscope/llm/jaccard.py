@@ -157,7 +157,18 @@ def rarity(docs: DataFrame, n: int) -> np.ndarray:
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``: documents
     link when 100 * intersection >= ``percent`` * union of their n-gram sets."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = linked(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, percent)
+    name = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("c"))
+    name = land(spark, name.where("c > 1").drop("c"), "ngram-names")
+    return rows.join(name, "comp", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id")
+    )
+
+
+def linked(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The columns of ``docs`` but text (longs), n (set size) and comp (the
+    component, null without a set) of every row. Landed."""
+    keys = [c for c in docs.columns if c != "text"]
     rare = rarity(docs, n)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,14 +178,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent
                 p = np.where(s.size > 0, s.size - (percent * s.size + 99) // 100 + 1, 0)
                 bits = s.parity()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(s.size, pa.int64()), pa.array(s.id, pa.int64()), s.lists(p), s.bins(),
+                    [*(part.column(c) for c in keys), pa.array(s.size, pa.int64()), pa.array(s.id, pa.int64()), s.lists(p), s.bins(),
                      *(pa.array(bits[:, i]) for i in range(PARITY))],
-                    names=["doc_id", "n", "k", "prefix", "bins", *BITS_OF],
+                    names=[*keys, "n", "k", "prefix", "bins", *BITS_OF],
                 )
 
-    kind = "doc_id long, n long, k long, prefix array<long>, bins array<int>" + "".join(f", {b} long" for b in BITS_OF)
+    kind = "".join(f"{c} long, " for c in keys) + "n long, k long, prefix array<long>, bins array<int>" + "".join(f", {b} long" for b in BITS_OF)
     sets = land(spark, docs.mapInArrow(prefixes, kind), "ngram-prefixes")
-    classes = land(spark, sets.where("n > 0").dropDuplicates(["k"]).drop("doc_id"), "ngram-classes")
+    classes = land(spark, sets.where("n > 0").dropDuplicates(["k"]).drop(*keys), "ngram-classes")
     posts = classes.select("k", "n", F.posexplode("prefix").alias("pos", "s"))
     lists = posts.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("low"), F.max("k").alias("high")).where("c > 1")
     lists = land(spark, lists, "ngram-lists")
@@ -217,15 +228,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent
     more = verified(spark, docs, pairs, classes, rare, n, percent)
     comp = land(spark, components(spark, links.union(more).toDF("u", "v"), "ngram-links"), "ngram-components")
 
-    rows = sets.select("doc_id", "n", "k").join(comp, sets["k"] == comp["node"], "left").select(
-        "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "k")).alias("comp")
-    )
-    rows = land(spark, rows, "ngram-rows")
-    name = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("c"))
-    name = land(spark, name.where("c > 1").drop("c"), "ngram-names")
-    return rows.join(name, "comp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id")
+    rows = sets.select(*keys, "n", "k").join(comp, sets["k"] == comp["node"], "left").select(
+        *keys, "n", F.when(F.col("n") > 0, F.coalesce("component", "k")).alias("comp")
     )
+    return land(spark, rows, "ngram-rows")
 
 
 def _length(percent: int) -> Column:
@@ -284,10 +290,25 @@ def verified(
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that name their component (or have no
-    set): one document of each group of near-duplicates. Rows that share an id
-    are one document."""
-    out = jaccard_components(spark, docs, n, percent)
-    key = fresh(docs, "dropped_id")
-    dropped = out.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col(key), "left_anti")
+    """The rows of ``docs``, all columns, without near-duplicates: of each
+    component one row stays, the first by doc_id (nulls last), then hash of the
+    text; of rows with equal id and text any one. Rows without a set stay."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    rows = linked(spark, keyed, n, percent).where("comp is not null")
+    keys = land(spark, rows.groupBy("comp", "doc_id", "t").agg(F.count(F.lit(1)).alias("m")), "ngram-keys")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("i"), F.col("t").alias("h"))
+    first = keys.groupBy("comp").agg(F.min(order).alias("first"), F.sum("m").alias("c")).where("c > 1").drop("c")
+    both = keys.join(land(spark, first, "ngram-firsts"), "comp")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.i")) & (F.col("t") == F.col("first.h"))
+    marked = land(spark, both.where(~stays | (F.col("m") > 1)).select("doc_id", "t", stays.alias("stays")), "ngram-dropped")
+
+    a, b = fresh(docs, "dropped_id"), fresh(docs, "dropped_text")
+    marks = marked.select(F.col("doc_id").alias(a), F.col("t").alias(b), "stays")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (F.xxhash64("text") == F.col(b))
+    out = docs.join(marks.drop("stays"), same, "left_anti")
+    if marked.where("stays").isEmpty():
+        return out
+    # Rows that repeat the row that stays, as a whole: one of them.
+    again = docs.join(marks.where("stays").drop("stays"), same, "left_semi")
+    again = again.withColumns({a: F.col("doc_id").cast("long"), b: F.xxhash64("text")}).dropDuplicates([a, b])
+    return out.unionByName(again.drop(a, b))
