@@ -2,6 +2,7 @@
 pipeline by its stages' promises."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,21 @@ def test_classifier_edges(spark, score, column):
     assert score(spark, documents(spark, []), known).count() == 0
 
 
+def test_toxicity_thresholds_cover_all_labels(spark):
+    """Every fifth "grim" text is toxic: to reject them all pays only where
+    half of the rows are toxic, as in the sample, not among all labels."""
+    kinds = [("grim", int(i % 5 == 0)) for i in range(400)] + [("vile", 1)] * 60 + [("calm", 0)] * 900
+    order = np.random.default_rng(8).permutation(len(kinds))
+    texts = [f"this {kinds[k][0]} text is the one" for k in order]
+    known = spark.createDataFrame([(i, kinds[k][1]) for i, k in enumerate(order)], "doc_id long, toxic int")
+    docs = documents(spark, texts)
+    model = toxicity.train(spark, docs, known, 60)[0]
+    score = {kind: model.net.score(*toxicity.word_ids(pa.array([f"this {kind} text is the one"])))[0] for kind in ("calm", "grim", "vile")}
+    assert score["calm"] < score["grim"] < score["vile"]
+    assert len(model.used) < 120 and set(model.by_lang) == {"en"}
+    assert all(score["grim"] < cut <= score["vile"] for cut in (model.threshold, model.by_lang["en"]))
+
+
 def test_held_out_fold(spark):
     import zlib
 

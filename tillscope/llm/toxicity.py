@@ -10,8 +10,11 @@ sends each gradient to one window.
 
 The model is fitted on a bounded sample of the labelled training rows, at most
 ``PER_CLASS`` of each class with the smallest hash of doc_id, a fifth of which
-is kept apart to calibrate a threshold for each language. The language never
-enters a score.
+is kept apart. The thresholds, one for each language, come from all labelled
+training rows outside the fit: they are scored in Spark and counted by
+language, label and score level (``LEVELS``), and weighted so that each class
+has its share among all labelled training rows, whatever the fit took away.
+The language never enters a score.
 
 Nulls and ties: a null or empty text has no windows and gets the score of the
 bias alone. Rows with a null label or id are never learned from. Without both
@@ -31,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import held_out, slices
+from tillscope.llm.common import held_out, land, slices
 from tillscope.llm.textnum import hash_spans, LOWER, SPACE, spans, text_bytes, U
 
 #: At most so many labelled rows of each class are used to fit the model.
@@ -48,6 +51,11 @@ ODDS = 4.0
 #: Training texts that must have an embedding row for it to be learned.
 LEAST_TEXTS = 4
 
+#: Levels of the score's log odds, from -REACH to REACH, counted for thresholds.
+LEVELS, REACH = 1 << 12, 16.0
+#: Calibration rows of each class that a language needs for its own threshold.
+LEAST_ROWS = 20
+
 # A word's ends lose ASCII punctuation: these bytes separate words here.
 CUT = SPACE.copy()
 CUT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -196,60 +204,93 @@ class TextCNN:
                         e[rows_k] -= RATE * g / np.sqrt(sums["emb"][k][rows_k])[:, None]
 
 
-def best_threshold(score: np.ndarray, y: np.ndarray, least: float = 0.05) -> float:
-    """The cut with the largest F1, in the middle of the gap below it."""
-    order = np.argsort(-score, kind="stable")
-    s, hit = score[order], np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
-    ends = np.append(s[1:] < s[:-1], True)  # equal scores fall on one side
-    i = int(np.flatnonzero(ends)[f1[ends].argmax()])
-    return float(max(least, (s[i] + (s[i + 1] if i + 1 < len(s) else 0)) / 2))
+def level(score: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        z = np.log(score) - np.log1p(-score)
+    return np.clip((z / (2 * REACH) + 0.5) * LEVELS, 0, LEVELS - 1).astype(np.int32)
+
+
+def best_threshold(clean: np.ndarray, toxic: np.ndarray, least: float = 0.05) -> float:
+    """The cut with the largest F1 over (weighted) counts by level, in the
+    middle of the gap below it."""
+    used = np.flatnonzero(clean + toxic)[::-1]
+    hit, n = np.cumsum(toxic[used]), np.cumsum((clean + toxic)[used])
+    i = int((2 * hit / (n + toxic.sum())).argmax())
+    edge = lambda k: 1 / (1 + np.exp(-(k / LEVELS - 0.5) * 2 * REACH))
+    return float(max(least, (edge(used[i]) + (edge(used[i + 1] + 1) if i + 1 < len(used) else 0)) / 2))
 
 
 class Toxicity:
-    """The fitted network and its thresholds by language."""
+    """The fitted network, the ids it was fitted on and its thresholds by language."""
 
-    def __init__(self, texts: pa.Array, langs: list, y: np.ndarray, default: float = 0.3):
+    def __init__(self, texts: pa.Array, ids: np.ndarray, y: np.ndarray, default: float = 0.3):
         self.net, self.threshold, self.by_lang = TextCNN(), default, {}
+        self.used = np.zeros(0, np.int64)
         if len(set(y.tolist())) < 2:
             self.net.constant = float(y.mean()) if len(y) else 0.0
             return
-        ids, first = all_word_ids(texts)
-        apart = np.arange(len(y)) % 5 == 4
-        self.net.fit(ids, first, y.astype(np.float32), np.flatnonzero(~apart))
-        score = np.concatenate([
-            self.net.score(ids[first[i] : first[j]], first[i : j + 1] - first[i]) for i, j in word_runs(first, 1 << 16)
-        ])
-        if apart.any() and 0 < y[apart].sum() < apart.sum():
-            self.threshold = best_threshold(score[apart], y[apart])
-            langs = np.array([str(x) for x in langs])
-            for lang in set(langs[apart].tolist()):
-                own = apart & (langs == lang)
-                if min(y[own].sum(), (1 - y[own]).sum()) >= 20:
-                    self.by_lang[lang] = best_threshold(score[own], y[own])
-
-
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Toxicity:
+        words, first = all_word_ids(texts)
+        use = np.flatnonzero(np.arange(len(y)) % 5 != 4)
+        self.net.fit(words, first, y.astype(np.float32), use)
+        self.used = np.unique(ids[use])
+
+    def calibrate(self, scored: DataFrame, known: DataFrame) -> None:
+        """Thresholds from all labelled rows outside the fit: counts by
+        language, level and label reach the driver."""
+        if self.net.constant is not None:
+            return
+        counts = scored.join(known, "doc_id").groupBy("lang", "level", "y").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(~F.col("used")).alias("own")
+        )
+        every, by_lang = np.zeros((2, 2, LEVELS)), {}  # (all or outside the fit, label, level)
+        for r in counts.collect():
+            add = np.array([r["n"], r["own"]])
+            every[:, r["y"], r["level"]] += add
+            if r["lang"] is not None:
+                by_lang.setdefault(r["lang"], np.zeros((2, 2, LEVELS)))[:, r["y"], r["level"]] += add
+        own = every[1].sum(1)
+        if own.min() > 0:
+            self.threshold = best_threshold(*(every[1] * (every[0].sum(1) / own)[:, None]))
+            for lang, c in by_lang.items():
+                own = c[1].sum(1)
+                if own.min() >= LEAST_ROWS:
+                    self.by_lang[lang] = best_threshold(*(c[1] * (c[0].sum(1) / own)[:, None]))
+
+
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, y) of the labels that may be learned from."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
+    return known.where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Toxicity, DataFrame]:
+    """The model with its thresholds, and ``scores`` of all rows, landed."""
+    known = known_labels(labels)
+    model = fit(docs, known, per_class)
+    scored = land(spark, scores(docs, model), "toxicity-scores")
+    model.calibrate(scored, known)
+    return model, scored
+
+
+def fit(docs: DataFrame, known: DataFrame, per_class: int) -> Toxicity:
     """Fit on at most ``per_class`` labelled rows of each class outside the
     held-out fold: ids are chosen first, then their texts are fetched into one
     task, which sends the driver the model alone."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
-    known = known.where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     rank = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("y = 1").orderBy(*rank).limit(per_class).union(known.where("y = 0").orderBy(*rank).limit(per_class))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce("text", F.lit("")).alias("text"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = text.join(F.broadcast(some), "doc_id").repartition(1)  # at most 2 * per_class ids
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)  # at most 2 * per_class rows
         model = pickle.dumps(fitted(pa.Table.from_batches(parts) if parts else SAMPLE.empty_table()))
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
-    models = rows.select("doc_id", "lang", "text", "y").mapInArrow(fit, "model binary").collect()
+    models = rows.select("doc_id", "text", "y").mapInArrow(run, "model binary").collect()
     return pickle.loads(models[0]["model"]) if models else fitted(SAMPLE.empty_table())
 
 
-SAMPLE = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string()), ("y", pa.int32())])
+SAMPLE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("y", pa.int32())])
 
 
 def fitted(rows: pa.Table) -> Toxicity:
@@ -258,38 +299,45 @@ def fitted(rows: pa.Table) -> Toxicity:
     order = pc.sort_indices(rows.append_column("k", key), [(c, "ascending") for c in ("k", "doc_id", "text")])
     rows = rows.take(order).combine_chunks()
     text = rows["text"].chunk(0) if rows.num_rows else pa.array([], pa.string())
-    return Toxicity(text, rows["lang"].to_pylist(), rows["y"].to_numpy().astype(int))
+    return Toxicity(text, rows["doc_id"].to_numpy(), rows["y"].to_numpy().astype(int))
 
 
-def toxicity(spark: SparkSession, docs: DataFrame, model: Toxicity) -> DataFrame:
-    """doc_id, score and rejected (the score reaches its language's threshold)."""
+def scores(docs: DataFrame, model: Toxicity) -> DataFrame:
+    """doc_id, lang, score, its level and whether the row's id was fitted on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
                 ids, first = word_ids(part.column("text"))
                 score = model.net.score(ids, first)
-                cut = np.array([model.by_lang.get(str(x), model.threshold) for x in part.column("lang").to_pylist()])
+                used = pc.fill_null(pc.is_in(part.column("doc_id"), pa.array(model.used)), False)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(score), pa.array(score >= cut)], names=["doc_id", "score", "rejected"]
+                    [part.column("doc_id"), part.column("lang"), pa.array(score), pa.array(level(score)), used],
+                    names=["doc_id", "lang", "score", "level", "used"],
                 )
 
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "lang", "text")
-    return rows.mapInArrow(run, "doc_id long, score double, rejected boolean")
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(lang as string) lang", "text")
+    return rows.mapInArrow(run, "doc_id long, lang string, score double, level int, used boolean")
 
 
 def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted, rejected of every row of ``docs``."""
-    return toxicity(spark, docs, train(docs, labels)).select(
+    """doc_id, held_out, score, predicted, rejected (the score reaches its
+    language's threshold) of every row of ``docs``."""
+    model, scored = train(spark, docs, labels)
+    cut = F.lit(model.threshold)
+    if model.by_lang:
+        own = F.create_map(*(F.lit(x) for pair in model.by_lang.items() for x in pair))
+        cut = F.coalesce(F.try_element_at(own, F.col("lang")), cut)
+    return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"), "rejected",
+        (F.col("score") >= threshold).cast("int").alias("predicted"), (F.col("score") >= cut).alias("rejected"),
     )
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is below its language's
     threshold. Scored row by row: no join, so ids may repeat or be null."""
-    model = train(docs, labels)
+    model, _ = train(spark, docs, labels)
     kept, columns = docs.columns, docs.schema
     lang, text = kept.index("lang"), kept.index("text")
 
@@ -298,7 +346,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataF
             for part in slices(batch, "text", 1 << 19):
                 ids, first = word_ids(part.column(text))
                 score = model.net.score(ids, first)
-                cut = np.array([model.by_lang.get(str(x), model.threshold) for x in part.column(lang).to_pylist()])
+                cut = np.array([model.by_lang.get(x, model.threshold) for x in part.column(lang).to_pylist()])
                 yield part.filter(pa.array(score < cut))
 
     return docs.mapInArrow(run, columns)
