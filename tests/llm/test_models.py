@@ -138,6 +138,22 @@ def test_visited_cells_are_the_nearest():
         assert set(cells.tolist()) == set(near.tolist())
 
 
+def test_visits_reach_small_groups_beside_tight_ones():
+    """A third of the vectors in 400 tight groups, the rest pairs at cosine
+    0.901 to 0.97; the table is larger than the sample."""
+    r = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    hot = unit(np.repeat(unit(r.normal(size=(400, 64))), 50, axis=0) + 0.01 * r.normal(size=(20_000, 64)))
+    x = unit(r.normal(size=(20_000, 64)))
+    y = np.concatenate([embedding_dedup.moved(x[i : i + 200], c, r) for i, c in zip(range(0, 20_000, 200), np.linspace(0.901, 0.97, 100), strict=True)])
+    table = np.concatenate([hot, x, y])
+    grid = embedding_dedup.Grid(table[r.permutation(len(table))[: embedding_dedup.SAMPLE]], len(table), 0.9)
+    some = r.permutation(len(x))[:2000]
+    there = (grid.visited(x[some]) == grid.home(y[some])[:, None]).any(1)
+    back = (grid.visited(y[some]) == grid.home(x[some])[:, None]).any(1)
+    assert (there | back).mean() >= 0.99
+
+
 def test_components(spark):
     r = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 460)] + [(500, 600 + i) for i in range(50)]

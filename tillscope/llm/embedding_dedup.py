@@ -9,8 +9,10 @@ every vector met there is verified by its cosine in double precision.
 * Equal vectors are one entry with a count, so copies cost nothing.
 * Codebooks are fitted on at most ``SAMPLE`` vectors (smallest hash of the
   id); the grid grows with the corpus. Every vector is indexed and is a query.
-* The number of cells visited is calibrated on the sample: on its own linked
-  pairs, or, where it has few, on vectors moved to just the threshold.
+* The number of cells visited is calibrated on the sample, as the largest
+  number that any of three sets of pairs asks for: vectors moved to just the
+  threshold, the same with one vector of each cell, and linked pairs, one of
+  each vector. So large tight groups, whose pairs are near, don't set it alone.
 * A pair is found if either end visits the other's cell; members carry the
   list of cells that they visit, so that a pair found from both ends counts
   once.
@@ -79,25 +81,29 @@ class Grid:
     def _calibrate(self, sample: np.ndarray, threshold: float, r: np.random.Generator) -> int:
         cells = len(self.books[0]) * len(self.books[1])
         q = sample[:512]
-        near = [np.flatnonzero(s >= threshold) for s in q @ sample.T]
-        query = np.repeat(np.arange(len(q)), [len(n) for n in near])
-        other = np.concatenate(near) if near else np.zeros(0, int)
-        real = np.flatnonzero(query != other)
-        if len(real) >= 200:
-            real = r.permutation(real)[:4096]
-            x, y = q[query[real]], sample[other[real]]
-        else:
-            x = q
-            u = r.normal(size=x.shape)
-            u -= (u * x).sum(1, keepdims=True) * x
-            u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
-            y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * u
+        spread = sample[r.permutation(np.unique(self.home(sample), return_index=True)[1])[:512]]
+        near = [np.flatnonzero((s >= threshold) & (np.arange(len(sample)) != i)) for i, s in enumerate(q @ sample.T)]
+        linked = [i for i, n in enumerate(near) if len(n)]
+        pairs = [(q, moved(q, threshold, r)), (spread, moved(spread, threshold, r))]
+        pairs.append((q[linked], sample[[r.choice(near[i]) for i in linked]]))
+        return min(cells, max(self._needed(x, y) for x, y in pairs if len(x)))
+
+    def _needed(self, x: np.ndarray, y: np.ndarray) -> int:
+        """Cells that the x visit so that ``RECALL`` of them reach their y."""
         a, b = self.distances(x)
         home = self.home(y)
         i, j = home // b.shape[1], home % b.shape[1]
         reach = a[np.arange(len(x)), i] + b[np.arange(len(x)), j]
         rank = np.array([(np.add.outer(a[n], b[n]) < reach[n]).sum() for n in range(len(x))])
-        return int(min(cells, np.quantile(rank, RECALL, method="higher") + 1)) if len(rank) else 1
+        return int(np.quantile(rank, RECALL, method="higher") + 1)
+
+
+def moved(x: np.ndarray, threshold: float, r: np.random.Generator) -> np.ndarray:
+    """Unit vectors at cosine ``threshold`` to ``x``, in random directions."""
+    u = r.normal(size=x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
+    return threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * u
 
 
 def square(x: np.ndarray, c: np.ndarray) -> np.ndarray:
