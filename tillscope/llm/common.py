@@ -25,7 +25,19 @@ def land(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     is cut and a lost executor costs no recomputation of what came before."""
     path = scratch_path(spark, f"llm-{tag}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.landed_at = path
+    return out
+
+
+def discard(spark: SparkSession, *landed: DataFrame) -> None:
+    """Remove the folders of landed tables that no result reads any more.
+    Without a JVM at hand (a remote session) they stay."""
+    jvm = getattr(spark, "_jvm", None)
+    for df in landed:
+        if jvm is not None:
+            path = jvm.org.apache.hadoop.fs.Path(df.landed_at)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillscope.llm import (
     decontamination, embedding_dedup, jaccard, line_dedup, packing, quality, secret_scan, sharding, substring_dedup, toxicity,
+    whitening,
 )
 from tillscope.llm.common import table
 
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lpt_sharding": _docs(sharding.shard_documents),
     "op9_template_decontamination": _docs(decontamination.decontamination, "benchmark"),
     "op10_recompression_dedup": _docs(substring_dedup.substring_dedup),
+    "op11_mixed_precision_whitening": lambda s, d: whitening.whiten(s, table(s, d, "embeddings")),
 }
 
 #: DuckDB SQL where it can express the operator; the others are held against
