@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tillscope.llm import (
-    decontamination, embedding_dedup, jaccard, line_dedup, packing, quality, secret_scan, sharding, substring_dedup, toxicity,
-    whitening,
+    decontamination, embedding_dedup, jaccard, line_dedup, packing, quality, secret_scan, sharding, substring_dedup, suffix_tree,
+    toxicity, whitening,
 )
 from tillscope.llm.common import table
 
@@ -34,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_template_decontamination": _docs(decontamination.decontamination, "benchmark"),
     "op10_recompression_dedup": _docs(substring_dedup.substring_dedup),
     "op11_mixed_precision_whitening": lambda s, d: whitening.whiten(s, table(s, d, "embeddings")),
+    "op12_suffix_tree_scores": _docs(suffix_tree.lm_scores),
 }
 
 #: DuckDB SQL where it can express the operator; the others are held against
