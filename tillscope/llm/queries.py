@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tillscope.llm import (
-    decontamination, embedding_dedup, jaccard, line_dedup, packing, quality, secret_scan, sharding, substring_dedup, suffix_tree,
+    decontamination, embedding_dedup, jaccard, line_dedup, packing, quality, resampling, secret_scan, sharding, substring_dedup, suffix_tree,
     toxicity, whitening,
 )
 from tillscope.llm.common import table
@@ -35,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_recompression_dedup": _docs(substring_dedup.substring_dedup),
     "op11_mixed_precision_whitening": lambda s, d: whitening.whiten(s, table(s, d, "embeddings")),
     "op12_suffix_tree_scores": _docs(suffix_tree.lm_scores),
+    "op13_head_tail_resampling": _docs(resampling.resample, "benchmark"),
 }
 
 #: DuckDB SQL where it can express the operator; the others are held against
