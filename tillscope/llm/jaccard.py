@@ -16,10 +16,11 @@ joined, with
 and each pair that is left is verified once on the full sets.
 
 Only connectivity is wanted, so the work stays linear in large groups: equal
-sets are one class; in long posting lists, every class is first verified
-against the list's smallest and largest member; then only pairs from different
-components are joined, one side always outside the list's largest component.
-Every list is joined in full: no link is lost.
+sets are one class; posting lists of the same members are one list; classes in
+long lists first unite in rounds, each class verified against one partner a
+round; then only pairs from different components are joined, one side always
+outside the list's largest component. Every list is joined in full: no link is
+lost.
 
 Sets are computed from whole texts where the texts lie; texts are never moved.
 Verified sets are fetched by a pass that a fixed-size bitmap of the needed
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import components, fresh, land, slices
+from tillscope.llm.common import components, discard, fresh, land, slices
 from tillscope.llm.textnum import hash_spans, LOWER, mix, ranges, SPACE, spans, text_bytes, U, windows
 
 #: Counters of the n-gram counts (a table of this size at any corpus size).
@@ -50,8 +51,9 @@ BLOCK = 1 << 12
 BINS = 32
 #: 64-bit words of a set's parity bitmap.
 PARITY = 8
-#: Posting lists of at least so many classes are first linked to leaders.
-LONG = 16
+#: Posting lists of at least so many classes take part in the rounds that unite
+#: large groups before all pairs are joined, and the most rounds.
+LONG, ROUNDS = 16, 8
 #: Bits of the bitmap of classes whose sets are fetched.
 BITS = 1 << 23
 
@@ -186,46 +188,30 @@ def linked(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFr
     kind = "".join(f"{c} long, " for c in keys) + "n long, k long, prefix array<long>, bins array<int>" + "".join(f", {b} long" for b in BITS_OF)
     sets = land(spark, docs.mapInArrow(prefixes, kind), "ngram-prefixes")
     classes = land(spark, sets.where("n > 0").dropDuplicates(["k"]).drop(*keys), "ngram-classes")
-    posts = classes.select("k", "n", F.posexplode("prefix").alias("pos", "s"))
-    lists = posts.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("low"), F.max("k").alias("high")).where("c > 1")
-    lists = land(spark, lists, "ngram-lists")
-    posts = land(spark, posts.join(lists, "s"), "ngram-posts")
-
-    size = classes.select("k", "n")
-    near = posts.where(F.col("c") >= LONG)
-    near = near.select("k", F.explode(F.array_distinct(F.array("low", "high"))).alias("j")).where("k <> j")
-    near = near.select(F.least("k", "j").alias("a"), F.greatest("k", "j").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    near = near.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    links = verified(spark, docs, near.where(_length(percent) & _shared(percent)).select("a", "b"), classes, rare, n, percent)
-    comp = land(spark, components(spark, links.toDF("u", "v"), "ngram-leaders"), "ngram-leaders")
-
-    posts = land(
-        spark,
-        posts.select("s", "k", "n", "pos").join(comp, posts["k"] == comp["node"], "left")
-        .select("s", "k", "n", "pos", F.coalesce("component", "k").alias("comp")),
-        "ngram-posts",
-    )
-    main = posts.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(
-        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")
-    )
-    main = land(spark, main.where("comps > 1").select("s", "main"), "ngram-mains")
-    mixed = land(spark, posts.join(main, "s").join(classes.select("k", *BITS_OF), "k"), "ngram-mixed")
+    posts = posting_lists(spark, classes)
+    links, comp = united(spark, docs, posts, classes, rare, n, percent)
+
+    labelled = land(spark, _labelled(posts, comp), "ngram-posts")
+    main = land(spark, _mains(labelled).where("comps > 1").select("g", "main"), "ngram-mains")
+    mixed = land(spark, labelled.join(main, "g").join(classes.select("k", *BITS_OF), "k"), "ngram-mixed")
     carried = ("k", "n", "pos", "comp", *BITS_OF)
-    x = mixed.where("comp <> main").select("s", *(F.col(c).alias(f"x_{c}") for c in carried))
-    y = mixed.select("s", "main", *(F.col(c).alias(f"y_{c}") for c in carried))
+    x = mixed.where("comp <> main").select("g", "m", *(F.col(c).alias(f"x_{c}") for c in carried))
+    y = mixed.select("g", "main", *(F.col(c).alias(f"y_{c}") for c in carried))
     lo, hi = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
     after = F.least("x_pos", "y_pos") + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
     once = (F.col("y_comp") == F.col("main")) | (F.col("x_k") < F.col("y_k"))
     fits = (lo * 100 >= hi * percent) & (after * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent)
     fits = fits & _parity("x_", "y_", F.col("x_n") + F.col("y_n"), percent)
-    pairs = x.join(y, "s").where((F.col("x_comp") != F.col("y_comp")) & once & fits)
+    pairs = x.join(y, "g").where((F.col("x_comp") != F.col("y_comp")) & once & fits)
     pairs = pairs.select(
-        F.least("x_k", "y_k").alias("a"), F.greatest("x_k", "y_k").alias("b"),
+        "m", F.least("x_k", "y_k").alias("a"), F.greatest("x_k", "y_k").alias("b"),
         F.when(F.col("x_k") < F.col("y_k"), F.col("x_n")).otherwise(F.col("y_n")).alias("na"),
         F.when(F.col("x_k") < F.col("y_k"), F.col("y_n")).otherwise(F.col("x_n")).alias("nb"),
     )
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(_shared(percent)).select("a", "b")
-    more = verified(spark, docs, pairs, classes, rare, n, percent)
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("m").alias("c")).where(_shared(percent)).select("a", "b")
+    pairs = filtered(spark, pairs, classes, percent)
+    more = verified(spark, pairs, sets_of(spark, docs, pairs, rare, n), percent)
+    discard(spark, posts, labelled, main, mixed)
     comp = land(spark, components(spark, links.union(more).toDF("u", "v"), "ngram-links"), "ngram-components")
 
     rows = sets.select(*keys, "n", "k").join(comp, sets["k"] == comp["node"], "left").select(
@@ -234,8 +220,68 @@ def linked(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFr
     return land(spark, rows, "ngram-rows")
 
 
-def _length(percent: int) -> Column:
-    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+def posting_lists(spark: SparkSession, classes: DataFrame) -> DataFrame:
+    """(g, k, n, pos, m, c): the lists of two or more classes that share a
+    prefix n-gram. Lists of the same ``c`` members are one list ``g`` that
+    stands for ``m`` n-grams (or more), at each member's first position: near
+    copies share most of their prefixes, and so meet once instead of once an
+    n-gram. Should two lists' member hashes collide, pairs are added, not lost."""
+    posts = classes.select("k", "n", F.posexplode("prefix").alias("pos", "s"))
+    same = F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("k")), F.bit_xor(F.xxhash64(F.lit(7), "k")))
+    lists = land(spark, posts.groupBy("s").agg(F.count(F.lit(1)).alias("c"), same.alias("g")).where("c > 1"), "ngram-lists")
+    out = posts.join(lists, "s").groupBy("g", "k").agg(
+        F.max("n").alias("n"), F.min("pos").alias("pos"), F.count(F.lit(1)).alias("m"), F.max("c").alias("c")
+    )
+    out = land(spark, out, "ngram-posts")
+    discard(spark, lists)
+    return out
+
+
+def _labelled(posts: DataFrame, comp: DataFrame) -> DataFrame:
+    """``posts`` with the component of each class (itself if it has none)."""
+    return posts.join(comp, posts["k"] == comp["node"], "left").drop("node").withColumn("comp", F.coalesce("component", "k")).drop("component")
+
+
+def _mains(labelled: DataFrame) -> DataFrame:
+    """(g, main, comps): each list's largest component and how many it has."""
+    return labelled.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(
+        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")
+    )
+
+
+def united(
+    spark: SparkSession, docs: DataFrame, posts: DataFrame, classes: DataFrame, rare: np.ndarray, n: int, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """Links found by rounds over the long posting lists, and the components
+    that they make.
+
+    In a round every class outside its list's largest component names one
+    partner there, the same for the whole list and another in each round; of
+    the partners that its lists name it takes the one named most often, and
+    the pair is verified. Work is linear in the postings. Rounds end when one
+    finds no link, or ``ROUNDS`` are over; what is not united then is left to
+    the join of all pairs, so nothing is lost."""
+    long = posts.where(F.col("c") >= LONG)
+    links = spark.createDataFrame([], "a long, b long")
+    comp = spark.createDataFrame([], "node long, component long")
+    pool = None
+    for turn in range(ROUNDS):
+        labelled = land(spark, _labelled(long, comp), "ngram-round")
+        if pool is None:
+            pool = sets_of(spark, docs, labelled.select("k"), rare, n)
+        main = _mains(labelled).where("comps > 1")
+        partner = F.min_by(F.col("k"), F.xxhash64(F.lit(turn), "k"))
+        named = labelled.join(main, "g").where("comp = main").groupBy("g", "main").agg(partner.alias("j"))
+        votes = labelled.join(land(spark, named, "ngram-partners"), "g").where("comp <> main").groupBy("k", "j").agg(F.sum("m").alias("v"))
+        pairs = votes.groupBy("k").agg(F.max_by("j", F.struct("v", "j")).alias("j"))
+        pairs = pairs.select(F.least("k", "j").alias("a"), F.greatest("k", "j").alias("b")).distinct()
+        found = verified(spark, filtered(spark, pairs, classes, percent), pool, percent)
+        discard(spark, labelled)
+        if found.isEmpty():
+            break
+        links = land(spark, links.union(found), "ngram-united")
+        comp = land(spark, components(spark, links.toDF("u", "v"), "ngram-leaders"), "ngram-leaders")
+    return links, comp
 
 
 def _prefix(n: str, percent: int) -> Column:
@@ -256,19 +302,24 @@ def _parity(x: str, y: str, total: Column, percent: int) -> Column:
     return apart * (100 + percent) <= total * (100 - percent)
 
 
-def verified(
-    spark: SparkSession, docs: DataFrame, pairs: DataFrame, classes: DataFrame, rare: np.ndarray, n: int, percent: int
-) -> DataFrame:
-    """The pairs (a, b) of classes that reach the threshold on their full sets."""
+def filtered(spark: SparkSession, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the length, parity and suffix filters. Landed."""
     fields = ("k", "n", "bins", *BITS_OF)
     one, two = (classes.select(*fields).toDF(*names) for names in (
         ("a", "na", "ba", *(f"a_{b}" for b in BITS_OF)), ("b", "nb", "bb", *(f"b_{b}" for b in BITS_OF))
     ))
-    both = pairs.join(one, "a").join(two, "b").where(_parity("a_", "b_", F.col("na") + F.col("nb"), percent))
+    total = F.col("na") + F.col("nb")
+    both = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     least = F.aggregate(F.zip_with("ba", "bb", lambda u, v: F.least(u, v).cast("long")), F.lit(0).cast("long"), lambda t, v: t + v)
-    pairs = land(spark, both.where(least * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"), "ngram-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).select(F.pmod("k", F.lit(BITS)).alias("bit"))
-    words = wanted.groupBy(F.shiftright("bit", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")))
+    near = both.where(_parity("a_", "b_", total, percent)).where(least * (100 + percent) >= total * percent)
+    return land(spark, near.select("a", "b"), "ngram-pairs")
+
+
+def sets_of(spark: SparkSession, docs: DataFrame, wanted: DataFrame, rare: np.ndarray, n: int) -> DataFrame:
+    """(k, keys): the whole sets of the classes in ``wanted`` (any columns, all
+    classes) and few others, by a pass that a fixed-size bitmap prunes. Landed."""
+    bit = wanted.select(F.explode(F.array(*wanted.columns)).alias("k")).select(F.pmod("k", F.lit(BITS)).alias("bit"))
+    words = bit.groupBy(F.shiftright("bit", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")))
     bits = np.zeros(BITS // 64, np.int64)
     for w, v in words.collect():  # at most BITS / 64 rows
         bits[w] = v
@@ -282,7 +333,14 @@ def verified(
                 ok = (s.size > 0) & ((let[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(s.id[ok]), s.lists(s.size).filter(pa.array(ok))], names=["k", "keys"])
 
-    full = land(spark, docs.select("text").mapInArrow(fetch, "k long, keys array<long>").dropDuplicates(["k"]), "ngram-sets")
+    kind = "k long, keys array<long>"
+    if not let.any():
+        return spark.createDataFrame([], kind)
+    return land(spark, docs.select("text").mapInArrow(fetch, kind).dropDuplicates(["k"]), "ngram-sets")
+
+
+def verified(spark: SparkSession, pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold on their whole sets. Landed."""
     shared = F.size(F.array_intersect("ka", "kb")).cast("long")
     both = pairs.join(full.toDF("a", "ka"), "a").join(full.toDF("b", "kb"), "b")
     union = (F.size("ka") + F.size("kb")).cast("long") - shared
