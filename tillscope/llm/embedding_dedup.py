@@ -9,20 +9,25 @@ every vector met there is verified by its cosine in double precision.
 * Equal vectors are one entry with a count, so copies cost nothing.
 * Codebooks are fitted on at most ``SAMPLE`` vectors (smallest hash of the
   id); the grid grows with the corpus. Every vector is indexed and is a query.
-* The number of cells visited is calibrated on the sample, as the largest
-  number that any of three sets of pairs asks for: vectors moved to just the
-  threshold, the same with one vector of each cell, and linked pairs, one of
-  each vector. So large tight groups, whose pairs are near, don't set it alone.
 * A pair is found if either end visits the other's cell; members carry the
   list of cells that they visit, so that a pair found from both ends counts
   once.
+* The number of cells visited is calibrated on the sample, by the nearer end of
+  each pair, as the largest number that any of three sets of pairs asks for:
+  vectors moved to just the threshold, the same with one vector of each cell,
+  and linked pairs, one of each vector. So large tight groups, whose pairs are
+  near, don't set it alone.
+* Vectors are compared with those of their own length: each length has a grid
+  of its own (the length is part of the cell's key), or one single cell where
+  it has at most ``FEW`` vectors.
 * Cells are dealt in blocks of members and of queries, both of bounded size; a
   task sends on per vector its number of links and the smallest id of its
   local component, never pairs.
 
-Nulls and ties: a vector that is null, all zero, holds a null or non-finite
-component, has another length than most, or has a null id links with nothing:
-n_links 0, component_id its own id. Repeated rows count as copies and link
+Nulls and ties: a vector that is null, empty, all zero, holds a null or
+non-finite component, or has a null id links with nothing: n_links 0,
+component_id its own id. So does one whose squares add up to 0 or to infinity
+in doubles. Repeated rows count as copies and link
 with each other. An empty table gives no rows.
 """
 
@@ -39,21 +44,36 @@ from tillscope.llm.common import components, land
 
 #: At most so many vectors fit the codebooks and the number of visits.
 SAMPLE = 1 << 14
-#: Vectors per cell aimed at, and the largest codebook of a half.
-PER_CELL, MOST_WORDS = 8, 1024
+#: Vectors per cell aimed at, and the largest codebook of a half (beyond
+#: PER_CELL * MOST_WORDS ** 2 vectors of a length, half a billion, cells hold more).
+PER_CELL, MOST_WORDS = 8, 8192
+#: Vectors of a length that are one cell.
+FEW = 256
 #: Share of linked pairs that the traversal is to reach.
 RECALL = 0.995
 #: Members and queries of a cell that meet in one group at most (on average).
 BLOCK = 1024
 
 
+class Single:
+    """One cell that holds all."""
+
+    visits = 1
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        return np.zeros(len(x), np.int64)
+
+    def visited(self, x: np.ndarray) -> np.ndarray:
+        return np.zeros((len(x), 1), np.int64)
+
+
 class Grid:
     """Two codebooks and the number of cells that a query visits."""
 
     def __init__(self, sample: np.ndarray, total: int, threshold: float, seed: int = 5):
         r = np.random.default_rng(seed)
         words = int(2 ** np.clip(np.round(np.log2(np.sqrt(max(total, 1) / PER_CELL))), 1, np.log2(MOST_WORDS)))
-        self.half = sample.shape[1] // 2
+        self.half = (sample.shape[1] + 1) // 2
         self.books = [lloyd(x, min(words, len(x)), r) for x in (sample[:, : self.half], sample[:, self.half :])]
         self.visits = self._calibrate(sample, threshold, r)
 
@@ -89,13 +109,19 @@ class Grid:
         return min(cells, max(self._needed(x, y) for x, y in pairs if len(x)))
 
     def _needed(self, x: np.ndarray, y: np.ndarray) -> int:
-        """Cells that the x visit so that ``RECALL`` of them reach their y."""
+        """Cells to visit so that ``RECALL`` of the pairs are reached from
+        their nearer end."""
+        rank = np.minimum(self._rank(x, y), self._rank(y, x))
+        return int(np.quantile(rank, RECALL, method="higher") + 1)
+
+    def _rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many cells are nearer to each x than its y's."""
         a, b = self.distances(x)
         home = self.home(y)
         i, j = home // b.shape[1], home % b.shape[1]
         reach = a[np.arange(len(x)), i] + b[np.arange(len(x)), j]
-        rank = np.array([(np.add.outer(a[n], b[n]) < reach[n]).sum() for n in range(len(x))])
-        return int(np.quantile(rank, RECALL, method="higher") + 1)
+        b = np.sort(b, 1)
+        return np.array([np.searchsorted(b[n], reach[n] - a[n]).sum() for n in range(len(x))])
 
 
 def moved(x: np.ndarray, threshold: float, r: np.random.Generator) -> np.ndarray:
@@ -139,9 +165,10 @@ def embedding_dedup(spark: SparkSession, embeddings: DataFrame, threshold: float
     (vec_id, embedding)."""
     e, size = F.col("embedding"), F.size("embedding")
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
+    norm = F.aggregate(e, F.lit(0.0), lambda t, v: t + v.cast("double") * v.cast("double"))
     rows = embeddings.select(
         F.col("vec_id").cast("long").alias("vec_id"),
-        F.when(F.col("vec_id").isNotNull() & e.isNotNull() & finite & (size > 1), e).alias("embedding"),
+        F.when(F.col("vec_id").isNotNull() & e.isNotNull() & finite & (size > 0) & (norm > 0) & (norm < float("inf")), e).alias("embedding"),
     )
     keyed = rows.select(
         "vec_id", "embedding", F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(7), "embedding").alias("k2")
@@ -150,16 +177,8 @@ def embedding_dedup(spark: SparkSession, embeddings: DataFrame, threshold: float
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("embedding").alias("embedding")
     )
     reps = land(spark, same, "vectors")
-    # One row per vector length; the most frequent length is compared.
-    most = reps.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     zero = F.lit(0).cast("long")
-    if most is None:
-        return rows.select("vec_id", zero.alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    usable = reps.where(F.size("embedding") == most["d"])
-    some = usable.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow()
-    grid = Grid(unit(some.column(0).combine_chunks()), most["count"], threshold)
-
-    found = _found(spark, usable, grid, threshold)
+    found = _found(spark, reps, grids(reps, threshold), threshold)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(spark, found.select(F.col("rep").alias("u"), F.col("root").alias("v")), "vector-links")
     facts = reps.select("rep", "m", "k1", "k2").join(links, "rep", "left").join(
@@ -176,40 +195,55 @@ def embedding_dedup(spark: SparkSession, embeddings: DataFrame, threshold: float
     )
 
 
-def _found(spark: SparkSession, usable: DataFrame, grid: Grid, threshold: float) -> DataFrame:
+def grids(reps: DataFrame, threshold: float) -> dict[int, Grid]:
+    """A grid for each vector length that has more than ``FEW`` vectors."""
+    out = {}
+    d = F.size("embedding")
+    for length, n in reps.groupBy(d.alias("d")).count().where(F.col("count") > FEW).collect():  # a row a length
+        some = reps.where(d == length).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow()
+        out[length] = Grid(unit(some.column(0).combine_chunks()), n, threshold)
+    return out
+
+
+def _found(spark: SparkSession, usable: DataFrame, by_length: dict[int, Grid], threshold: float) -> DataFrame:
     """(rep, links, root): links found in one group, and the smallest id of
     the vector's component there. Landed."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                x = unit(part.column("embedding"))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("rep"), part.column("m"), part.column("embedding"),
-                     pa.array(grid.home(x), pa.int32()), _numbers(grid.visited(x), pa.int32())],
-                    names=["rep", "m", "embedding", "home", "cells"],
-                )
+            size = np.diff(batch.column("embedding").offsets.to_numpy())
+            for d in np.unique(size).tolist():
+                rows, grid = np.flatnonzero(size == d), by_length.get(d, Single())
+                for at in range(0, len(rows), 256):
+                    part = batch.take(pa.array(rows[at : at + 256]))
+                    x = unit(part.column("embedding"))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("rep"), part.column("m"), part.column("embedding"), pa.array(np.full(len(x), d, np.int32)),
+                         pa.array(grid.home(x), pa.int32()), _numbers(grid.visited(x), pa.int32())],
+                        names=["rep", "m", "embedding", "d", "home", "cells"],
+                    )
 
     kind = usable.schema["embedding"].dataType.simpleString()
-    placed = usable.select("rep", "m", "embedding").mapInArrow(assign, f"rep long, m long, embedding {kind}, home int, cells array<int>")
+    placed = usable.select("rep", "m", "embedding").mapInArrow(
+        assign, f"rep long, m long, embedding {kind}, d int, home int, cells array<int>"
+    )
     placed = land(spark, placed, "vector-cells")
-    visits = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("q"))
-    held = placed.groupBy(F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    blocks = land(  # at most MOST_WORDS ** 2 rows
+    visits = placed.select("d", F.explode("cells").alias("cell")).groupBy("d", "cell").agg(F.count(F.lit(1)).alias("q"))
+    held = placed.groupBy("d", F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    blocks = land(
         spark,
-        held.join(visits, "cell").select(
-            "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qb")
+        held.join(visits, ["d", "cell"]).select(
+            "d", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qb")
         ),
         "cell-blocks",
     )
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
-    member = placed.withColumn("cell", F.col("home")).join(blocks, "cell").select(
-        "cell", mine("mb", 1).alias("i"), spread("qb").alias("j"), F.lit(True).alias("member"), "rep", "m", "embedding", "home", "cells"
+    member = placed.withColumn("cell", F.col("home")).join(blocks, ["d", "cell"]).select(
+        "d", "cell", mine("mb", 1).alias("i"), spread("qb").alias("j"), F.lit(True).alias("member"), "rep", "m", "embedding", "home", "cells"
     )
-    query = placed.select("rep", "m", "embedding", "home", F.explode("cells").alias("cell")).join(blocks, "cell").select(
-        "cell", spread("mb").alias("i"), mine("qb", 2).alias("j"), F.lit(False).alias("member"), "rep", "m", "embedding", "home",
+    query = placed.select("rep", "m", "embedding", "d", "home", F.explode("cells").alias("cell")).join(blocks, ["d", "cell"]).select(
+        "d", "cell", spread("mb").alias("i"), mine("qb", 2).alias("j"), F.lit(False).alias("member"), "rep", "m", "embedding", "home",
         F.lit(None).cast("array<int>").alias("cells"),
     )
 
@@ -249,5 +283,5 @@ def _found(spark: SparkSession, usable: DataFrame, grid: Grid, threshold: float)
             "root": np.concatenate([ql[qs], xl[xs]]),
         })
 
-    groups = member.unionByName(query).groupBy("cell", "i", "j")
+    groups = member.unionByName(query).groupBy("d", "cell", "i", "j")
     return land(spark, groups.applyInArrow(verify, "rep long, links long, root long"), "vector-links")
