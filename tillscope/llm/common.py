@@ -3,7 +3,10 @@ bounded Arrow slices and connected components."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -69,6 +72,23 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def released(run: Callable) -> Callable:
+    """``run`` (a function of ``mapInArrow``) that gives the memory it took
+    back to the system when its task ends: workers are used again, and what
+    one stage took would stay beside what the next one needs."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def components(spark: SparkSession, edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of ``edges(u, v)``: one row (node, component) per
     node that has an edge to another node; component = its smallest node.

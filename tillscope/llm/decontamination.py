@@ -6,9 +6,10 @@ typed placeholders. A name is a capitalised word that starts no sentence; a
 unit is one of ``UNITS``; a number starts with a digit and holds only digits,
 points and commas. Words of nothing but punctuation vanish.
 
-Windows of ``WIDTH`` template words (of all words, where an item has fewer,
-but at least ``LEAST``) are hashed and joined between benchmark and documents;
-at most half of a window may be placeholders. A hit counts only if the slots
+Windows of ``WIDTH`` template words (of all words, where an item has fewer) are
+hashed and joined between benchmark and documents; at most half of a window may
+be placeholders, and windows under ``LEAST`` words match by their exact words
+only. A hit counts only if the slots
 are consistent: wherever two slots of the item's window hold the same value,
 so do the document's, and the other way round. A question asked again with
 other numbers and names is so found, and told apart from a verbatim copy by
@@ -25,8 +26,8 @@ Documents send only readings that a bitmap of the benchmark's lets
 through; the bitmap has a fixed size (``BITS`` bits) at any benchmark size, and
 what it lets through by chance dies in the join.
 
-Nulls and ties: null texts and items have no windows; items with fewer than
-``LEAST`` template words match nothing. Rows are known by doc_id and text, so
+Nulls and ties: null texts and items have no windows, nor have those without a
+word. Rows are known by doc_id and text, so
 repeated rows, or rows with a null id, are judged by their own text. An empty
 benchmark or table flags nothing.
 """
@@ -40,10 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import fresh, land, slices
+from tillscope.llm.common import fresh, land, released, slices
 from tillscope.llm.textnum import hash_spans, LOWER, mix, SPACE, spans, text_bytes, U, window_starts, windows
 
 WIDTH, LEAST = 13, 5
+#: Bytes of text that a task reads at once (the readings take many times that).
+SLICE = 1 << 19
 #: Bits of the benchmark bitmap: 1 MB, whatever the benchmark's size.
 BITS = 1 << 23
 
@@ -142,7 +145,7 @@ def template_windows(texts: pa.Array, widths: list[int] | None, let: np.ndarray
         bit = h & U(BITS - 1)
         return (let[(bit >> U(3)).astype(np.int64)] >> (bit & U(7)).astype(np.uint8)) & 1 > 0 if let is not None else np.ones(len(h), bool)
 
-    for w in widths if widths is not None else sorted({min(int(k), WIDTH) for k in set(n.tolist()) if k >= LEAST}):
+    for w in widths if widths is not None else sorted({min(int(k), WIDTH) for k in set(n.tolist()) if k}):
         h = mix(windows(word, w) + U(w))
         values = windows(own, w)
         at, per = window_starts(first, w)
@@ -154,7 +157,7 @@ def template_windows(texts: pa.Array, widths: list[int] | None, let: np.ndarray
             continue
         slots = count[at + w] - count[at]
         two = either[at]
-        plain, named = 2 * slots <= w, two & (2 * (slots + 1) <= w)
+        plain, named = (2 * slots <= w) & (w >= LEAST), two & (2 * (slots + 1) <= w) & (w >= LEAST)
         if widths is None:
             usable = plain & (named | ~two)
             none = np.bincount(text, usable, len(n)) == 0
@@ -188,9 +191,10 @@ def benchmark_windows(spark: SparkSession, benchmark: DataFrame) -> DataFrame:
     """(h, item_id, w, slots, val, plain) of every reading of every window of
     every item, landed."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids = part.column("item_id").to_pylist()
                 rows = [(h, ids[i], w, p, v, b) for i, w, h, p, v, b in template_windows(part.column("text"), None)]
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
@@ -222,12 +226,13 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFram
     """(doc_id, text_hash, item_id, h, exact): windows (by their plain hash)
     that a document shares with an item in some reading."""
     bench = benchmark_windows(spark, benchmark)
-    widths = sorted(r[0] for r in bench.select("w").distinct().collect())  # LEAST..WIDTH
+    widths = sorted(r[0] for r in bench.select("w").distinct().collect())  # 1..WIDTH
     let = bitmap(bench)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids, keys = part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist()
                 found = dict.fromkeys((i, h, p, v) for i, _, h, p, v, _ in template_windows(part.column("text"), widths, let))
                 rows = [(ids[i], keys[i], h, p, v) for i, h, p, v in found]

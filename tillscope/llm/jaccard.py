@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import components, discard, fresh, land, slices
+from tillscope.llm.common import components, discard, fresh, land, released, slices
 from tillscope.llm.textnum import hash_spans, LOWER, mix, ranges, SPACE, spans, text_bytes, U, windows
 
 #: Counters of the n-gram counts (a table of this size at any corpus size).
@@ -123,6 +123,7 @@ def rarity(docs: DataFrame, n: int) -> np.ndarray:
     """Count class of each counter: n-gram occurrences over all documents,
     added up in tasks, then block by block; COUNTERS counts reach the driver."""
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(COUNTERS, np.int64)
         for batch in batches:
@@ -173,6 +174,7 @@ def linked(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFr
     keys = [c for c in docs.columns if c != "text"]
     rare = rarity(docs, n)
 
+    @released
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -325,6 +327,7 @@ def sets_of(spark: SparkSession, docs: DataFrame, wanted: DataFrame, rare: np.nd
         bits[w] = v
     let = bits.view(np.uint8)
 
+    @released
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):

@@ -16,7 +16,9 @@ window. Sequence ids are (partition << 33) + window number.
 
 Ids are those of the ``tokenizers`` library for the given file. Texts without
 a special token are encoded by ``tiktoken`` with the byte-pair ranks of the
-same file, which gives the same ids in a third of the time.
+same file, which gives the same ids in a third of the time; texts with a
+white-space run of ``RUN`` characters, whose matching would overflow the stack
+there, go to ``tokenizers`` too.
 
 Nulls and ties: a null text counts as empty and packs as its end id alone; a
 null doc_id stays null. Pieces of equal length go in input order. Repeated
@@ -26,22 +28,25 @@ rows are packed each; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tillscope.llm.common import slices
+from tillscope.llm.common import released, slices
 
 TIERS = (1024, 512, 256, 128)
 SLACK = 8
 STEP = 16 * 1024
 POOL = 2048
 END = b"\0\0\0\0"
+RUN = 10_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -70,14 +75,20 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         ranks, self.special = byte_ranks(path)
         self.plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(path)
+        self.path, self.blank = path, re.compile(r"\s{%d}" % RUN)
+
+    @cached_property
+    def whole(self):
+        """The file's own tokenizer, loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or len(text) >= RUN and self.blank.search(text):
             ids = self.whole.encode(text, add_special_tokens=False).ids
         else:
             ids = self.plain.encode_ordinary(text)
@@ -184,6 +195,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> D
     (little-endian 32-bit integers). ``tokenizer``: path of a byte-level BPE
     file that every executor can read."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = Encoder(tokenizer), Packer(TaskContext.get().partitionId(), with_ids)
         for batch in batches:

@@ -10,14 +10,17 @@ sends each gradient to one window.
 
 The model is fitted on a bounded sample of the labelled training rows, at most
 ``PER_CLASS`` of each class with the smallest hash of doc_id, a fifth of which
-is kept apart. The thresholds, one for each language, come from all labelled
-training rows outside the fit: they are scored in Spark and counted by
-language, label and score level (``LEVELS``), and weighted so that each class
-has its share among all labelled training rows, whatever the fit took away.
-The language never enters a score.
+is kept apart. The thresholds, one for each language that has ``LEAST_ROWS`` of
+each class and the share ``LEAST_SHARE`` of all labelled rows (so at most 1 /
+LEAST_SHARE), come from all labelled training rows outside the fit: they are
+scored in Spark and counted by language, label and score level (``LEVELS``), and
+weighted so that each class has its share among all labelled training rows,
+whatever the fit took away. The language never enters a score.
 
 Nulls and ties: a null or empty text has no windows and gets the score of the
-bias alone. Rows with a null label or id are never learned from. Without both
+bias alone. Rows with a null label or id are never learned from, nor are ids
+whose labels contradict each other; of rows with one id, the smallest text is
+fitted on. Without both
 classes among the training labels the score is the share of label 1 (0 without
 labels). Repeated rows are scored each; an empty table gives no rows. A null
 language uses the threshold for all languages.
@@ -33,8 +36,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillscope.llm.common import held_out, land, slices
+from tillscope.llm.common import discard, fresh, held_out, land, released, slices
 from tillscope.llm.textnum import hash_spans, LOWER, SPACE, spans, text_bytes, U
 
 #: At most so many labelled rows of each class are used to fit the model.
@@ -54,7 +58,7 @@ LEAST_TEXTS = 4
 #: Levels of the score's log odds, from -REACH to REACH, counted for thresholds.
 LEVELS, REACH = 1 << 12, 16.0
 #: Calibration rows of each class that a language needs for its own threshold.
-LEAST_ROWS = 20
+LEAST_ROWS, LEAST_SHARE = 20, 1e-4
 
 # A word's ends lose ASCII punctuation: these bytes separate words here.
 CUT = SPACE.copy()
@@ -234,33 +238,47 @@ class Toxicity:
         self.net.fit(words, first, y.astype(np.float32), use)
         self.used = np.unique(ids[use])
 
-    def calibrate(self, scored: DataFrame, known: DataFrame) -> None:
-        """Thresholds from all labelled rows outside the fit: counts by
-        language, level and label reach the driver."""
+    def calibrate(self, spark: SparkSession, scored: DataFrame, known: DataFrame) -> None:
+        """Thresholds from all labelled rows outside the fit. The driver gets
+        counts by level and label, and a number for each language that has a
+        threshold of its own."""
         if self.net.constant is not None:
             return
         counts = scored.join(known, "doc_id").groupBy("lang", "level", "y").agg(
             F.count(F.lit(1)).alias("n"), F.count_if(~F.col("used")).alias("own")
         )
-        every, by_lang = np.zeros((2, 2, LEVELS)), {}  # (all or outside the fit, label, level)
-        for r in counts.collect():
-            add = np.array([r["n"], r["own"]])
-            every[:, r["y"], r["level"]] += add
-            if r["lang"] is not None:
-                by_lang.setdefault(r["lang"], np.zeros((2, 2, LEVELS)))[:, r["y"], r["level"]] += add
-        own = every[1].sum(1)
-        if own.min() > 0:
-            self.threshold = best_threshold(*(every[1] * (every[0].sum(1) / own)[:, None]))
-            for lang, c in by_lang.items():
-                own = c[1].sum(1)
-                if own.min() >= LEAST_ROWS:
-                    self.by_lang[lang] = best_threshold(*(c[1] * (c[0].sum(1) / own)[:, None]))
+        counts = land(spark, counts, "toxicity-counts")
+        every = np.zeros((2, 2, LEVELS))  # (all or outside the fit, label, level)
+        for r in counts.groupBy("level", "y").agg(F.sum("n").alias("n"), F.sum("own").alias("own")).collect():
+            every[:, r["y"], r["level"]] = r["n"], r["own"]
+        if every[1].sum(1).min() == 0:
+            return
+        self.threshold = weighted_threshold(every)
+        own = [F.sum(F.when(F.col("y") == y, F.col("own")).otherwise(0)) for y in (0, 1)]
+        enough = counts.where("lang is not null").groupBy("lang").agg(F.least(*own).alias("least"), F.sum("n").alias("all"))
+        enough = enough.where((F.col("least") >= LEAST_ROWS) & (F.col("all") >= LEAST_SHARE * every[0].sum())).select("lang")
+
+        def cut(group: pa.Table) -> pa.Table:  # at most 2 * LEVELS rows
+            c = np.zeros((2, 2, LEVELS))
+            c[:, group["y"].to_numpy(), group["level"].to_numpy()] = group["n"].to_numpy(), group["own"].to_numpy()
+            return pa.table({"lang": group["lang"][:1], "cut": [weighted_threshold(c)]})
+
+        cuts = counts.join(enough, "lang").groupBy("lang").applyInArrow(cut, "lang string, cut double")
+        self.by_lang = {r["lang"]: r["cut"] for r in cuts.collect()}  # at most 1 / LEAST_SHARE
+        discard(spark, counts)
+
+
+def weighted_threshold(c: np.ndarray) -> float:
+    """The best threshold by counts outside the fit, (all or own, label, level),
+    weighted to each label's real share."""
+    return best_threshold(*(c[1] * (c[0].sum(1) / c[1].sum(1))[:, None]))
 
 
 def known_labels(labels: DataFrame) -> DataFrame:
     """(doc_id, y) of the labels that may be learned from."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
-    return known.where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    known = known.where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id")
+    return known.agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Toxicity, DataFrame]:
@@ -268,7 +286,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: in
     known = known_labels(labels)
     model = fit(docs, known, per_class)
     scored = land(spark, scores(docs, model), "toxicity-scores")
-    model.calibrate(scored, known)
+    model.calibrate(spark, scored, known)
     return model, scored
 
 
@@ -279,7 +297,8 @@ def fit(docs: DataFrame, known: DataFrame, per_class: int) -> Toxicity:
     rank = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("y = 1").orderBy(*rank).limit(per_class).union(known.where("y = 0").orderBy(*rank).limit(per_class))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = text.join(F.broadcast(some), "doc_id").repartition(1)  # at most 2 * per_class ids
+    rows = text.join(F.broadcast(some), "doc_id")  # at most 2 * per_class ids
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)  # at most 2 * per_class rows
@@ -305,6 +324,7 @@ def fitted(rows: pa.Table) -> Toxicity:
 def scores(docs: DataFrame, model: Toxicity) -> DataFrame:
     """doc_id, lang, score, its level and whether the row's id was fitted on."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
@@ -324,29 +344,48 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, thr
     """doc_id, held_out, score, predicted, rejected (the score reaches its
     language's threshold) of every row of ``docs``."""
     model, scored = train(spark, docs, labels)
-    cut = F.lit(model.threshold)
-    if model.by_lang:
-        own = F.create_map(*(F.lit(x) for pair in model.by_lang.items() for x in pair))
-        cut = F.coalesce(F.try_element_at(own, F.col("lang")), cut)
+    cuts = spark.createDataFrame(list(model.by_lang.items()), "lang string, cut double")
+    scored = scored.join(F.broadcast(cuts), "lang", "left")
+    cut = F.coalesce("cut", F.lit(model.threshold))
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"), (F.col("score") >= cut).alias("rejected"),
     )
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is below its language's
-    threshold. Scored row by row: no join, so ids may repeat or be null."""
-    model, _ = train(spark, docs, labels)
-    kept, columns = docs.columns, docs.schema
-    lang, text = kept.index("lang"), kept.index("text")
+    threshold. Rows are scored once and landed with their scores, so ids may
+    repeat or be null."""
+    known = known_labels(labels)
+    model = fit(docs, known, per_class)
+    at = {c.lower(): i for i, c in enumerate(docs.columns)}
+    lang, text, ident = at["lang"], at["text"], at["doc_id"]
+    key, score, grade, used = (fresh(docs, c) for c in ("key", "score", "level", "used"))
+    docs_text = docs.columns[text]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
-                ids, first = word_ids(part.column(text))
-                score = model.net.score(ids, first)
-                cut = np.array([model.by_lang.get(x, model.threshold) for x in part.column(lang).to_pylist()])
-                yield part.filter(pa.array(score < cut))
+            for part in slices(batch, docs_text, 1 << 19):
+                s = model.net.score(*word_ids(part.column(text)))
+                fitted_on = pc.fill_null(pc.is_in(part.column(key), pa.array(model.used)), False)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(s), pa.array(level(s)), fitted_on], names=[*part.schema.names, score, grade, used]
+                )
 
-    return docs.mapInArrow(run, columns)
+    rows = docs.withColumn(key, F.col(docs.columns[ident]).try_cast("long"))
+    kind = T.StructType([*rows.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(grade, T.IntegerType()), T.StructField(used, T.BooleanType())])
+    scored = land(spark, rows.mapInArrow(run, kind), "toxicity-rows")
+    model.calibrate(
+        spark,
+        scored.select(
+            F.col(key).alias("doc_id"), F.col(docs.columns[lang]).cast("string").alias("lang"),
+            F.col(grade).alias("level"), F.col(used).alias("used"),
+        ),
+        known,
+    )
+    by, cut = fresh(scored, "cut_lang"), fresh(scored, "cut")
+    cuts = spark.createDataFrame(list(model.by_lang.items()), T.StructType([T.StructField(by, T.StringType()), T.StructField(cut, T.DoubleType())]))
+    out = scored.join(F.broadcast(cuts), F.col(docs.columns[lang]).cast("string") == F.col(by), "left")
+    return out.where(F.col(score) < F.coalesce(cut, F.lit(model.threshold))).select(*docs.columns)
