@@ -82,7 +82,7 @@ def test_email_lookup_filters_before_ranking(spark, landed):
 def test_building_a_query_runs_nothing(spark):
     from tillscope.streaming.catalog import STREAM_QUERIES
 
-    writes = ("sink_", "order_feed_folders")
+    writes = ("sink_", "order_feed_folders", "orders_table_upserts")
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("build", "plans only")
     try:

@@ -6,7 +6,8 @@ from tests.conftest import SF001
 from tillscope.operators.dedupe import dedupe_by
 from tillscope.session import scratch_path
 from tillscope.sources.fixtures import Fixtures
-from tillscope.sources.order_feed import flatten_order_feed, order_feed_pages, read_order_feed
+from tests.feed import order_feed_pages
+from tillscope.sources.order_feed import flatten_order_feed, read_order_feed, sound_pages
 from tillscope.sources.sinks import write_json
 from tillscope.sources.tables import read_landed
 
@@ -17,7 +18,7 @@ def test_multi_path_feed_roundtrip(spark):
     own = write_json(pages.where(F.col("page_id").startswith("day-")), scratch_path(spark, "feed-day"), None)
     prev = write_json(pages.where(F.col("page_id").startswith("prev-")), scratch_path(spark, "feed-prev"), None)
     landed = read_order_feed(spark, [own, prev])  # two landed fetches, one relation
-    flat = flatten_order_feed(landed)
+    flat = flatten_order_feed(sound_pages(landed))
     assert flat.count() == 2 * orders.count()  # every order arrives twice
     assert landed.select(F.max(F.size("data.orders.edges"))).first()[0] <= 60  # pages stay page-sized
     deduped = dedupe_by(flat, "number", ["created", "source"]).drop("source")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tests.conftest import SF001
+from tests.feed import fetch_pages
 from tillscope.functions.timez import date_spine_of
 from tillscope.operators import live, purchases
 from tillscope.sources.fixtures import Fixtures
@@ -26,7 +27,8 @@ def test_hourly_stream_equals_batch_history(spark):
     s = catalog.q_hourly_sales_stream(spark, SF001)
     p = purchases.purchases(Fixtures(spark, SF001).shop_orders)
     h = purchases.hourly_sales_history(p, date_spine_of(p)).where(F.col("today") > 0)
-    _same(s.select("local_date", "hour", F.col("gross").alias("today")), h.select("local_date", "hour", "today"))
+    _same(s.select("local_date", "hour", "currency", F.col("gross").alias("today")), h.select("local_date", "hour", "currency", "today"))
+    assert s.select("currency").distinct().count() > 1
 
 
 def test_streams_on_folder_tables(spark):
@@ -63,7 +65,6 @@ def test_last_copy_of_an_order_wins(spark):
     from decimal import Decimal
 
     from tillscope.session import scratch_path
-    from tillscope.sources.order_feed import fetch_pages
     from tillscope.streaming.orders_stream import latest_orders, order_feed_stream, orders_stream_latest
     from tillscope.streaming.runtime import read_versions, run_versioned
 

@@ -22,7 +22,9 @@ from tillscope.operators.dedupe import dedupe_by
 from tillscope.session import scratch_path
 from tillscope.sources import sinks
 from tillscope.sources.fixtures import Fixtures
-from tillscope.sources.order_feed import PAGE, fetch_pages, flatten_order_feed, order_feed_pages
+from tillscope.sources.fixtures import amended_orders_from, order_pages_from
+from tillscope.sources.order_feed import flatten_order_feed, quarantine, read_order_feed, sound_pages
+from tillscope.sources.orders_table import read_orders, upsert_orders
 from tillscope.sources.tables import read_landed
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -327,10 +329,10 @@ def q_sink_csv_purchases(spark, sf_dir):
 # --- B: sources -------------------------------------------------------------
 @register("order_feed_flatten")
 def q_order_feed_flatten(spark, sf_dir):
-    """Land the order table as nested feed pages (each order in two pages),
-    flatten them back and resolve the duplicates by number."""
-    pages = order_feed_pages(_fx(spark, sf_dir).shop_orders)
-    flat = flatten_order_feed(pages)
+    """Flatten nested order pages, every order fetched twice (its own day, the
+    next day's previous-day fetch), and resolve the copies by number."""
+    o = _fx(spark, sf_dir).shop_orders
+    flat = flatten_order_feed(sound_pages(order_pages_from(o, "day").unionByName(order_pages_from(o, "prev"))))
     return dedupe_by(flat, "number", ["created", "source"]).drop("source")
 
 
@@ -405,14 +407,21 @@ def q_customer_profile_numbers(spark, sf_dir):
 @register("order_feed_folders")
 def q_order_feed_folders(spark, sf_dir):
     """Pages landed in two folders (a day's own fetch, the next day's), read as
-    one relation and resolved by number."""
+    one relation, broken pages put aside, and resolved by number."""
     o = _fx(spark, sf_dir).shop_orders
-    folders = [
-        sinks.write_json(fetch_pages(o, shift, name, 100), scratch_path(spark, f"pages-{name}"), partition_by=None)
-        for shift, name in ((0, "day"), (1, "prev"))
-    ]
-    flat = flatten_order_feed(read_landed(spark, folders, "json", PAGE))
-    return dedupe_by(flat, "number", ["created", "source"]).drop("source")
+    folders = [sinks.write_json(order_pages_from(o, name), scratch_path(spark, f"pages-{name}"), partition_by=None) for name in ("day", "prev")]
+    pages, _ = quarantine(read_order_feed(spark, folders), scratch_path(spark, "pages-broken"))
+    return dedupe_by(flatten_order_feed(pages), "number", ["created", "source"]).drop("source")
+
+
+@register("orders_table_upserts")
+def q_orders_table_upserts(spark, sf_dir):
+    """The order table kept current: deliveries of amended copies are upserted
+    one after the other, each rewriting only the UTC days that it touches."""
+    copies, path = amended_orders_from(_fx(spark, sf_dir)._t("events")), scratch_path(spark, "orders-table")
+    for i in range(3):
+        upsert_orders(spark, path, copies.where(F.col("copy") == i).drop("copy"), ["source"])
+    return read_orders(spark, path).drop("source", "utc_date")
 
 
 FLAGSHIP = "login_audit"

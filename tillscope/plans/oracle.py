@@ -58,7 +58,8 @@ shop_orders AS (
   SELECT CAST(event_id AS VARCHAR) AS number, concat('user', CAST(user_id AS VARCHAR), '@example.com') AS email,
          CASE WHEN k % 4 < 2 THEN 'NOT_CHARGED' ELSE 'FULLY_CHARGED' END AS payment_status,
          CASE WHEN k % 3 = 0 THEN 'UNFULFILLED' ELSE 'FULFILLED' END AS status,
-         CAST(value AS DECIMAL(18,2)) AS total, 'AUD' AS currency, ts AS created
+         CAST(value AS DECIMAL(18,2)) AS total,
+         CASE WHEN k % 13 = 0 THEN 'NZD' WHEN k % 17 = 0 THEN 'USD' ELSE 'AUD' END AS currency, ts AS created
   FROM ev WHERE event_type = 'purchase'),
 activity0 AS (
   SELECT event_id, ts,
@@ -143,6 +144,13 @@ spine AS (
   FROM (SELECT min(local_date) AS lo, max(local_date) AS hi FROM ({src})))"""
 
 
+#: The last copies of ``amended_orders_from``.
+AMENDED = """SELECT CAST(event_id AS VARCHAR) AS number, email, status, currency, created,
+             CASE WHEN k % 10 = 0 THEN 'FULLY_REFUNDED' WHEN k % 5 = 0 THEN 'FULLY_CHARGED' ELSE payment_status END AS payment_status,
+             CAST(CASE WHEN k % 5 = 0 THEN total + 1 ELSE total END AS DECIMAL(18,2)) AS total
+      FROM shop_orders JOIN (SELECT event_id, k FROM ev) ON number = CAST(event_id AS VARCHAR)"""
+
+
 def w(*ctes: str) -> str:
     return "WITH " + ",".join((FIXTURES,) + ctes) + "\n"
 
@@ -592,6 +600,7 @@ SELECT d.*, {pct(_trailing('did_not_buy', 7), _trailing('total_logins_with_allow
        {pct(_trailing('did_not_buy', 28), _trailing('total_logins_with_allowance', 28))} AS rate_28d
 FROM daily d WHERE d.local_date {DAYS}"""
 ORACLE_SQL["order_feed_folders"] = ORACLE_SQL["order_feed_flatten"]
+ORACLE_SQL["orders_table_upserts"] = w() + AMENDED
 ORACLE_SQL["session_replays_day"] = w() + f"""
 SELECT DATE '2024-01-10' AS local_date, {norm('a.email')} AS email, session_id, min(ts) AS start_time,
        '{REPLAY}' || session_id AS url

@@ -75,8 +75,7 @@ def treatment_plans_from(orders: DataFrame) -> DataFrame:
     )
 
 
-def shop_orders_from(events: DataFrame) -> DataFrame:
-    """shop_orders(number, email, payment_status, status, total DECIMAL(18,2), currency, created)."""
+def _orders_k(events: DataFrame) -> DataFrame:
     e = events_k(events.where(F.col("event_type") == "purchase"))
     return e.select(
         F.col("event_id").cast("string").alias("number"),
@@ -84,10 +83,48 @@ def shop_orders_from(events: DataFrame) -> DataFrame:
         F.when(F.col("k") % 4 < 2, F.lit("NOT_CHARGED")).otherwise(F.lit("FULLY_CHARGED")).alias("payment_status"),
         F.when(F.col("k") % 3 == 0, F.lit("UNFULFILLED")).otherwise(F.lit("FULFILLED")).alias("status"),
         F.col("value").cast("decimal(18,2)").alias("total"),
-        F.lit("AUD").alias("currency"),
+        F.when(F.col("k") % 13 == 0, F.lit("NZD")).when(F.col("k") % 17 == 0, F.lit("USD")).otherwise(F.lit("AUD")).alias("currency"),
         F.col("ts").alias("created"),
         *_part(events),
+        "k",
+    )
+
+
+def shop_orders_from(events: DataFrame) -> DataFrame:
+    """shop_orders(number, email, payment_status, status, total DECIMAL(18,2), currency, created)."""
+    return _orders_k(events).drop("k")
+
+
+def order_pages_from(shop_orders: DataFrame, fetch: str = "day") -> DataFrame:
+    """Order feed pages (``sources.order_feed.PAGE``): a page an order."""
+    node = F.struct(
+        "number", F.col("email").alias("userEmail"), F.col("payment_status").alias("paymentStatus"), "status",
+        F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("created"),
+        F.struct(F.struct(F.col("total").alias("amount"), "currency").alias("gross")).alias("total"),
+    )
+    info = F.struct(F.lit(False).alias("hasNextPage"), F.lit(None).cast("string").alias("endCursor"))
+    edges = F.array(F.struct(node.alias("node")))
+    return shop_orders.select(
+        F.concat_ws("-", F.lit(fetch), "number").alias("page_id"),
+        F.struct(F.struct(info.alias("pageInfo"), edges.alias("edges")).alias("orders")).alias("data"),
+    )
+
+
+def amended_orders_from(events: DataFrame) -> DataFrame:
+    """Copies of the shop's orders as they were amended: ``copy`` 0 is placed and
+    not charged, 1 is ``shop_orders``, 2 (every fifth k) refunds or corrects it;
+    ``source`` orders the copies of an order."""
+    k = F.col("k")
+    refund = F.when(k % 10 == 0, F.lit("FULLY_REFUNDED")).otherwise(F.lit("FULLY_CHARGED"))
+    copy = lambda i, status, total: F.struct(
+        status.alias("payment_status"), total.cast("decimal(18,2)").alias("total"), F.lit(f"copy-{i}").alias("source"), F.lit(i).alias("copy")
+    )
+    total = F.col("total")
+    copies = F.array(
+        copy(0, F.lit("NOT_CHARGED"), total), copy(1, F.col("payment_status"), total), F.when(k % 5 == 0, copy(2, refund, total + 1))
     )
+    rows = _orders_k(events).select("number", "email", "status", "currency", "created", F.explode(copies).alias("c"))
+    return rows.where("c is not null").select("number", "email", "status", "currency", "created", "c.*")
 
 
 # event_type -> (event when k even, event when k odd)

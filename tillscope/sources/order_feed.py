@@ -3,12 +3,14 @@
 A fetched page is ``{data: {orders: {pageInfo, edges: [{node: {...}}]}}}``.
 ``flatten_order_feed`` turns any number of such pages into ``shop_orders``
 rows (``explode`` of edges; nested field selects are pruned by Catalyst), and
-duplicates across pages are resolved later by the number dedupe (A4).
+duplicates across pages are resolved later by the number dedupe (A4). A page
+that can't be read fails the job (``sound_pages``) or goes to a quarantine
+folder with a count (``quarantine``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +39,9 @@ NODE = T.StructType(
         ),
     ]
 )
+#: Text of a page that could not be parsed.
+CORRUPT = "_corrupt"
+
 PAGE = T.StructType(
     [
         T.StructField("page_id", T.StringType()),
@@ -70,6 +75,9 @@ PAGE = T.StructType(
 )
 
 
+FEED = T.StructType([*PAGE.fields, T.StructField(CORRUPT, T.StringType())])
+
+
 def flatten_order_feed(pages: DataFrame) -> DataFrame:
     """Pages -> shop_orders(number, email, payment_status, status, total,
     currency, created NTZ UTC, source).
@@ -96,53 +104,40 @@ def flatten_order_feed(pages: DataFrame) -> DataFrame:
 
 
 def read_order_feed(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Landed JSON pages (one document per line) with a fixed schema."""
-    return spark.read.schema(PAGE).json(paths)
-
-
-def fetch_pages(shop_orders: DataFrame, day_shift: int, fetch: str, page_size: int) -> DataFrame:
-    """Pages of one fetch kind: orders of UTC day d land in the fetch for
-    day d + ``day_shift``. A fetch day's orders are hashed into
-    ``ceil(n_day / page_size)`` pages, so a page holds about ``page_size``
-    orders however large the day is."""
-    o = shop_orders.withColumn("_fetch_day", F.date_add(F.to_date("created"), day_shift))
-    n_pages = o.groupBy("_fetch_day").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(page_size)).cast("bigint").alias("_n_pages")
-    )
-    o = o.join(n_pages, "_fetch_day").withColumn("_page", F.pmod(F.xxhash64("number"), F.col("_n_pages")))
-    node = F.struct(
-        F.col("number").alias("number"),
-        F.col("email").alias("userEmail"),
-        F.col("payment_status").alias("paymentStatus"),
-        F.col("status").alias("status"),
-        F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("created"),
-        F.struct(F.struct(F.col("total").alias("amount"), F.col("currency").alias("currency")).alias("gross")).alias(
-            "total"
-        ),
-    )
-    per_page = o.groupBy("_fetch_day", "_page").agg(F.collect_list(F.struct(node.alias("node"))).alias("edges"))
-    return per_page.select(
-        F.concat_ws(
-            "-", F.lit(fetch), F.date_format("_fetch_day", "yyyyMMdd"), F.col("_page").cast("string")
-        ).alias("page_id"),
-        F.struct(
-            F.struct(
-                F.struct(F.lit(False).alias("hasNextPage"), F.lit(None).cast("string").alias("endCursor")).alias(
-                    "pageInfo"
-                ),
-                F.col("edges").alias("edges"),
-            ).alias("orders")
-        ).alias("data"),
-    )
+    """Landed JSON pages (one document per line) with a fixed schema. The text
+    of a page that can't be parsed is kept in ``CORRUPT``; pass the pages
+    through ``sound_pages`` or ``quarantine`` before flattening them."""
+    return spark.read.schema(FEED).option("columnNameOfCorruptRecord", CORRUPT).json(paths)
 
 
-def order_feed_pages(shop_orders: DataFrame, page_size: int = 100) -> DataFrame:
-    """Build feed pages from a flat order table (used to land test feeds).
+def broken(pages: DataFrame) -> Column:
+    """Whether a page is unreadable: malformed text, an answer without order
+    edges (the shop's error answers), or an edge without a numbered order."""
+    edges = F.col("data.orders.edges")
+    bad = edges.isNull() | F.exists(edges, lambda e: e["node"]["number"].isNull())
+    return (bad | F.col(CORRUPT).isNotNull()) if CORRUPT in pages.columns else bad
 
-    Mirrors the two-day fetch: every day is fetched for itself and again as
-    the next day's previous-day fetch, and the two fetches are combined with
-    ``unionByName`` — so every order occurs in two documents.
-    """
-    own_day = fetch_pages(shop_orders, 0, "day", page_size)
-    previous_day = fetch_pages(shop_orders, 1, "prev", page_size)
-    return own_day.unionByName(previous_day)
+
+def sound_pages(pages: DataFrame) -> DataFrame:
+    """The pages, all of them sound: the first broken one fails the job, so no
+    order is lost in silence."""
+    said = F.concat(F.lit("broken order page: "), F.substring(F.coalesce(*_named(pages), F.lit("without a name")), 1, 200))
+    checked = F.when(broken(pages), F.raise_error(said)).otherwise(F.col("data"))
+    return pages.withColumn("data", checked).drop(CORRUPT)
+
+
+def _named(pages: DataFrame) -> list[Column]:
+    return [F.col(c) for c in ("page_id", CORRUPT) if c in pages.columns]
+
+
+def quarantine(pages: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """Sound pages, and the number of broken ones, which are written to
+    ``path`` as JSON (page, text as it came, reason)."""
+    text = F.col(CORRUPT) if CORRUPT in pages.columns else F.lit(None).cast("string")
+    reason = (
+        F.when(text.isNotNull(), "malformed").when(F.col("data.orders.edges").isNull(), "no order edges").otherwise("order without a number")
+    )
+    bad = pages.where(broken(pages)).select("page_id", F.coalesce(text, F.to_json("data")).alias("text"), reason.alias("reason"))
+    bad.write.mode("append").json(path)
+    count = bad.sparkSession.read.schema("page_id string, text string, reason string").json(path).count()
+    return pages.where(~F.coalesce(broken(pages), F.lit(True))).drop(CORRUPT), count

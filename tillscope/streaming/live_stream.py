@@ -108,3 +108,37 @@ def sliding_from_panes(panes: DataFrame, minutes: int = 5, pane_minutes: int = 1
 def live_visitor_counts(visitors: DataFrame) -> DataFrame:
     """Visitors ((person, email) pairs) per window."""
     return visitors.groupBy("window_start", "window_end").agg(F.count(F.lit(1)).alias("visitors"))
+
+
+def live_visitor_counts_stream(
+    activity: DataFrame,
+    minutes: int = 5,
+    slide_minutes: int = 1,
+    watermark: str = "10 minutes",
+    cfg: AuditConfig = DEFAULT_CONFIG,
+) -> DataFrame:
+    """Visitors per sliding window, counted in the stream: one stateful operator
+    keeps each (window, person, email) once, a second counts them by window.
+    To be run in append mode: a window's count is written once, when the
+    watermark has passed it. Any event moves the watermark, shop page or not, so
+    an idle shop's windows close too."""
+    spark = activity.sparkSession
+    a = activity.withColumn("_et", utc_instant("ts", spark)).withWatermark("_et", watermark)
+    # One condition on the event time as well: the optimiser would else move it
+    # below the watermark, which then sees shop pages only.
+    seen = shop_filter(cfg) & F.col("email").isNotNull() & (F.col("email") != "")
+    a = a.where(F.when(F.col("_et").isNotNull(), seen))
+    once = a.groupBy(F.window("_et", f"{minutes} minutes", f"{slide_minutes} minutes").alias("w"), "person_id", "email").agg(
+        F.count(F.lit(1)).alias("events")
+    )
+    g = once.groupBy("w").agg(F.count(F.lit(1)).alias("visitors"))
+    session_tz = spark.conf.get("spark.sql.session.timeZone")
+    to_utc = lambda c: F.convert_timezone(F.lit(session_tz), F.lit("UTC"), c.cast("timestamp_ntz"))
+    return g.select(to_utc(F.col("w.start")).alias("window_start"), to_utc(F.col("w.end")).alias("window_end"), "visitors")
+
+
+def closing_event(activity: DataFrame) -> DataFrame:
+    """One event without a visitor, two days after the last of ``activity``: ends
+    a finished log, so that the watermark passes all of its windows."""
+    last = activity.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts")).where("ts is not null")
+    return last.select(*(F.col("ts") if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in activity.dtypes))

@@ -11,7 +11,7 @@ a restarted query resumes where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,13 +61,15 @@ def start_versioned(
     output_mode: str = "update",
     processing_time: str | None = None,
     state_partitions: int | None = None,
+    per_batch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Start ``df`` writing every micro-batch, tagged with its batch id, to
     ``base/data`` with its checkpoint in ``base/checkpoint``.
 
     ``processing_time`` (e.g. ``"60 seconds"``, the dashboard's poll interval)
     starts a continuous query; None processes what is available and stops.
-    Restarting with the same ``base`` resumes from the checkpoint. A batch
+    ``per_batch`` shapes a batch's rows before they are written (e.g. adds up
+    its deltas). Restarting with the same ``base`` resumes from the checkpoint. A batch
     re-run after a failure replaces its folder. The trailing no-data micro-batch is
     kept on purpose: it is what records the advanced watermark in the offset
     log, so a restarted run still drops rows that are late for the data
@@ -77,7 +79,7 @@ def start_versioned(
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         # One folder a batch: a batch that is run again replaces its rows.
-        batch.write.mode("overwrite").parquet(f"{out}/{BATCH_COL}={batch_id}")
+        (per_batch(batch) if per_batch else batch).write.mode("overwrite").parquet(f"{out}/{BATCH_COL}={batch_id}")
 
     w = df.writeStream.outputMode(output_mode).foreachBatch(write_batch).option("checkpointLocation", ckpt)
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
@@ -90,11 +92,12 @@ def run_versioned(
     output_mode: str = "update",
     base: str | None = None,
     state_partitions: int | None = None,
+    per_batch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> str:
     """Run ``df`` to completion (``availableNow``) into a fresh folder of the
     shared folder (or ``base``); returns the data path."""
     base = base or scratch_path(df.sparkSession, name)
-    start_versioned(df, base, output_mode, state_partitions=state_partitions).awaitTermination()
+    start_versioned(df, base, output_mode, state_partitions=state_partitions, per_batch=per_batch).awaitTermination()
     return f"{base}/data"
 
 
@@ -132,11 +135,12 @@ def read_latest(spark: SparkSession, path: str, keys: Sequence[str], schema) ->
     return latest_per(read_versions(spark, path, schema), keys, [BATCH_COL], values)
 
 
-def compact(spark: SparkSession, path: str, keys: Sequence[str], schema) -> str | None:
+def compact(spark: SparkSession, path: str, keys: Sequence[str], schema, combine: Callable[[DataFrame], DataFrame] | None = None) -> str | None:
     """Write the latest version of each key over all batches so far as one
     folder; reads then take it and later batches only. Batches that it covers
     may be deleted by the storage's retention. Readers meanwhile see the
-    folder before or after, never a part."""
+    folder before or after, never a part. ``combine`` takes the place of the
+    latest version (deltas: their sums)."""
     batches = [int(f.split("=")[1]) for f in _folders(spark, path)]
     if not batches:
         return None
@@ -144,5 +148,11 @@ def compact(spark: SparkSession, path: str, keys: Sequence[str], schema) -> str
     values = [f.name for f in schema.fields if f.name not in keys] + [BATCH_COL]
     upto = max(batches)
     out = f"{path.removesuffix('/data')}/compact/{upto:020d}"
-    latest_per(raw.where(F.col(BATCH_COL) <= upto), keys, [BATCH_COL], values).write.mode("overwrite").parquet(out)
+    raw = raw.where(F.col(BATCH_COL) <= upto)
+    if combine:
+        full = StructType([*schema.fields, StructField(BATCH_COL, LongType())])
+        one = combine(raw.drop(BATCH_COL)).withColumn(BATCH_COL, F.lit(upto).cast("long")).select(*full.names)
+    else:
+        one = latest_per(raw, keys, [BATCH_COL], values)
+    one.write.mode("overwrite").parquet(out)
     return out

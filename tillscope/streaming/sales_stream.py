@@ -1,12 +1,27 @@
-"""S3: incremental hourly paid sales (today's chart without re-reading)."""
+"""S3: incremental hourly paid sales (today's chart without re-reading).
+
+``amended_sales_stream`` follows orders through their copies: per order it
+keeps what the last copy counted for, and a later copy takes that out again.
+``hourly_sales_stream`` is the cheaper form for feeds whose orders never
+change: a repeated row counts once.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterable, Iterator
+from zoneinfo import ZoneInfo
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tillscope.config import DEFAULT_CONFIG, PAID_STATUS, AuditConfig
 from tillscope.functions.emails import is_test_account
+from tillscope.functions.timez import to_local
+from tillscope.operators.dedupe import latest_per
+from tillscope.sources.order_feed import LANDED
 from tillscope.streaming.runtime import instant_to_local, utc_instant
 
 
@@ -14,18 +29,24 @@ def hourly_sales_stream(orders: DataFrame, watermark: str = "2 hours", cfg: Audi
     """Paid gross and order count per one-hour window and currency, keyed by the window's
     UTC start, with its local date and hour.
 
-    Tumbling one-hour windows on the UTC instant equal local clock hours
-    because the configured zone's offsets are whole hours. On the 25-hour
+    Tumbling one-hour windows on the UTC instant equal local clock hours only
+    where the zone's offsets are whole hours; other zones are refused. On the 25-hour
     fall-back day two windows share one local (date, hour); they stay two
     keyed rows here and ``hourly_from_windows`` sums them.
     """
     spark = orders.sparkSession
+    if not whole_hours(cfg.tz):
+        raise ValueError(f"one-hour windows don't meet the clock hours of {cfg.tz}; use amended_sales_stream")
     o = orders.where(
         F.col("payment_status").eqNullSafe(F.lit(PAID_STATUS)) & ~is_test_account("email", cfg.test_account)
     )
     o = o.withColumn("_et", utc_instant("created", spark)).withWatermark("_et", watermark)
     # A repeated feed row counts once, as in the batch audits.
-    o = o.dropDuplicatesWithinWatermark(["number"]) if o.isStreaming else o.dropDuplicates(["number"])
+    if o.isStreaming:
+        o = o.dropDuplicatesWithinWatermark(["number"])
+    else:
+        order = ["created", *(c for c in (LANDED, "source") if c in o.columns)]
+        o = latest_per(o, ["number"], order, ["_et", "currency", "total"])
     g = (
         o.groupBy(F.window("_et", "1 hour").alias("w"), "currency")
         .agg(F.sum("total").cast("decimal(18,2)").alias("gross"), F.count(F.lit(1)).alias("orders"))
@@ -49,3 +70,77 @@ def hourly_from_windows(windows: DataFrame) -> DataFrame:
     return windows.groupBy("local_date", "hour", "currency").agg(
         F.sum("gross").cast("decimal(18,2)").alias("gross"), F.sum("orders").cast("bigint").alias("orders")
     )
+
+
+def whole_hours(tz: str) -> bool:
+    """Whether the zone's offsets of the last years and the next are whole hours."""
+    days = (dt.datetime(y, m, 15, tzinfo=ZoneInfo(tz)) for y in range(2000, dt.date.today().year + 2) for m in range(1, 13))
+    return all(d.utcoffset().total_seconds() % 3600 == 0 for d in days)
+
+
+DELTA = "local_date date, hour int, currency string, gross decimal(18,2), orders long"
+_OUT = "local_date string, hour int, currency string, cents long, orders long"
+#: What the last copy of an order counts for, and its place among the copies.
+_STATE = "landed long, source string, paid boolean, local_date string, hour int, currency string, cents long"
+
+
+def _amend(key: tuple, copies: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One order's new copies: out goes what the last one counted for, in comes
+    what the newest counts for."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    old = best = tuple(state.get) if state.exists else None
+    until = 0
+    for rows in copies:
+        last = rows.sort_values(["landed", "source", "paid", "cents"], kind="stable").iloc[-1]
+        new = (int(last.landed), last.source, bool(last.paid), last.local_date, int(last.hour), last.currency, int(last.cents))
+        best = new if best is None or new[:2] >= best[:2] else best
+        until = max(until, int(rows["until"].max()))
+    state.update(best)
+    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs()) + 1)
+    if best != old:
+        counted = [(*c[3:6], sign * c[6], sign) for c, sign in ((old, -1), (best, 1)) if c is not None and c[2]]
+        if counted:
+            yield pd.DataFrame(counted, columns=["local_date", "hour", "currency", "cents", "orders"])
+
+
+def amended_sales_stream(orders: DataFrame, overlap: str = "2 days", cfg: AuditConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Changes of the paid gross and order count of a local (date, hour) and
+    currency, as copies of orders arrive: negative for what an older copy had
+    counted for. Their sum over all batches is A7 on each order's last copy
+    (by landing time, then ``source``, where the feed has them).
+
+    ``overlap``: how long after it was created an order may still be amended;
+    its state is dropped then, and copies later than that are dropped as late.
+    The local date and hour come from each order itself, so any zone will do.
+    """
+    has = orders.columns
+    o = orders.withColumn("_et", utc_instant("created", orders.sparkSession)).withWatermark("_et", overlap)
+    local = to_local("created", cfg.tz)
+    paid = F.col("payment_status").eqNullSafe(F.lit(PAID_STATUS)) & ~is_test_account("email", cfg.test_account)
+    rows = o.select(
+        "number", "_et",
+        (F.unix_micros(F.col(LANDED).cast("timestamp")) if LANDED in has else F.lit(0).cast("long")).alias("landed"),
+        F.coalesce(F.col("source") if "source" in has else F.lit(None), F.lit("")).alias("source"),
+        paid.alias("paid"), F.to_date(local).cast("string").alias("local_date"), F.hour(local).alias("hour"),
+        F.coalesce("currency", F.lit(cfg.default_currency)).alias("currency"),
+        (F.coalesce("total", F.lit(0)) * 100).cast("long").alias("cents"), F.unix_millis("_et").alias("until"),
+    )
+    out = rows.groupBy("number").applyInPandasWithState(_amend, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return out.select(
+        F.col("local_date").cast("date").alias("local_date"), "hour", "currency",
+        (F.col("cents").cast("decimal(20,0)") / 100).cast("decimal(18,2)").alias("gross"), "orders",
+    )
+
+
+def summed_deltas(deltas: DataFrame) -> DataFrame:
+    """Deltas added up by local (date, hour) and currency; one batch's, to be
+    written, or all that were."""
+    return hourly_from_windows(deltas)
+
+
+def hourly_from_deltas(deltas: DataFrame) -> DataFrame:
+    """All written deltas -> one row per local (date, hour) and currency that
+    has paid orders left."""
+    return summed_deltas(deltas).where("orders <> 0")
