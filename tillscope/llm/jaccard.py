@@ -53,7 +53,7 @@ BINS = 32
 PARITY = 8
 #: Posting lists of at least so many classes take part in the rounds that unite
 #: large groups before all pairs are joined, and the most rounds.
-LONG, ROUNDS = 16, 8
+LONG, ROUNDS, FEW = 16, 6, 16
 #: Bits of the bitmap of classes whose sets are fetched.
 BITS = 1 << 23
 
@@ -260,30 +260,38 @@ def united(
     In a round every class outside its list's largest component names one
     partner there, the same for the whole list and another in each round; of
     the partners that its lists name it takes the one named most often, and
-    the pair is verified. Work is linear in the postings. Rounds end when one
-    finds no link, or ``ROUNDS`` are over; what is not united then is left to
-    the join of all pairs, so nothing is lost."""
+    the pair is verified; classes take over the smaller label of what they link
+    with. Work is linear in the postings. Rounds end when fewer than one in
+    ``FEW`` pairs link, or ``ROUNDS`` are over; what is not united then is left
+    to the join of all pairs, so nothing is lost."""
     long = posts.where(F.col("c") >= LONG)
     links = spark.createDataFrame([], "a long, b long")
-    comp = spark.createDataFrame([], "node long, component long")
+    label = long.select("k").distinct().select(F.col("k").alias("node"), F.col("k").alias("component"))
     pool = None
     for turn in range(ROUNDS):
-        labelled = land(spark, _labelled(long, comp), "ngram-round")
-        if pool is None:
-            pool = sets_of(spark, docs, labelled.select("k"), rare, n)
-        main = _mains(labelled).where("comps > 1")
+        label = land(spark, label, "ngram-labels")
+        labelled = land(spark, _labelled(long, label), "ngram-round")
+        main = land(spark, _mains(labelled).where("comps > 1").select("g", "main"), "ngram-mains")
         partner = F.min_by(F.col("k"), F.xxhash64(F.lit(turn), "k"))
         named = labelled.join(main, "g").where("comp = main").groupBy("g", "main").agg(partner.alias("j"))
         votes = labelled.join(land(spark, named, "ngram-partners"), "g").where("comp <> main").groupBy("k", "j").agg(F.sum("m").alias("v"))
         pairs = votes.groupBy("k").agg(F.max_by("j", F.struct("v", "j")).alias("j"))
-        pairs = pairs.select(F.least("k", "j").alias("a"), F.greatest("k", "j").alias("b")).distinct()
-        found = verified(spark, filtered(spark, pairs, classes, percent), pool, percent)
-        discard(spark, labelled)
-        if found.isEmpty():
+        pairs = land(spark, pairs.select(F.least("k", "j").alias("a"), F.greatest("k", "j").alias("b")).distinct(), "ngram-named")
+        asked = pairs.count()
+        if asked and pool is None:
+            pool = sets_of(spark, docs, label.select("node"), rare, n)
+        found = verified(spark, filtered(spark, pairs, classes, percent), pool, percent) if asked else pairs
+        links = links.union(found)
+        ends = found.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca <> cb")
+        hop = ends.groupBy(F.greatest("ca", "cb").alias("was")).agg(F.min(F.least("ca", "cb")).alias("is"))
+        hop = land(spark, hop, "ngram-hops")
+        for _ in range(2):  # what a component joined may itself have joined another
+            moved = label.join(hop, label["component"] == hop["was"], "left")
+            label = moved.select("node", F.coalesce("is", "component").alias("component"))
+        discard(spark, labelled, main)
+        if found.count() * FEW <= asked:
             break
-        links = land(spark, links.union(found), "ngram-united")
-        comp = land(spark, components(spark, links.toDF("u", "v"), "ngram-leaders"), "ngram-leaders")
-    return links, comp
+    return links, land(spark, label, "ngram-united")
 
 
 def _prefix(n: str, percent: int) -> Column:
