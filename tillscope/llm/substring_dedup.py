@@ -1,32 +1,35 @@
 """Removal of repeated passages by recompression.
 
-Words get 64-bit names; rounds then name runs (a word twice) and pairs (a left
-symbol before a right one, sides drawn by a hash of the name). A name is a hash
-of what it stands for, so it is global without a dictionary: equal substrings
-get equal symbols but for a margin at their ends, which grows by one symbol a
-round. With ``rounds`` pair rounds, two equal windows of ``width`` words have
-the same symbols on at least ``width - 2 ** (rounds + 2)`` words, whatever
-stands around them.
-
-Of the symbol sequences that cover at least ``COVER`` words, each span of that
-many words gives its smallest-hash one (a gram). Equal windows so share a gram
-at the same place:
-
-1. grams that occur more than once are found by one aggregate;
-2. only windows around shared grams are candidates; their 128-bit hashes are
-   counted exactly, and a candidate that occurs once is dropped (verified);
-3. words covered by a repeated window are removed. All decisions are made on
-   the input, not on what is left.
-
-Texts with equal words are one class: only one of them sends grams and
-windows, and every text of a class of two or more with a whole window is
-repeated from end to end. Counts are combined before each shuffle and landed,
-so that joins back can be split by AQE where a passage is very frequent.
+Words are symbols. Rounds name what occurs more than once anywhere, globally,
+by a Spark aggregate over all texts:
+
+* round 0 names runs (a word and how often it follows itself);
+* each later round names pairs of adjacent symbols, a left one before a right
+  one, sides drawn by a hash of the name, so that equal substrings are cut up
+  alike. A name is a hash of what it stands for; the round settles which names
+  are alive, that is occur twice or more. Pairs with a dead part are dead and
+  not even sent.
+
+Every symbol knows the words that it depends on: its own, and the neighbours
+that decided where it ends. Where all of them lie in a window, each place with
+an equal window has the same symbol inside. So a window with a dead symbol
+inside is unique, and after a few rounds next to none but repeated ones are
+left. These are verified: their 128-bit hashes are counted exactly, and words
+covered by a window that occurs twice or more are removed. All decisions are
+made on the input, not on what is left.
+
+Between rounds the live names travel as a bitmap of fixed size (``BITS``): a
+name that it lets through by chance leaves a window in for verification, no
+more. Texts lie in blocks, written once. A block asks the buckets of the hash
+space for its different symbols or windows in packed, sorted lists and knows
+them again by their order, so no window is sent with its place, a frequent
+passage costs one entry a block, and the answer to a window is one bit.
 
 Nulls and ties: words are runs of bytes other than space and 0x09-0x0D; null
 and empty texts have none and nothing is removed; texts shorter than a window
-lose nothing. All occurrences go, the first too. Rows with the same doc_id and
-text are copies of each other. An empty table gives no rows.
+lose nothing. All occurrences go, the first too. Rows are told apart by place,
+so null and repeated ids and equal texts are rows of their own (and copies of
+each other). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,104 +39,108 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import land, slices
-from tillscope.llm.textnum import hash_spans, join_hash, mix, SPACE, spans, text_bytes, U, windows
+from tillscope.llm.common import land, released, slices
+from tillscope.llm.suffix_tree import pack, pack_keys, unpack, unpack_keys
+from tillscope.llm.textnum import hash_spans, join_hash, M1, mix, SPACE, spans, text_bytes, U, window_starts, windows
 
 WIDTH = 35
-#: Least words of a gram (less for short windows).
-COVER = 8
-#: Classes whose grams a task remembers having sent.
-SEEN = 100_000
-ODD, INVERSE = U(0xD1342543DE82EF95), U(pow(0xD1342543DE82EF95, -1, 1 << 64))
+#: Rounds that name pairs, after the one that names runs.
+ROUNDS = 2
+#: Bits of the bitmap of live names, bytes of text in a block and (about) of
+#: text in a bucket, and the fewest buckets.
+BITS, BLOCK, BUCKET, FEWEST = 1 << 26, 1 << 22, 1 << 24, 64
+FAR = 1 << 60
 
-
-class Plan:
-    """Rounds, span and gram size for a window width."""
-
-    def __init__(self, width: int):
-        self.width, self.rounds = width, -1  # -1: words are the symbols
-        while 3 * 2 ** (self.rounds + 2) + 4 <= width:
-            self.rounds += 1
-        longest = 2 ** (self.rounds + 1) if self.rounds >= 0 else 1
-        self.span = width - (2 ** (self.rounds + 2) if self.rounds >= 0 else 0)
-        self.cover = max(1, min(COVER, self.span - longest + 1))
+ROW = "bucket int, kind int, block long, h binary, more binary, n binary"
+SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("h", "more", "n"))])
 
 
 class Words:
     """Words of many texts: byte spans, names, each text's first word."""
 
-    def __init__(self, texts: pa.Array):
-        self.buf, off = text_bytes(texts)
-        self.starts, self.ends, self.first = spans(SPACE[self.buf], off)
-        self.name = hash_spans(self.buf, self.starts, self.ends)
+    def __init__(self, buf: np.ndarray, off: np.ndarray):
+        self.buf, self.off = buf, off
+        self.starts, self.ends, self.first = spans(SPACE[buf], off)
+        self.name = hash_spans(buf, self.starts, self.ends)
         self.n = np.diff(self.first)
 
-    def identity(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each text's word sequence."""
-        place = np.arange(len(self.name)) - np.repeat(self.first[:-1], self.n)
-        out = []
-        for salt in (U(11), U(12)):
-            total = np.concatenate([np.zeros(1, U), np.cumsum(mix(self.name + mix(place.astype(U) * salt + salt)))])
-            out.append(mix(total[self.first[1:]] - total[self.first[:-1]] + self.n.astype(U)).view(np.int64))
-        return out[0], out[1]
-
-
-def symbols(w: Words, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Names, first words, end words and owner texts of the top-level symbols."""
-    name, start = w.name, np.arange(len(w.name))
-    owner = np.repeat(np.arange(len(w.n)), w.n)
-    end = start + 1
-    if plan.rounds >= 0 and len(name):
-        new = np.ones(len(name), bool)
-        new[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])
-        head = np.flatnonzero(new)
-        two = head[np.diff(np.append(head, len(name))) == 2]
-        name, start, end, owner = _fuse(name, start, end, owner, two, U(21))
-    for r in range(max(plan.rounds, 0)):
-        left = (mix(name + U(31 + r)) & U(1)).astype(bool)
-        pair = np.flatnonzero(left[:-1] & ~left[1:] & (owner[:-1] == owner[1:]))
-        name, start, end, owner = _fuse(name, start, end, owner, pair, U(41 + r))
-    return name, start, end, owner
-
-
-def _fuse(name, start, end, owner, at: np.ndarray, salt):
-    """Each symbol of ``at`` takes up the one after it."""
-    keep = np.ones(len(name), bool)
-    keep[at + 1] = False
-    name, end = name.copy(), end.copy()
-    name[at] = mix(join_hash(name[at], name[at + 1]) + salt)
-    end[at] = end[at + 1]
-    return name[keep], start[keep], end[keep], owner[keep]
-
-
-def grams(w: Words, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first word, end word and owner of the selected grams, in order."""
-    name, start, end, owner = symbols(w, plan)
-    n = len(name)
-    if not n:
-        return name, start, end, owner
-    last = np.searchsorted(end, start + plan.cover)
-    stop = w.first[owner + 1]
-    ok = last < n
-    last = np.minimum(last, n - 1)
-    ok &= end[last] <= stop
-    power, back = np.full(n, ODD), np.full(n, INVERSE)
-    power[0] = back[0] = U(1)
-    power, back = np.cumprod(power), np.cumprod(back)
-    total = np.concatenate([np.zeros(1, U), np.cumsum(name * power)])
-    h = mix((total[last + 1] - total[np.arange(n)]) * back + (last - np.arange(n)).astype(U))
-    until = np.where(ok, end[last], np.iinfo(np.int64).max)
-    a = np.flatnonzero(ok & (start + plan.span <= stop))
-    best, low = a.copy(), h[a]
-    for d in range(1, plan.span - plan.cover + 1):
-        i = np.minimum(a + d, n - 1)
-        less = (a + d < n) & (until[i] <= start[a] + plan.span) & (h[i] < low)
-        best[less], low[less] = i[less], h[i[less]]
-    pick = np.unique(best)
-    return h[pick], start[pick], until[pick], owner[pick]
+
+class Symbols:
+    """The symbols of one level: names, the range of words [low, high) that each
+    depends on (beyond its text, where it touches the text's edge), and whether
+    this round made it (``new``) of parts that are all alive."""
+
+    def __init__(self, w: Words):
+        name = w.name
+        owner = np.repeat(np.arange(len(w.n)), w.n)
+        head = np.ones(len(name), bool)
+        head[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])
+        start = np.flatnonzero(head)
+        end = np.append(start[1:], len(name)) if len(start) else start
+        self.owner = owner[start]
+        self.name = mix(name[start] + mix((end - start).astype(U) * M1))
+        self.low = np.where(start == w.first[self.owner], -FAR, start - 1)
+        self.high = np.where(end == w.first[self.owner + 1], FAR, end + 1)
+        self.alive = np.ones(len(start), bool)
+        self.new = np.ones(len(start), bool)
+
+    def settle(self, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Take over which new symbols are alive; ranges of the dead ones."""
+        found = self.new & self.alive
+        self.alive[found] = is_live(live, self.name[found])
+        dead = found & ~self.alive
+        return self.low[dead], self.high[dead]
+
+    def pair(self, salt: int) -> None:
+        """The next level: each left symbol before a right one takes it up."""
+        left = (mix(self.name + U(31 + salt)) & U(1)).astype(bool)
+        same = self.owner[:-1] == self.owner[1:]
+        at = np.flatnonzero(left[:-1] & ~left[1:] & same)
+        # A symbol that stays single depends on both neighbours.
+        low, high = self.low.copy(), self.high.copy()
+        low[1:] = np.where(same, np.minimum(self.low[1:], self.low[:-1]), self.low[1:])
+        high[:-1] = np.where(same, np.maximum(self.high[:-1], self.high[1:]), self.high[:-1])
+        low[at], high[at] = np.minimum(self.low[at], self.low[at + 1]), np.maximum(self.high[at], self.high[at + 1])
+        name, alive, new = self.name.copy(), self.alive.copy(), np.zeros(len(self.name), bool)
+        name[at] = mix(join_hash(self.name[at], self.name[at + 1]) + U(41 + salt))
+        alive[at] &= self.alive[at + 1]
+        new[at] = True
+        keep = np.ones(len(name), bool)
+        keep[at + 1] = False
+        self.name, self.low, self.high, self.alive, self.new, self.owner = (
+            a[keep] for a in (name, low, high, alive, new, self.owner)
+        )
+
+
+def is_live(live: np.ndarray, name: np.ndarray) -> np.ndarray:
+    bit = name >> U(64 - BITS.bit_length() + 1)
+    return (live[(bit >> U(3)).astype(np.int64)] >> (bit & U(7)).astype(np.uint8)) & 1 > 0
+
+
+def levels(w: Words, live: list[np.ndarray]) -> Iterator[tuple[Symbols, np.ndarray, np.ndarray]]:
+    """The symbols after each round of which the live names are known, and the
+    ranges of those that died; then the next level's, not settled yet."""
+    s, none = Symbols(w), np.zeros(0, np.int64)
+    for r, names in enumerate(live):
+        yield s, *s.settle(names)
+        s.pair(r)
+    yield s, none, none
+
+
+def windows_left(w: Words, live: list[np.ndarray], width: int) -> np.ndarray:
+    """Starts of the windows without a dead symbol inside."""
+    at, _ = window_starts(w.first, width)
+    step = np.zeros(len(w.name) + 2, np.int64)
+    for _, low, high in levels(w, live):
+        inside = (high - low <= width) & (high < FAR) & (low > -FAR)
+        step += np.bincount(np.maximum(high[inside] - width, 0), minlength=len(step))
+        step -= np.bincount(low[inside] + 1, minlength=len(step))
+    return at[np.cumsum(step)[at] == 0]
 
 
 def _runs(lo: np.ndarray, hi: np.ndarray, size: int) -> np.ndarray:
@@ -144,128 +151,157 @@ def _runs(lo: np.ndarray, hi: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(step)[:-1] > 0
 
 
-def repeated_windows(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """Two landed tables over rows known by (doc_id, r), r = xxhash64(doc_id,
-    text): (doc_id, r, starts), the starts of repeated windows of one text of
-    each class, and (doc_id, r) of texts that have equals and a whole window."""
-    plan = Plan(width)
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("r"), "text"
-    )
+def _edges(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bounds of the buckets in sorted hashes; buckets cut the hash space and
+    the bitmap alike."""
+    return np.searchsorted(h, (np.arange(1, buckets, dtype=U) << U(64 - buckets.bit_length() + 1)))
 
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                w = Words(part.column("text"))
-                k1, k2 = w.identity()
-                h, _, _, owner = grams(w, plan)
-                send = np.zeros(len(k1), bool)
-                for i in np.flatnonzero(w.n >= width).tolist():
-                    if (k := int(k1[i])) not in seen:
-                        seen.add(k)
-                        send[i] = True
-                if len(seen) > SEEN:
-                    seen.clear()
-                h, owner = h[send[owner]], owner[send[owner]]
-                off = np.searchsorted(owner, np.arange(len(k1) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("r"), pa.array(k1), pa.array(k2), pa.array(w.n >= width), pa.array(send),
-                     pa.ListArray.from_arrays(off, pa.array(h.view(np.int64)))],
-                    names=["doc_id", "r", "k1", "k2", "whole", "sent", "grams"],
-                )
-
-    kind = "doc_id long, r long, k1 long, k2 long, whole boolean, sent boolean, grams array<long>"
-    texts = land(spark, rows.mapInArrow(first_pass, kind), "text-grams").where("whole")
-    classes = texts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c"), F.min(F.when(F.col("sent"), F.col("r"))).alias("one"))
-    classes = land(spark, classes, "text-classes")
-    copies = texts.select("doc_id", "r", "k1", "k2").join(classes.where("c > 1"), ["k1", "k2"]).select("doc_id", "r").distinct()
-
-    one = classes.select("one")
-    sent = texts.where("sent").select("doc_id", "r", F.posexplode("grams").alias("at", "g"))
-    sent = sent.join(one, sent["r"] == one["one"], "left_semi")
-    shared = land(spark, sent.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "shared-grams")
-    places = sent.join(shared, "g").groupBy("doc_id", "r").agg(F.collect_set("at").alias("at"))
-    places = land(spark, places, "gram-places")
-
-    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _lists(h: np.ndarray, more: np.ndarray | None, n: np.ndarray, buckets: int, block: int) -> pa.RecordBatch:
+    """Sorted hashes (``more``: their second halves) and counts, by bucket."""
+    cut = np.concatenate([[0], _edges(h, buckets), [len(h)]])
+    rows = [
+        (int(b), 1, block, pack_keys(h[i:j]), None if more is None else pack(more[i:j]), pack(n[i:j]))
+        for b, i, j in zip(range(buckets), cut[:-1], cut[1:], strict=True) if j > i
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, SCHEMA, strict=True)], schema=SCHEMA)
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """Whole texts in compressed blocks of ``BLOCK`` bytes or one text."""
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, "text"):
-                w = Words(part.column("text"))
-                _, lo, hi, owner = grams(w, plan)
-                first = np.searchsorted(owner, np.arange(len(w.n) + 1))
-                at = part.column("at")
-                chosen = first[:-1].repeat(at.value_lengths().to_numpy(zero_copy_only=False)) + at.flatten().to_numpy()
-                lo, hi, owner = lo[chosen], hi[chosen], owner[chosen]
-                # Windows that hold the whole gram.
-                a = np.maximum(hi - width, w.first[owner])
-                b = np.minimum(lo, w.first[owner + 1] - width) + 1
-                fit = b > a
-                start = np.flatnonzero(_runs(a[fit], b[fit], len(w.name)))
-                off = np.searchsorted(start, w.first).astype(np.int32)
-                h1, h2 = windows(w.name, width), windows(mix(w.name ^ U(0x5851F42D4C957F2D)), width)
-                begin = np.repeat(w.first[:-1], np.diff(off))
-                cols = ((start - begin).astype(np.int32), h1[start].view(np.int64), h2[start].view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("r"), *(pa.ListArray.from_arrays(off, pa.array(c)) for c in cols)],
-                    names=["doc_id", "r", "start", "h1", "h2"],
-                )
-
-    kind = "doc_id long, r long, start array<int>, h1 array<long>, h2 array<long>"
-    near = _with_text(rows, places, "inner", "at").mapInArrow(second_pass, kind)
-    near = land(spark, near, "candidate-windows")
-    each = near.select("doc_id", "r", F.inline(F.arrays_zip("start", "h1", "h2")))
-    twice = land(spark, each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2"), "repeated-windows")
-    starts = each.join(twice, ["h1", "h2"]).groupBy("doc_id", "r").agg(F.collect_set("start").alias("starts"))
-    return land(spark, starts, "repeated-starts"), land(spark, copies, "text-copies")
-
-
-def _with_text(rows: DataFrame, facts: DataFrame, how: str, *columns: str) -> DataFrame:
-    """``rows`` with ``columns`` of ``facts`` by (doc_id, r); the facts of a
-    partition are hashed, so texts are not sorted."""
-    facts = facts.withColumnsRenamed({"doc_id": "fact_id", "r": "fact_r"}).hint("shuffle_hash")
-    same = (F.col("r") == F.col("fact_r")) & F.col("doc_id").eqNullSafe(F.col("fact_id"))
-    return rows.join(facts, same, how).select("doc_id", "r", "text", *columns)
+            for part in slices(batch, "text", BLOCK):
+                buf, off = text_bytes(part.column("text"))
+                ids = part.column("doc_id")
+                known = ids.is_valid().to_numpy(zero_copy_only=False)
+                names = np.concatenate([ids.fill_null(0).to_numpy(zero_copy_only=False), known.astype(np.int64)])
+                text = zstandard.ZstdCompressor(level=3).compress(buf.tobytes())
+                row = [[0], [0], [number], [text], [pack(names)], [pack(np.diff(off))]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, SCHEMA, strict=True)], schema=SCHEMA)
+                number += 1
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROW)
+
+
+def opened(row: dict) -> tuple[Words, pa.Array]:
+    """The words of a block's texts, and the texts' doc_ids."""
+    off = np.concatenate([[0], np.cumsum(unpack(row["n"], np.int64))])
+    ids, known = np.split(unpack(row["more"], np.int64), 2)
+    buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["h"]), np.uint8)
+    return Words(buf, off), pa.array(ids, mask=known == 0)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def named(spark: SparkSession, blocks: DataFrame, live: list[np.ndarray], buckets: int) -> np.ndarray:
+    """One round: the names of the next level's new symbols are counted over
+    all blocks; the bitmap of those that occur twice or more."""
+
+    @released
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            *_, (s, _, _) = levels(opened(row)[0], live)
+            h, n = np.unique(s.name[s.new & s.alive], return_counts=True)
+            yield _lists(h, None, np.minimum(n, 2).astype(np.uint8), buckets, row["block"])
+
+    share = BITS // 8 // buckets
+
+    def count(group: pa.Table) -> pa.Table:
+        h = np.concatenate([unpack_keys(x.as_py()) for x in group["h"]])
+        n = np.concatenate([unpack(x.as_py(), np.uint8) for x in group["n"]])
+        h, back = np.unique(h, return_inverse=True)
+        h = h[np.bincount(back, n) > 1]
+        bucket = group["bucket"][0].as_py()
+        bits = np.zeros(share * 8, bool)
+        bits[((h >> U(64 - BITS.bit_length() + 1)) - U(bucket * share * 8)).astype(np.int64)] = True
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([zstandard.compress(np.packbits(bits, bitorder="little").tobytes())])})
+
+    out = np.zeros(BITS // 8, np.uint8)
+    found = blocks.mapInArrow(send, ROW).groupBy("bucket").applyInArrow(count, "bucket int, bits binary")
+    for bucket, bits in found.collect():  # BITS bits in all
+        out[bucket * share : (bucket + 1) * share] = np.frombuffer(zstandard.decompress(bits), np.uint8)
+    return out
+
+
+def _asked(w: Words, live: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows to verify, their different hashes in order (two
+    halves), counts, and each start's place among them."""
+    at = windows_left(w, live, width)
+    h = windows(w.name, width)[at] if len(at) else np.zeros(0, U)
+    more = windows(mix(w.name ^ U(0x5851F42D4C957F2D)), width)[at] if len(at) else h
+    order = np.lexsort((more, h))
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(h[order]) != 0) | (np.diff(more[order]) != 0)
+    place = np.empty(len(at), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return at, h[order][new], more[order][new], np.bincount(place, minlength=int(new.sum())), place
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of ``docs``: words
     covered by a window that starts anywhere else too are removed, what is
     left is joined by one space; ``texts`` adds it as ``kept``."""
-    starts, copies = repeated_windows(spark, docs, width)
-    facts = starts.withColumn("gone", F.lit(False)).unionByName(
-        copies.select("doc_id", "r", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("gone"))
-    )
-    facts = facts.groupBy("doc_id", "r").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.max("gone").alias("gone"))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("r"), "text"
-    )
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                n, removed, digest, kept = [], [], [], []
-                cols = (part.column("text"), part.column("starts"), part.column("gone").to_pylist())
-                for text, start, gone in zip(*cols, strict=True):
-                    words = (text.as_py() or "").encode().split()
-                    n.append(len(words))
-                    if gone:
-                        left = []
-                    elif start.is_valid and len(start.values):
-                        at = start.values.to_numpy()
-                        out = _runs(at, at + width, len(words))
-                        left = [words[i] for i in np.flatnonzero(~out)]
-                    else:
-                        left = words
-                    removed.append(len(words) - len(left))
-                    rest = b" ".join(left)
-                    digest.append(hashlib.sha256(rest).hexdigest())
-                    kept.append(rest.decode() if texts else None)
-                out = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
-                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-                if texts:
-                    out, names = [*out, pa.array(kept, pa.string())], [*names, "kept"]
-                yield pa.RecordBatch.from_arrays(out, names=names)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(max(FEWEST, 1 << (size // BUCKET).bit_length()), BITS // 8)
+    blocks = land(spark, blocks_of(docs), "text-blocks")
+    live: list[np.ndarray] = []
+    for _ in range(ROUNDS + 1):
+        live.append(named(spark, blocks, live, buckets))
+
+    @released
+    def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            _, h, more, n, _ = _asked(opened(row)[0], live, width)
+            yield _lists(h, more, np.minimum(n, 2).astype(np.uint8), buckets, row["block"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        h = [unpack_keys(x.as_py()) for x in group["h"]]
+        cut = np.cumsum([len(x) for x in h])[:-1]
+        h = np.concatenate(h)
+        more = np.concatenate([unpack(x.as_py(), U) for x in group["more"]])
+        n = np.concatenate([unpack(x.as_py(), np.uint8) for x in group["n"]])
+        order = np.lexsort((more, h))
+        new = np.ones(len(h), bool)
+        new[1:] = (np.diff(h[order]) != 0) | (np.diff(more[order]) != 0)
+        which = np.cumsum(new) - 1
+        twice = np.empty(len(h), bool)
+        twice[order] = (np.bincount(which, n[order]) > 1)[which]
+        bits = [pack(np.packbits(x)) for x in np.split(twice, cut)]
+        none = pa.nulls(len(bits), pa.binary())
+        long = pa.array([len(x).to_bytes(8, "little") for x in np.split(twice, cut)], pa.binary())
+        cols = [group["bucket"].combine_chunks(), group["kind"].combine_chunks(), group["block"].combine_chunks(), pa.array(bits, pa.binary()), none, long]
+        return pa.Table.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], schema=SCHEMA)
 
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
-    return _with_text(rows, facts, "left", "starts", "gone").mapInArrow(cut, kind)
+
+    def cut(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
+        w, ids = opened(rows[0])
+        at, _, _, _, place = _asked(w, live, width)
+        parts = [np.unpackbits(unpack(r["h"], np.uint8), count=int.from_bytes(r["n"], "little")) for r in rows[1:]]
+        twice = np.concatenate([np.zeros(0, np.uint8), *parts]).astype(bool)
+        at = at[twice[place]]
+        gone = _runs(at, at + width, len(w.name))
+        removed, digest, kept = [], [], []
+        for i in range(len(w.n)):
+            words = w.buf[w.off[i] : w.off[i + 1]].tobytes().split()
+            out = gone[w.first[i] : w.first[i + 1]]
+            removed.append(int(out.sum()))
+            if removed[-1]:
+                words = [words[j] for j in np.flatnonzero(~out)]
+            rest = b" ".join(words)
+            digest.append(hashlib.sha256(rest).hexdigest())
+            kept.append(rest.decode() if texts else None)
+        cols = {"doc_id": ids, "n_words": pa.array(w.n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+        return pa.table(cols | ({"kept": pa.array(kept, pa.string())} if texts else {}))
+
+    answers = blocks.mapInArrow(request, ROW).groupBy("bucket").applyInArrow(answer, ROW)
+    return blocks.unionByName(answers).groupBy("block").applyInArrow(cut, kind)
