@@ -82,7 +82,10 @@ def test_email_lookup_filters_before_ranking(spark, landed):
 def test_building_a_query_runs_nothing(spark):
     from tillscope.streaming.catalog import STREAM_QUERIES
 
-    writes = ("sink_", "order_feed_folders", "orders_table_upserts")
+    writes = (
+        "sink_", "order_feed_folders", "orders_table_upserts", "login_audit_by_email", "audit_search_indexed", "audit_sort_page",
+        "intent_rates_stored",
+    )
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("build", "plans only")
     try:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.config import MASK_TOKEN
@@ -27,6 +27,16 @@ def normalize_email(email: Column | str) -> Column:
     return F.trim(unmask_email(F.lower(_col(email))))
 
 
+#: Column of tables that carry their normalised e-mail (``sources.email_layout``).
+EMAIL_KEY = "email_key"
+
+
+def email_key(df: DataFrame) -> Column:
+    """The normalised e-mail of ``df``: its column where it has one (a layout by
+    it then needs no shuffle), else computed."""
+    return F.col(EMAIL_KEY) if EMAIL_KEY in df.columns else normalize_email("email")
+
+
 def is_test_account(email: Column | str, test_account: str) -> Column:
     """True only for the test account; NULL e-mail gives False (row kept)."""
     return normalize_email(email).eqNullSafe(F.lit(test_account.lower()))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.config import DEFAULT_CONFIG, PAID_STATUS, AuditConfig
-from tillscope.functions.emails import is_test_account, normalize_email
+from tillscope.functions.emails import EMAIL_KEY, email_key, is_test_account, normalize_email
 from tillscope.functions.timez import local_date, to_local, where_local_days
 from tillscope.operators.dedupe import latest_per
 
@@ -29,7 +29,10 @@ def latest_logins(
     if with_allowance:
         l = l.where(F.col("allowance") > 0)
     l = l.withColumn("local_date", local_date("created_at", cfg.tz))
-    latest = latest_per(l, ["local_date", "email"], ["created_at", "login_id"], ["allowance", "created_at", "login_id"])
+    # The key is a function of the e-mail: it changes no group, but lets a
+    # layout by it (sources.email_layout) group without a shuffle.
+    keys = ["local_date", "email", *([EMAIL_KEY] if EMAIL_KEY in l.columns else [])]
+    latest = latest_per(l, keys, ["created_at", "login_id"], ["allowance", "created_at", "login_id"])
     return latest.where(~is_test_account("email", cfg.test_account))
 
 
@@ -37,14 +40,14 @@ def order_stats(carts: DataFrame) -> DataFrame:
     """All-time converted-cart count and last converted time per e-mail key."""
     return (
         carts.where(F.col("is_converted") == F.lit(True))
-        .groupBy(normalize_email("email").alias("email_key"))
+        .groupBy(email_key(carts).alias(EMAIL_KEY))
         .agg(F.count(F.lit(1)).alias("order_count"), F.max("created_at").alias("last_order_utc"))
     )
 
 
 def latest_plans(plans: DataFrame) -> DataFrame:
     """Latest treatment-plan time per e-mail key."""
-    return plans.groupBy(normalize_email("email").alias("email_key")).agg(F.max("created_at").alias("tp_utc"))
+    return plans.groupBy(email_key(plans).alias(EMAIL_KEY)).agg(F.max("created_at").alias("tp_utc"))
 
 
 def login_audit(
@@ -62,9 +65,8 @@ def login_audit(
     are 1:1 and never fan out; Catalyst/AQE choose broadcast or sort-merge by
     their measured size.
     """
-    latest = latest_logins(logins, d_from, d_to, with_allowance, cfg).withColumn(
-        "email_key", normalize_email("email")
-    )
+    latest = latest_logins(logins, d_from, d_to, with_allowance, cfg)
+    latest = latest.withColumn(EMAIL_KEY, email_key(latest))
     out = latest.join(order_stats(carts), "email_key", "left").join(latest_plans(plans), "email_key", "left")
     return out.select(
         "local_date",

@@ -7,6 +7,7 @@ the work grows with the tables. Keys match ``tillscope.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +18,12 @@ from tillscope.audits import ShopAudits
 from tillscope.functions.emails import is_test_account, mask_email, normalize_email, unmask_email
 from tillscope.functions.timez import date_spine, date_spine_of, local_date
 from tillscope.operators import funnel as fn
-from tillscope.operators import intent, live, logins, profiles, purchases, recovery, report
+from tillscope.operators import intent, intent_history, live, logins, pages, profiles, purchases, recovery, report, search_index
 from tillscope.operators.dedupe import dedupe_by
 from tillscope.session import scratch_path
 from tillscope.sources import sinks
-from tillscope.sources.fixtures import Fixtures
-from tillscope.sources.fixtures import amended_orders_from, order_pages_from
+from tillscope.sources.email_layout import land_by_email
+from tillscope.sources.fixtures import Fixtures, amended_orders_from, order_pages_from
 from tillscope.sources.order_feed import flatten_order_feed, quarantine, read_order_feed, sound_pages
 from tillscope.sources.orders_table import read_orders, upsert_orders
 from tillscope.sources.tables import read_landed
@@ -34,6 +35,7 @@ QUERIES: dict[str, QueryFn] = {}
 WEEKDAY_CUTOFF_HOUR = 19
 LIVE_MINUTES = 60
 SEARCH_TEXT = "user1"
+PAGE_ROWS = 100
 DAY_FROM, DAY_TO = "2024-01-10", "2024-01-16"
 
 
@@ -424,4 +426,33 @@ def q_orders_table_upserts(spark, sf_dir):
     return read_orders(spark, path).drop("source", "utc_date")
 
 
+@register("login_audit_by_email")
+def q_login_audit_by_email(spark, sf_dir):
+    """The login audit over tables laid out by e-mail: its joins don't shuffle."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = land_by_email(spark, _fx(spark, sf_dir), uuid.uuid4().hex[:12], buckets)
+    return logins.login_audit(t["logins"], t["carts"], t["treatment_plans"], cfg=CFG)
+
+
+@register("audit_search_indexed")
+def q_audit_search_indexed(spark, sf_dir):
+    """The search by an index of grams, built over the whole view."""
+    p = _purchases(_fx(spark, sf_dir))
+    return search_index.indexed_search(p, search_index.build_index(p, scratch_path(spark, "search-index")), SEARCH_TEXT)
+
+
+@register("audit_sort_page")
+def q_audit_sort_page(spark, sf_dir):
+    """The third page of the sorted view: a range of the clustered copy."""
+    path = pages.cluster_view(_purchases(_fx(spark, sf_dir)), scratch_path(spark, "sorted-view"), "purchase_time", False, "number")
+    return pages.page(spark, path, PAGE_ROWS, skip=2 * PAGE_ROWS).drop(pages.ROW_ID)
+
+
+@register("intent_rates_stored")
+def q_intent_rates_stored(spark, sf_dir):
+    """The rolling rates from running totals stored by day."""
+    path = intent_history.land_history(_daily_intent(_fx(spark, sf_dir)), scratch_path(spark, "intent-history"))
+    return intent_history.rates(spark, path)
+
+
 FLAGSHIP = "login_audit"
