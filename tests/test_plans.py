@@ -83,7 +83,7 @@ def test_building_a_query_runs_nothing(spark):
     from tillscope.streaming.catalog import STREAM_QUERIES
 
     writes = (
-        "sink_", "order_feed_folders", "orders_table_upserts", "login_audit_by_email", "audit_search_indexed", "audit_sort_page",
+        "sink_", "order_feed_folders", "orders_table_upserts", "login_audit_by_email", "login_funnel_landed", "audit_search_indexed", "audit_sort_page",
         "intent_rates_stored",
     )
     tracker = spark.sparkContext.statusTracker()

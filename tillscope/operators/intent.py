@@ -138,16 +138,27 @@ def intent_rolling_rate(daily: DataFrame) -> DataFrame:
     )
 
 
+def intent_orders_from(d_from: dt.date) -> dt.date:
+    """First day of the orders that the rates of ``d_from`` need."""
+    return d_from - dt.timedelta(days=RATE_DAYS - 1 + LOOKBACK_DAYS)
+
+
 def intent_with_rates(
-    logins: DataFrame, shop_orders: DataFrame, d_from: dt.date, d_to: dt.date, cfg: AuditConfig = DEFAULT_CONFIG
+    logins: DataFrame,
+    shop_orders: DataFrame | None,
+    d_from: dt.date,
+    d_to: dt.date,
+    cfg: AuditConfig = DEFAULT_CONFIG,
+    p: DataFrame | None = None,
 ) -> DataFrame:
     """A18 rows of [d_from, d_to] with their 7- and 28-day pooled rates.
 
     The rates of d_from need the daily rows of the 27 days before it, and
-    those the orders of another ``LOOKBACK_DAYS``.
+    those the orders of another ``LOOKBACK_DAYS``: ``intent_orders_from``. A job
+    that has these purchases already passes them as ``p``.
     """
     first = d_from - dt.timedelta(days=RATE_DAYS - 1)
-    p = purchases(shop_orders, first - dt.timedelta(days=LOOKBACK_DAYS), d_to, cfg)
+    p = purchases(shop_orders, intent_orders_from(d_from), d_to, cfg) if p is None else p
     daily = daily_intent_audit(logins, p, date_spine(logins.sparkSession, first, d_to), first, d_to, cfg)
     out = daily.join(intent_rolling_rate(daily).drop("rate_day"), "local_date")
     return out.where(F.col("local_date").between(F.lit(d_from), F.lit(d_to)))

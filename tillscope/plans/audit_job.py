@@ -21,7 +21,7 @@ from tillscope.operators import funnel, intent, logins, profiles, purchases, rec
 from tillscope.session import scratch_path
 from tillscope.sources.sinks import write_parquet
 
-# How far back the comparisons reach: D-28 (hourly history) and D-7 (intent).
+# How far back the hourly comparisons reach (D-28).
 LOOKBACK_DAYS = 28
 
 
@@ -48,9 +48,11 @@ def run_audits(
     spine = date_spine(spark, a, b)
     in_range = F.col("local_date").between(F.lit(a), F.lit(b))
 
-    # Shared prep, written once to a folder of this run: purchases of [a - 28, b].
+    # Shared prep, written once to a folder of this run: purchases as far back
+    # as any view looks (the hourly history 28 days, the intent rates 34).
+    first = min(a - dt.timedelta(days=LOOKBACK_DAYS), intent.intent_orders_from(a))
     prep = write_parquet(
-        purchases.purchases(inputs.shop_orders, a - dt.timedelta(days=LOOKBACK_DAYS), b, cfg),
+        purchases.purchases(inputs.shop_orders, first, b, cfg),
         scratch_path(spark, "audit-purchases"),
         partition_by="local_date",
     )
@@ -61,7 +63,7 @@ def run_audits(
     f = funnel.login_funnel(inputs.logins, inputs.activity, a, b, cfg)
     latest = write_parquet(logins.latest_logins(inputs.logins, a, b, False, cfg), scratch_path(spark, "audit-logins"))
     latest = spark.read.parquet(latest)
-    daily = intent.intent_with_rates(inputs.logins, inputs.shop_orders, a, b, cfg)
+    daily = intent.intent_with_rates(inputs.logins, None, a, b, cfg, p_all)
     views: dict[str, DataFrame] = {
         "login_audit": logins.login_purchase_flags(audit, p),
         "login_audit_allowance": logins.login_audit(

@@ -24,6 +24,7 @@ from tillscope.session import scratch_path
 from tillscope.sources import sinks
 from tillscope.sources.email_layout import land_by_email
 from tillscope.sources.fixtures import Fixtures, amended_orders_from, order_pages_from
+from tillscope.sources.landing import land_events
 from tillscope.sources.order_feed import flatten_order_feed, quarantine, read_order_feed, sound_pages
 from tillscope.sources.orders_table import read_orders, upsert_orders
 from tillscope.sources.tables import read_landed
@@ -426,6 +427,14 @@ def q_orders_table_upserts(spark, sf_dir):
     return read_orders(spark, path).drop("source", "utc_date")
 
 
+@register("login_funnel_landed")
+def q_login_funnel_landed(spark, sf_dir):
+    """The funnel over a landed copy of the event log: its properties are parsed
+    once, by the landing job, for logins and activity alike."""
+    landed = Fixtures(spark, sf_dir, events=land_events(spark, sf_dir, uuid.uuid4().hex[:12], scratch_path(spark, "landed")))
+    return fn.login_funnel(landed.logins, landed.activity, cfg=CFG)
+
+
 @register("login_audit_by_email")
 def q_login_audit_by_email(spark, sf_dir):
     """The login audit over tables laid out by e-mail: its joins don't shuffle."""

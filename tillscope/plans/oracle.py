@@ -600,6 +600,7 @@ SELECT d.*, {pct(_trailing('did_not_buy', 7), _trailing('total_logins_with_allow
        {pct(_trailing('did_not_buy', 28), _trailing('total_logins_with_allowance', 28))} AS rate_28d
 FROM daily d WHERE d.local_date {DAYS}"""
 ORACLE_SQL["order_feed_folders"] = ORACLE_SQL["order_feed_flatten"]
+ORACLE_SQL["login_funnel_landed"] = ORACLE_SQL["login_funnel"]
 ORACLE_SQL["login_audit_by_email"] = ORACLE_SQL["login_audit"]
 ORACLE_SQL["audit_search_indexed"] = ORACLE_SQL["audit_search"]
 ORACLE_SQL["audit_sort_page"] = ORACLE_SQL["audit_sort"] + " LIMIT 100 OFFSET 200"
