@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillscope.config import DEFAULT_CONFIG, EXCEPTION_EVENT, FUNNEL_EVENTS, STAGE_LADDER, AuditConfig
 from tillscope.functions.emails import normalize_email
 from tillscope.functions.labels import funnel_outcome, furthest_stage, shop_filter
+from tillscope.functions.membership import key_bitmap, may_contain
 from tillscope.functions.timez import local_date, where_local_days
 from tillscope.operators.dedupe import latest_per
 from tillscope.operators.logins import latest_logins
@@ -31,7 +32,8 @@ def session_stage_rollup(
     stages, error/exception counts and last activity. The aggregate runs
     before the semi-join: its map-side partial step collapses each session's
     events (a hot e-mail included) before anything is shuffled, so only
-    session rows reach the join.
+    session rows reach the join. Over a day range, a bitmap of the logins
+    (``functions.membership``) drops other visitors' events before that.
     """
     a = where_local_days(activity, "ts", d_from, d_to, cfg.activity_tz).where(
         F.col("event").isin(*FUNNEL_EVENTS) & shop_filter(cfg, hosts_override=hosts_override) & F.col("email").isNotNull()
@@ -42,6 +44,9 @@ def session_stage_rollup(
         "event",
         "ts",
     )
+    if login_keys is not None and (d_from is not None or d_to is not None):
+        # A day range has few logins beside the log's visitors: theirs alone go on.
+        a = a.where(may_contain(key_bitmap(login_keys, "act_date", "email_key"), F.col("act_date"), F.col("email_key")))
     aggs = [F.max(F.when(F.col("event") == s, F.col("ts"))).alias(f"t_{s}") for s in STAGES]
     aggs += [
         F.count_if(F.col("event") == "payment_error").alias("payment_error_count"),
