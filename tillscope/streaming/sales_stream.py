@@ -84,6 +84,9 @@ _OUT = "local_date string, hour int, currency string, cents long, orders long"
 _STATE = "landed long, source string, paid boolean, local_date string, hour int, currency string, cents long"
 
 
+_COPY = [c.split()[0] for c in _STATE.split(", ")]
+
+
 def _amend(key: tuple, copies: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One order's new copies: out goes what the last one counted for, in comes
     what the newest counts for."""
@@ -93,10 +96,10 @@ def _amend(key: tuple, copies: Iterable[pd.DataFrame], state: GroupState) -> Ite
     old = best = tuple(state.get) if state.exists else None
     until = 0
     for rows in copies:
-        last = rows.sort_values(["landed", "source", "paid", "cents"], kind="stable").iloc[-1]
-        new = (int(last.landed), last.source, bool(last.paid), last.local_date, int(last.hour), last.currency, int(last.cents))
+        until = max(until, *rows["until"].tolist())
+        # Copies of one place: paid before unpaid, then the larger amount.
+        new = max(zip(*(rows[c].tolist() for c in _COPY), strict=True), key=lambda c: (c[0], c[1], c[2], c[6]))
         best = new if best is None or new[:2] >= best[:2] else best
-        until = max(until, int(rows["until"].max()))
     state.update(best)
     state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs()) + 1)
     if best != old:
