@@ -54,6 +54,8 @@ PARITY = 8
 #: Posting lists of at least so many classes take part in the rounds that unite
 #: large groups before all pairs are joined, and the most rounds.
 LONG, ROUNDS, FEW = 16, 6, 16
+#: How much less a partner may share than the best, for other partners by round.
+SPREAD = 0.25
 #: Bits of the bitmap of classes whose sets are fetched.
 BITS = 1 << 23
 
@@ -190,6 +192,8 @@ def linked(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFr
     kind = "".join(f"{c} long, " for c in keys) + "n long, k long, prefix array<long>, bins array<int>" + "".join(f", {b} long" for b in BITS_OF)
     sets = land(spark, docs.mapInArrow(prefixes, kind), "ngram-prefixes")
     classes = land(spark, sets.where("n > 0").dropDuplicates(["k"]).drop(*keys), "ngram-classes")
+    full, sets = sets, land(spark, sets.select(*keys, "n", "k"), "ngram-keys")
+    discard(spark, full)
     posts = posting_lists(spark, classes)
     links, comp = united(spark, docs, posts, classes, rare, n, percent)
 
@@ -212,8 +216,9 @@ def linked(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFr
     )
     pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("m").alias("c")).where(_shared(percent)).select("a", "b")
     pairs = filtered(spark, pairs, classes, percent)
-    more = verified(spark, pairs, sets_of(spark, docs, pairs, rare, n), percent)
-    discard(spark, posts, labelled, main, mixed)
+    whole = sets_of(spark, docs, pairs, rare, n)
+    more = verified(spark, pairs, whole, percent)
+    discard(spark, posts, labelled, main, mixed, classes, *([whole] if hasattr(whole, "landed_at") else []))
     comp = land(spark, components(spark, links.union(more).toDF("u", "v"), "ngram-links"), "ngram-components")
 
     rows = sets.select(*keys, "n", "k").join(comp, sets["k"] == comp["node"], "left").select(
@@ -245,9 +250,11 @@ def _labelled(posts: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _mains(labelled: DataFrame) -> DataFrame:
-    """(g, main, comps): each list's largest component and how many it has."""
-    return labelled.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(
-        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")
+    """(g, main, comps): each list's largest component (of equal ones, where it
+    is known, that of the class that shares most) and how many it has."""
+    best = F.max("shared") if "shared" in labelled.columns else F.lit(0)
+    return labelled.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c"), best.alias("best")).groupBy("g").agg(
+        F.max_by("comp", F.struct("c", "best", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")
     )
 
 
@@ -258,13 +265,16 @@ def united(
     that they make.
 
     In a round every class outside its list's largest component names one
-    partner there, the same for the whole list and another in each round; of
-    the partners that its lists name it takes the one named most often, and
-    the pair is verified; classes take over the smaller label of what they link
+    partner there, the same for the whole list: a class with about the most
+    shared prefix n-grams (so the least changed of near copies, to which most
+    others are near), another in each round. Of the partners that its lists
+    name it takes the one named most often, and the pair is verified; classes take over the smaller label of what they link
     with. Work is linear in the postings. Rounds end when fewer than one in
     ``FEW`` pairs link, or ``ROUNDS`` are over; what is not united then is left
     to the join of all pairs, so nothing is lost."""
     long = posts.where(F.col("c") >= LONG)
+    shared = long.groupBy("k").agg(F.sum("m").alias("shared"))
+    long = land(spark, long.join(shared, "k"), "ngram-long")
     links = spark.createDataFrame([], "a long, b long")
     label = long.select("k").distinct().select(F.col("k").alias("node"), F.col("k").alias("component"))
     pool = None
@@ -272,7 +282,8 @@ def united(
         label = land(spark, label, "ngram-labels")
         labelled = land(spark, _labelled(long, label), "ngram-round")
         main = land(spark, _mains(labelled).where("comps > 1").select("g", "main"), "ngram-mains")
-        partner = F.min_by(F.col("k"), F.xxhash64(F.lit(turn), "k"))
+        luck = F.pmod(F.xxhash64(F.lit(turn), "k"), F.lit(1024)) / 1024
+        partner = F.max_by(F.col("k"), F.struct(F.col("shared") * (1 + luck * SPREAD * min(turn, 1)), "k"))
         named = labelled.join(main, "g").where("comp = main").groupBy("g", "main").agg(partner.alias("j"))
         votes = labelled.join(land(spark, named, "ngram-partners"), "g").where("comp <> main").groupBy("k", "j").agg(F.sum("m").alias("v"))
         pairs = votes.groupBy("k").agg(F.max_by("j", F.struct("v", "j")).alias("j"))
@@ -291,7 +302,9 @@ def united(
         discard(spark, labelled, main)
         if found.count() * FEW <= asked:
             break
-    return links, land(spark, label, "ngram-united")
+    label = land(spark, label, "ngram-united")
+    discard(spark, long, *([pool] if hasattr(pool, "landed_at") else []))
+    return links, label
 
 
 def _prefix(n: str, percent: int) -> Column:
