@@ -29,7 +29,7 @@ def test_audits_stay_without_the_operators_or_their_modules():
         done = _run(missing)
         assert done.returncode == 0, done.stderr
         llm, every = map(int, done.stdout.split())
-        assert llm == 0 and every >= 60 and f"no module {missing}" in done.stderr
+        assert llm == 0 and every >= 60 and "no module" in done.stderr
 
 
 def test_a_missing_core_module_is_an_error():
