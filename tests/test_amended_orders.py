@@ -6,6 +6,7 @@ import os
 import random
 from decimal import Decimal
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,75 @@ def test_untouched_days_keep_their_files(spark):
     assert not {f for f in before if touched(f)} & set(after)
     fresh = read_orders(spark, path).where("source = 'copy-2'")
     assert fresh.count() == last.count() > 0
+
+
+def test_orders_of_one_group_keep_their_own_state(spark):
+    """All orders in one group: each is amended, and ends, by itself."""
+    day, later = dt.datetime(2024, 1, 10, 3, 5), dt.datetime(2024, 1, 11, 3, 5)
+    steps = [
+        [_copy(1, "FULLY_CHARGED", "10.00", 1), _copy(2, "NOT_CHARGED", "5.00", 1), (*_copy(3, "FULLY_CHARGED", "2.00", 1)[:6], later, "001")],
+        [_copy(2, "FULLY_CHARGED", "5.00", 2), (*_copy(4, "FULLY_CHARGED", "1.00", 1)[:6], dt.datetime(2024, 1, 12, 15, 0), "001")],
+        [_copy(1, "FULLY_REFUNDED", "10.00", 2), (*_copy(3, "FULLY_REFUNDED", "2.00", 2)[:6], later, "002"), (None, *_copy(5, "FULLY_CHARGED", "3.00", 1)[1:6], later, "001")],
+    ]
+    src, base = scratch_path(spark, "group"), scratch_path(spark, "group-out")
+    for rows in steps:
+        _copies(spark, rows).write.mode("append").parquet(src)
+        s = sales_stream.amended_sales_stream(spark.readStream.schema(SCHEMA).parquet(src), "2 days", groups=1)
+        path = run_versioned(s, "group", base=base, per_batch=sales_stream.summed_deltas)
+    got = {(r.local_date, r.hour): (r.gross, r.orders) for r in sales_stream.hourly_from_deltas(read_versions(spark, path, s.schema)).collect()}
+    # Order 1's refund comes after its two days and is dropped; order 3's does not.
+    assert got == {
+        (day.date(), 14): (Decimal("15.00"), 2), (dt.date(2024, 1, 13), 2): (Decimal("1.00"), 1), (later.date(), 14): (Decimal("3.00"), 1)
+    }
+
+
+class _State:
+    """What ``_amend`` uses of a group's state."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut, self.watermark, self.until = None, False, False, 0, None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def setTimeoutTimestamp(self, at):
+        self.until = at
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+
+def test_one_call_amends_many_orders():
+    """Python is called by group, not by order; state ends order by order."""
+    rows = lambda *r: [pd.DataFrame(r, columns=sales_stream._COPY)]
+    state = _State()
+    out = list(sales_stream._amend((0,), rows(
+        ("1", 0, "a", True, "2024-01-10", 14, "AUD", 100, 1000), ("2", 0, "a", True, "2024-01-10", 14, "AUD", 250, 5000),
+        ("3", 0, "a", True, None, -1, "AUD", 7, 0),
+    ), state))
+    assert sorted(map(tuple, out[0].astype(object).where(out[0].notna(), None).values.tolist()), key=str) == [
+        ("2024-01-10", 14, "AUD", 350, 2), (None, None, "AUD", 7, 1)
+    ]
+    state.hasTimedOut, state.watermark = True, 2000
+    assert list(sales_stream._amend((0,), [], state)) == [] and state.exists and state.until == 5001
+    state.hasTimedOut = False
+    out = list(sales_stream._amend((0,), rows(("2", 0, "b", False, "2024-01-10", 14, "AUD", 250, 5000)), state))
+    assert out[0].values.tolist() == [["2024-01-10", 14, "AUD", -250, -1]]
+    state.hasTimedOut, state.watermark = True, 6000
+    assert list(sales_stream._amend((0,), [], state)) == [] and not state.exists
+
+
+def test_as_many_groups_at_most(spark):
+    """The state's key takes few values however many orders there are."""
+    rows = [_copy(i, "FULLY_CHARGED", "1.00", 1) for i in range(300)]
+    src = scratch_path(spark, "groups")
+    _copies(spark, rows).write.parquet(src)
+    s = sales_stream.amended_sales_stream(spark.readStream.schema(SCHEMA).parquet(src), groups=7)
+    base = scratch_path(spark, "groups-out")
+    path = run_versioned(s, "groups", base=base)
+    assert spark.read.format("statestore").load(f"{base}/checkpoint").count() == 7
+    out = read_versions(spark, path, s.schema)
+    assert out.count() == 7 and out.agg(F.sum("orders")).first()[0] == 300
