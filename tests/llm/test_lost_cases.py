@@ -82,3 +82,35 @@ def test_languages_with_few_rows_use_the_common_cut(spark):
     model, _ = toxicity.train(spark, docs, spark.createDataFrame(known, "doc_id long, toxic int"), 60)
     assert set(model.by_lang) <= {"aa", "bb"}
     assert {r.doc_id for r in toxicity.drop_toxic(spark, docs, spark.createDataFrame(known, "doc_id long, toxic int"), 60).collect()} == {i for i, y in known if not y}
+
+
+def test_little_of_the_counters_is_held_by_the_driver(spark):
+    """Count classes reach the driver as one byte a counter, the bitmap of
+    wanted sets without a row object a word, and both hold what they should."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tillscope.llm import jaccard
+
+    words = [f"w{i}" for i in range(60000)]
+    texts = [" ".join(words[i : i + 40]) for i in range(0, 59960, 10)] + ["a b c d"] * 300 + ["", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    tracemalloc.start()
+    try:
+        rare = jaccard.rarity(docs, 3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    h = jaccard.Shingles(pa.array(texts), 3).h
+    counts = np.bincount((h & jaccard.U(jaccard.COUNTERS - 1)).astype(np.int64), minlength=jaccard.COUNTERS)
+    assert (rare == np.minimum(255, 6 * np.log2(1.0 + counts)).astype(np.uint8)).all() and rare.dtype == np.uint8
+    assert peak < 5 * jaccard.COUNTERS  # 8 bytes a counter and their copies before
+
+    sets = jaccard.Sets(jaccard.Shingles(pa.array(texts), 3), rare)
+    some = sorted({int(k) for k, n in zip(sets.id, sets.size, strict=True) if n})[::7]
+    got = jaccard.sets_of(spark, docs, spark.createDataFrame([(k,) for k in some], "k long"), rare, 3)
+    found = {r.k for r in got.select("k").collect()}
+    assert set(some) <= found and len(found) < len(some) * 1.2
+    assert jaccard.sets_of(spark, docs, spark.createDataFrame([], "a long, b long"), rare, 3).count() == 0

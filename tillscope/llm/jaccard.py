@@ -123,7 +123,8 @@ class Sets:
 
 def rarity(docs: DataFrame, n: int) -> np.ndarray:
     """Count class of each counter: n-gram occurrences over all documents,
-    added up in tasks, then block by block; COUNTERS counts reach the driver."""
+    added up in tasks, then block by block; COUNTERS bytes reach the driver, the
+    classes as Arrow buffers (no rows of counts, no copies of them)."""
 
     @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,19 +145,24 @@ def rarity(docs: DataFrame, n: int) -> np.ndarray:
                 some = np.frombuffer(data.as_buffer(), "<u4").astype(np.int64)
                 sums[block] = sums[block] + some if block in sums else some
         if sums:
-            yield block_rows(np.array(list(sums)), [v.astype("<i8") for v in sums.values()])
-
-    def block_rows(block: np.ndarray, data: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(block, pa.int32()), pa.array([d.tobytes() for d in data], pa.binary())], names=["block", "data"]
-        )
+            yield block_rows(np.array(list(sums)), [count_class(v) for v in sums.values()])
 
     kind = "block int, data binary"
-    sums = docs.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).collect()
-    table = np.zeros((COUNTERS // BLOCK, BLOCK), np.int64)
-    for row in sums:
-        table[row["block"]] = np.frombuffer(row["data"], "<i8")
-    return np.minimum(255, 6 * np.log2(1.0 + table.ravel())).astype(np.uint8)
+    rows = docs.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).toArrow()
+    table = np.zeros((COUNTERS // BLOCK, BLOCK), np.uint8)
+    for block, data in zip(rows.column("block").to_pylist(), rows.column("data"), strict=True):
+        table[block] = np.frombuffer(data.as_buffer(), np.uint8)
+    return table.ravel()
+
+
+def count_class(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(255, 6 * np.log2(1.0 + counts)).astype(np.uint8)
+
+
+def block_rows(block: np.ndarray, data: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(block, pa.int32()), pa.array([d.tobytes() for d in data], pa.binary())], names=["block", "data"]
+    )
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -342,10 +348,11 @@ def sets_of(spark: SparkSession, docs: DataFrame, wanted: DataFrame, rare: np.nd
     """(k, keys): the whole sets of the classes in ``wanted`` (any columns, all
     classes) and few others, by a pass that a fixed-size bitmap prunes. Landed."""
     bit = wanted.select(F.explode(F.array(*wanted.columns)).alias("k")).select(F.pmod("k", F.lit(BITS)).alias("bit"))
-    words = bit.groupBy(F.shiftright("bit", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")))
+    words = bit.groupBy(F.shiftright("bit", 6).cast("int").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v")
+    ).toArrow()  # at most BITS / 64 rows
     bits = np.zeros(BITS // 64, np.int64)
-    for w, v in words.collect():  # at most BITS / 64 rows
-        bits[w] = v
+    bits[words.column("w").to_numpy()] = words.column("v").to_numpy()
     let = bits.view(np.uint8)
 
     @released
